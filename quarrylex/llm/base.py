@@ -150,6 +150,10 @@ def words(s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, ends, span_hashes(_LOW[s.data], starts, ends)
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    return _LOW[data]
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     up, down = _powers(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)

@@ -1,6 +1,6 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences. A linear model of hashed words scores each sentence; a noisy-or with a leak combines the
+A document is a bag of sentences. A linear model of hashed words and word beginnings scores each sentence; a noisy-or with a leak combines the
 scores to the document's probability, 1 - (1 - leak) * prod(1 - p). Only document labels train it: the gradient of the
 noisy-or gives each sentence its share of the blame, so that the same scores locate the offending sentences.
 
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylex.llm.base import Slice, code_points, crc_mod, pick, slices, words
+from quarrylex.llm.base import Slice, code_points, crc_mod, lowered, mix64, pick, slices, span_hashes, words
 
 BITS = 20
 _STOP = np.zeros(256, bool)
@@ -34,8 +34,12 @@ class Model:
     leak: float
 
 
-def sentences(s: Slice) -> tuple[np.ndarray, ...]:
-    """Word buckets, first word of each sentence, document of each sentence; starts and ends of the words."""
+#: Features of a word: itself and its first so many bytes.
+BEGINNINGS = (4, 6)
+
+
+def sentences(s: Slice) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of each feature of the words, first word of each sentence, document of each sentence; starts, ends of words."""
     starts, ends, h = words(s)
     stops = np.zeros(len(s.data) + 1, np.int64)
     np.cumsum(_STOP[s.data], out=stops[1:])
@@ -44,7 +48,9 @@ def sentences(s: Slice) -> tuple[np.ndarray, ...]:
     new = np.ones(len(starts), bool)
     new[1:] = (part[1:] != part[:-1]) | (doc[1:] != doc[:-1])
     first = np.flatnonzero(new)
-    return (h >> np.uint64(64 - BITS)).astype(np.int64), first, doc[first], starts, ends
+    low = lowered(s.data)
+    hashes = [h] + [mix64(span_hashes(low, starts, np.minimum(ends, starts + k)) + np.uint64(k)) for k in BEGINNINGS]
+    return [(x >> np.uint64(64 - BITS)).astype(np.int64) for x in hashes], first, doc[first], starts, ends
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,10 +58,10 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         y = batch.column(0).to_numpy(zero_copy_only=False)
         for s in slices(batch.column(1)):
-            bucket, first, doc, _, _ = sentences(s)
-            sent = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(bucket))))
-            bounds = np.searchsorted(doc[sent], np.arange(s.n + 1)) if len(bucket) else np.zeros(s.n + 1, np.int64)
-            rows = [np.unique((sent[a:b] - (sent[a] if b > a else 0)) << BITS | bucket[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            feats, first, doc, starts, _ = sentences(s)
+            sent = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(starts))))
+            bounds = np.searchsorted(doc[sent], np.arange(s.n + 1)) if len(sent) else np.zeros(s.n + 1, np.int64)
+            rows = [np.unique(np.concatenate([(sent[a:b] - (sent[a] if b > a else 0)) << BITS | f[a:b] for f in feats])) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             yield pa.record_batch([pa.array(y[s.lo : s.hi].astype(np.int32)), pa.array(rows, pa.list_(pa.int64()))], names=["y", "words"])
 
 
@@ -70,12 +76,22 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8000, features: int
     return fit(table["y"].to_numpy(), [x.values.to_numpy() for x in table["words"]], features, steps)
 
 
-def fit(y: np.ndarray, bags: list[np.ndarray], features: int, steps: int) -> Model:
+def wilson(hits: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Lower bound (two standard errors) of the share hits / n."""
+    n = np.maximum(n, 1e-9)
+    share = hits / n
+    return (share + 2 / n - 2 * np.sqrt(share * (1 - share) / n + 1 / n**2)) / (1 + 4 / n)
+
+
+def fit(y: np.ndarray, bags: list[np.ndarray], features: int, steps: int, bias: float = -10.0) -> Model:
+    """Adam on the likelihood of the noisy-or. The bias of a sentence is fixed and low, so that thousands of harmless
+    sentences don't add up; labels that no word explains are the leak's.
+    """
     weight = np.zeros(1 << BITS, np.float32)
     share = float(y.mean()) if len(y) else 0.0
     if not 0 < share < 1:
         return Model(weight, -30.0, share)
-    # screening: words whose documents are toxic more often than the rest
+    # screening: words whose documents are surely toxic more often than the rest
     sizes = np.asarray([len(b) for b in bags])
     doc = np.repeat(np.arange(len(bags)), sizes)
     flat = np.concatenate(bags)
@@ -83,10 +99,9 @@ def fit(y: np.ndarray, bags: list[np.ndarray], features: int, steps: int) -> Mod
     once = np.unique(doc << BITS | bucket)
     d, b = once >> BITS, once & ((1 << BITS) - 1)
     df, hits = np.bincount(b, minlength=1 << BITS), np.bincount(b, weights=y[d], minlength=1 << BITS)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        z = np.where(df >= 3, np.abs(hits - df * share) / np.sqrt(df * share * (1 - share) + 1), 0)
-    kept = np.sort(np.argsort(-z, kind="stable")[:features])
-    kept = kept[z[kept] > 1.5]
+    low = wilson(hits, df)
+    kept = np.sort(np.argsort(-np.where(df >= 5, low, 0), kind="stable")[:features])
+    kept = kept[low[kept] > share]
     at = np.full(1 << BITS, -1)
     at[kept] = np.arange(len(kept))
     # sentences as rows; those without a kept word share one score
@@ -95,9 +110,11 @@ def fit(y: np.ndarray, bags: list[np.ndarray], features: int, steps: int) -> Mod
     owner = rows >> 24
     use = at[bucket] >= 0
     r, c = row[use], at[bucket[use]]
-    w, bias, leak = np.zeros(len(kept)), -5.0, share / 2
+    leak = share / 2
+    trust = np.clip(low[kept], 1e-3, 1 - 1e-3)
+    w = np.where(trust > 0.4, np.log(trust / (1 - trust)) - bias, 0.0)  # a start that explains the surest words
     leak_z = np.log(leak / (1 - leak))
-    m = [np.zeros(len(kept) + 2) for _ in range(2)]
+    m = [np.zeros(len(kept) + 1) for _ in range(2)]
     for step in range(1, steps + 1):
         z_s = bias + np.bincount(r, weights=w[c], minlength=len(rows))
         p = 1 / (1 + np.exp(-np.clip(z_s, -30, 30)))
@@ -106,15 +123,14 @@ def fit(y: np.ndarray, bags: list[np.ndarray], features: int, steps: int) -> Mod
         none = np.exp(stay)
         ratio = np.where(y == 1, none / np.maximum(1 - none, 1e-9), -1.0)
         g_s = ratio[owner] * p
-        grad = np.concatenate([np.bincount(c, weights=g_s[r], minlength=len(kept)) - 0.5 * w, [g_s.sum() - 0.5 * (bias + 9), (ratio * leak).sum()]])
+        grad = np.concatenate([np.bincount(c, weights=g_s[r], minlength=len(kept)) - 0.3 * w, [(ratio * leak).sum()]])
         m[0] = 0.9 * m[0] + 0.1 * grad
         m[1] = 0.99 * m[1] + 0.01 * grad**2
         move = 0.3 * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.99**step)) + 1e-6) * (0.2 if step > steps * 0.7 else 1)
-        w += move[:-2]
-        bias = min(bias + move[-2], -3.0)
+        w += move[:-1]
         leak_z = min(leak_z + move[-1], 0.0)
     weight[kept] = w
-    return Model(weight, float(bias), float(1 / (1 + np.exp(-leak_z))))
+    return Model(weight, bias, float(1 / (1 + np.exp(-leak_z))))
 
 
 RESULT = "doc_id bigint, held_out boolean, score double, predicted int, n_sentences bigint, worst_start bigint, worst_end bigint, worst_score double"
@@ -137,24 +153,28 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 def score_slice(s: Slice, m: Model) -> tuple[np.ndarray, ...]:
     """Score, number of sentences, the worst one's probability, start and end (code points) of each document."""
-    bucket, first, doc, starts, ends = sentences(s)
+    feats, first, doc, starts, ends = sentences(s)
     n = np.bincount(doc, minlength=s.n).astype(np.int64)
     score, worst = np.full(s.n, m.leak), np.zeros(s.n)
     a, b = np.zeros(s.n, np.int64), np.zeros(s.n, np.int64)
     if len(first):
-        z = m.bias + np.add.reduceat(once_in_sentence(bucket, first, m.weight), first)
+        z = logits(feats, first, m)
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         stay = np.bincount(doc, weights=np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=s.n)
         score = 1 - (1 - m.leak) * np.exp(stay)
         order = np.lexsort((np.arange(len(p)), -p, doc))
         lead = order[np.flatnonzero(np.diff(doc[order], prepend=-1))]
-        last = np.append(first[1:], len(bucket)) - 1
+        last = np.append(first[1:], len(starts)) - 1
         cp = code_points(s.data)
         base = cp[s.off[doc[lead]]]
         worst[doc[lead]], a[doc[lead]], b[doc[lead]] = p[lead], cp[starts[first[lead]]] - base, cp[ends[last[lead]]] - base
     return score, n, worst, a, b
 
 
+def logits(feats: list[np.ndarray], first: np.ndarray, m: Model) -> np.ndarray:
+    return m.bias + sum(np.add.reduceat(once_in_sentence(f, first, m.weight), first) for f in feats)
+
+
 def once_in_sentence(bucket: np.ndarray, first: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Each word's weight where it first stands in its sentence, else 0."""
     value = weight[bucket].astype(np.float64)
@@ -176,9 +196,9 @@ def score(docs: DataFrame, labels: DataFrame, **bounds) -> DataFrame:
 def offending(text: str, model: Model, least: float = 0.5) -> list[tuple[int, int, float]]:
     """(start, end, probability) of every sentence of one text at least so likely."""
     s = next(slices(pa.array([text], pa.string())))
-    bucket, first, _, starts, ends = sentences(s)
+    feats, first, _, starts, ends = sentences(s)
     if not len(first):
         return []
-    p = 1 / (1 + np.exp(-(model.bias + np.add.reduceat(once_in_sentence(bucket, first, model.weight), first))))
-    last, cp = np.append(first[1:], len(bucket)) - 1, code_points(s.data)
+    p = 1 / (1 + np.exp(-logits(feats, first, model)))
+    last, cp = np.append(first[1:], len(starts)) - 1, code_points(s.data)
     return [(int(cp[starts[first[i]]]), int(cp[ends[last[i]]]), float(p[i])) for i in np.flatnonzero(p >= least)]
