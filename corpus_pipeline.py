@@ -1,10 +1,65 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: quality, near-duplicates, decontamination, secrets, packing.
+
+Each stage works on all that the one before kept, and its decisions take effect; its result is written as Parquet in the
+shared folder and read again as the next stage's documents. All stages but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
-ORACLE_SQL = None
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarrylex.llm import decontaminate, minhash, packing, quality, secrets
+from quarrylex.llm.base import materialise
+from quarrylex.session import ship
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier rejects go."""
+    return quality.good(docs, ship(spark).read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class stays, the one with the smallest id."""
+    ship(spark)
+    return minhash.deduplicated(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a share of benchmark passages go."""
+    return decontaminate.clean(docs, ship(spark).read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; secrets in their texts are masked, and n_chars follows the text."""
+    ship(spark)
+    return secrets.redacted(docs).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their places in the sequences."""
+    ship(spark)
+    return packing.pack(packing.pieces(docs))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", quality_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("secrets", secret_stage),
+    ("packing", packing_stage),
+]
+
+#: SQL has no co-training, hashing of weighted shingles or tokenizer; tests compare the stages with brute force.
+ORACLE_SQL: str | None = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialise(docs, f"pipeline-{name}")
+    return docs

@@ -217,3 +217,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 16, ro
     roots = roots.select("k1", "k2", "n_words", F.coalesce("root", "rep").alias("root"))
     out = signed.select("doc_id", "k1", "k2", "n_words").join(roots, ["k1", "k2", "n_words"], "left").select("doc_id", F.coalesce("root", "doc_id").alias("class_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("class_id"))
+
+
+def deduplicated(docs: DataFrame, **how) -> DataFrame:
+    """The documents that stand for their class, with their own columns."""
+    gone = materialise(near_duplicates(docs, **how).where("not kept").select("doc_id").distinct(), "duplicates")
+    return attach(docs, gone, "doc_id", gone.count(), "left_anti")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrylex.llm import chunks, decontaminate, embeddings, language, minhash, packing, pii, secrets, toxicity
+from quarrylex.llm import chunks, decontaminate, embeddings, language, minhash, packing, pii, quality, secrets, toxicity
 from quarrylex.session import ship
 
 
@@ -14,6 +14,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_table(spark, sf_dir, "documents"))
 
@@ -50,4 +54,4 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_language_id, op3_minhash, op4_toxicity, op5_decontaminate, op6_substrings, op7_pii, op8_packing, op9_embeddings, op10_secrets)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_language_id, op3_minhash, op4_toxicity, op5_decontaminate, op6_substrings, op7_pii, op8_packing, op9_embeddings, op10_secrets)}
