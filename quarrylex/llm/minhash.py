@@ -6,8 +6,8 @@ registers; a register keeps its earliest arrival's shingle. Arrivals later than
 The share of equal registers estimates the probability Jaccard similarity, which verification computes exactly.
 
 Links are found without all pairs of a bucket: texts with the same words are one class; in each bucket members are compared
-with one leader per round, and in the end all pairs of a bucket that are still in different components. So no link that
-banding finds between different components is lost, while a large group of near copies costs a few comparisons a member.
+with its smallest id, and what then still lies in different components is compared exactly, in tiles of bounded size that
+give off at most a link a document. So no link that banding finds between different components is lost.
 
 Null, empty and wordless texts link with nothing. Repeated rows (same id) are one document. Ties go to the smallest id.
 Extra columns of the input are ignored.
@@ -165,56 +165,123 @@ def similarities(pairs: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) that are similar enough; only texts that stand in a pair are moved."""
-    pairs = materialise(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    ids = materialise(ids, "pair-ids")
-    n = ids.count()
-    texts = semi(pick(docs, "doc_id", "text"), ids, "doc_id", n).dropDuplicates(["doc_id"]).select("doc_id", "text")
+    """The written pairs (a, b) that are similar enough; only texts that stand in a pair are moved."""
+    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "pair-ids")
+    texts = semi(pick(docs, "doc_id", "text"), ids, "doc_id", ids.count())
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     return materialise(similarities(both).where(F.col("similarity") >= threshold).select("a", "b"), "links")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 16, rows: int = 4, rounds: int = 3) -> DataFrame:
-    """doc_id, class_id (smallest id that links reach), class_size, kept (the document stands for its class)."""
+def tile_links(ids: np.ndarray, roots: np.ndarray, texts: pa.Array, threshold: float, columns: int = 4096) -> list[tuple[int, int]]:
+    """Links that unite the components of some documents: every pair across components is compared exactly or is united by then.
+
+    Common shingles are counted by products of incidence matrices, in blocks of columns. They give the similarity of texts
+    without repeated shingles, and an upper bound for others: a common shingle adds at most its share of either text.
+    """
+    hashes, owners, weights, base = [], [], [], 0
+    for s in slices(texts):
+        h, o, w = weighted(*shingles(s)[:2])
+        hashes.append(h), owners.append(o + base), weights.append(w)
+        base += s.n
+    h, o, w = np.concatenate(hashes), np.concatenate(owners), np.concatenate(weights).astype(np.float64)
+    n = len(ids)
+    size, total = np.bincount(o, minlength=n), np.bincount(o, weights=w, minlength=n)
+    plain = np.bincount(o, weights=w > 1, minlength=n) == 0
+    _, column, count = np.unique(h, return_inverse=True, return_counts=True)
+    at = np.full(len(count), -1)
+    at[count > 1] = np.arange((count > 1).sum())
+    at = at[column]
+    common, bound = np.zeros((n, n), np.float32), np.zeros((n, n))
+    for lo in range(0, int(at.max(initial=-1)) + 1, columns):
+        use = (at >= lo) & (at < lo + columns)
+        there = np.zeros((n, columns), np.float32)
+        there[o[use], at[use] - lo] = 1
+        common += there @ there.T
+        if not plain.all():
+            share = np.zeros((n, columns), np.float32)
+            share[o[use], at[use] - lo] = w[use] / total[o[use]]
+            bound += share @ there.T
+    lab = np.unique(roots, return_inverse=True)[1]
+    union = size[:, None] + size[None, :] - common
+    sure = plain[:, None] & plain[None, :]
+    link = sure & (common >= threshold * union - 1e-6) & (union > 0)
+    out: list[tuple[int, int]] = []
+
+    def unite(i: int, j: int) -> None:
+        out.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
+        lab[lab == lab[j]] = lab[i]
+
+    for i in range(n):
+        while len(js := np.flatnonzero(link[i] & (lab != lab[i]))):
+            unite(i, int(js[0]))
+    if not plain.all():
+        maybe = ~sure & (np.minimum(bound, bound.T) >= threshold - 1e-4)
+        order = np.argsort(o, kind="stable")
+        ends = np.searchsorted(o[order], np.arange(n + 1))
+        sets = [(h[order[x:y]], w[order[x:y]]) for x, y in zip(ends[:-1], ends[1:], strict=True)]
+        for i in range(n):
+            for j in np.flatnonzero(maybe[i] & (np.arange(n) > i)).tolist():
+                if lab[i] != lab[j] and probability_jaccard(sets[i], sets[j]) >= threshold:
+                    unite(i, j)
+    return out
+
+
+def _tiles(threshold: float):
+    def run(table: pa.Table) -> pa.Table:
+        t = table.combine_chunks()
+        text = t["text"].combine_chunks() if isinstance(t["text"], pa.ChunkedArray) else t["text"]
+        pairs = tile_links(t["rep"].to_numpy(), t["root"].to_numpy(), text, threshold)
+        return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
+
+    return run
+
+
+def _crossing(at: DataFrame, docs: DataFrame, threshold: float, part: int = 256) -> DataFrame | None:
+    """Links (a, b) between components that meet in a bucket, from rows (bucket, rep, root); None if no bucket is split.
+
+    The members of a bucket's largest component needn't be compared with each other. The others, in parts of bounded size,
+    meet each other's parts and those of the largest component, a tile each. Buckets with the same members count once.
+    """
+    by_root = at.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("f"))
+    split = by_root.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("m"), F.max("n").alias("top"), F.max_by("root", F.struct("n", "root")).alias("bulk"), F.sum("f").alias("f")).where("k > 1")
+    split = materialise(split.groupBy("m", "f").agg(F.min(F.struct("bucket", "top", "bulk")).alias("s")).select("m", "s.*"), "split")
+    n = split.count()
+    if not n:
+        return None
+    one = F.col("m") <= 2 * part
+    strays, bulks = F.greatest(F.ceil((F.col("m") - F.col("top")) / part), F.lit(1)).cast("int"), F.greatest(F.ceil(F.col("top") / part), F.lit(1)).cast("int")
+    tile = lambda lo, hi: F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
+    p = F.col("p")
+    among = F.transform(F.sequence(F.lit(0), F.col("strays") - 1), lambda q: tile(F.least(p, q), F.greatest(p, q)))
+    against = F.transform(F.sequence(F.lit(0), F.col("bulks") - 1), lambda q: tile(p, F.col("strays") + q))
+    down = F.transform(F.sequence(F.lit(0), F.col("strays") - 1), lambda q: tile(q, F.col("strays") + p))
+    rows = attach(at, split, "bucket", n).withColumn("strays", strays).withColumn("bulks", bulks)
+    rows = rows.withColumn("p", F.pmod(F.xxhash64("rep", F.lit(5)), F.when(F.col("root") == F.col("bulk"), F.col("bulks")).otherwise(F.col("strays"))).cast("int"))
+    where = F.when(one, F.array(tile(F.lit(0), F.lit(0)))).when(F.col("root") == F.col("bulk"), down).otherwise(F.concat(among, against))
+    dealt = materialise(rows.select("bucket", "rep", "root", F.explode(where).alias("t")).select("bucket", "t.lo", "t.hi", "rep", "root"), "tiles")
+    ids = materialise(dealt.select(F.col("rep").alias("doc_id")).distinct(), "tile-ids")
+    texts = semi(pick(docs, "doc_id", "text"), ids, "doc_id", ids.count()).select(F.col("doc_id").alias("rep"), "text").dropDuplicates(["rep"])
+    found = dealt.join(texts, "rep").select("bucket", "lo", "hi", "rep", "root", "text").groupBy("bucket", "lo", "hi").applyInArrow(_tiles(threshold), "a bigint, b bigint")
+    return materialise(found.distinct(), "tile-links")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 16, rows: int = 4) -> DataFrame:
+    """doc_id, class_id (smallest id that links reach), kept (the document stands for its class)."""
     signed = materialise(sign(docs, bands, rows), "signatures")
     # texts with the same words are one class from the start
-    exact = signed.where("n_words > 0").groupBy("k1", "k2", "n_words").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    exact = materialise(exact, "exact")
-    member = exact.select("rep", F.explode("bands").alias("bucket"))
-    shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    shared = materialise(shared, "buckets")
-    member = materialise(attach(member, shared, "bucket", shared.count(), "left_semi"), "members")
-    links, comp = None, None
-    for turn in range(rounds + 1):
-        at = member if comp is None else member.join(comp.select(F.col("node").alias("rep"), "root"), "rep", "left")
-        at = at.withColumn("root", F.coalesce("root", "rep")) if comp is not None else at.withColumn("root", F.col("rep"))
-        # one node per component and bucket; buckets that lie in one component are done
-        nodes = at.groupBy("bucket", "root").agg(F.min_by("rep", F.struct(F.xxhash64("rep", F.lit(turn)), "rep")).alias("rep")) if turn < rounds else at
-        if turn < rounds:
-            lead = nodes.groupBy("bucket").agg(F.min_by(F.struct("rep", "root"), F.struct(F.xxhash64("rep", F.lit(turn)), "rep")).alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
-            pairs = nodes.join(lead.select("bucket", "lead"), "bucket").where("root <> lead.root").select(F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b")).distinct()
-        else:
-            split = at.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
-            some = materialise(at.join(split, "bucket", "left_semi").select("bucket", "rep", "root"), "split")
-            x, y = some.select("bucket", F.col("rep").alias("a"), F.col("root").alias("ra")), some.select("bucket", F.col("rep").alias("b"), F.col("root").alias("rb"))
-            pairs = x.join(y, "bucket").where("a < b and ra <> rb").select("a", "b").distinct()
-        tried = pairs if links is None else pairs.join(seen, ["a", "b"], "left_anti")  # noqa: F821
-        tried = materialise(tried, "tried")
-        if tried.isEmpty():
-            if turn < rounds:
-                continue
-            break
-        found = _verified(tried, docs, threshold)
-        seen = tried if links is None else seen.unionByName(tried)  # noqa: F821
-        links = found if links is None else links.unionByName(found)
-        comp = components(links)
-    roots = exact.select("rep", "k1", "k2", "n_words")
-    if comp is not None:
-        roots = roots.join(comp.select(F.col("node").alias("rep"), "root"), "rep", "left")
-    else:
-        roots = roots.withColumn("root", F.lit(None).cast("bigint"))
-    roots = roots.select("k1", "k2", "n_words", F.coalesce("root", "rep").alias("root"))
+    exact = materialise(signed.where("n_words > 0").groupBy("k1", "k2", "n_words").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "exact")
+    flat = exact.select("rep", F.explode("bands").alias("bucket"))
+    shared = materialise(flat.groupBy("bucket").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "lead"), "buckets")
+    member = materialise(attach(flat, shared, "bucket", shared.count()).select("bucket", "rep", "lead"), "members")
+    # first each member with its bucket's smallest id, then what still lies in different components of a bucket
+    pairs = materialise(member.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+    links = _verified(pairs, docs, threshold)
+    comp = components(links)
+    at = attach(member.select("bucket", "rep"), comp.select(F.col("node").alias("rep"), "root"), "rep", comp.count(), "left").withColumn("root", F.coalesce("root", "rep"))
+    more = _crossing(at, docs, threshold)
+    if more is not None:
+        comp = components(links.unionByName(more))
+    roots = exact.join(comp.select(F.col("node").alias("rep"), "root"), "rep", "left").select("k1", "k2", "n_words", F.coalesce("root", "rep").alias("root"))
     out = signed.select("doc_id", "k1", "k2", "n_words").join(roots, ["k1", "k2", "n_words"], "left").select("doc_id", F.coalesce("root", "doc_id").alias("class_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("class_id"))
 
