@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 FORMATS = (
-    "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ssX", "yyyy-MM-dd'T'HH:mmX", "EEE, d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss", "EEE MMM d HH:mm:ss yyyy", "dd/MMM/yyyy:HH:mm:ss",
+    "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ssX", "yyyy-MM-dd'T'HH:mmX", "d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss", "MMM d HH:mm:ss yyyy", "dd/MMM/yyyy:HH:mm:ss",
     "yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy", "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "yyyy MMM d",
 )
 MONTHS = {"en": ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"), "fr": ("janvier", "février", "mars", "avril", "mai", "juin", "juillet", "août", "septembre", "octobre", "novembre", "décembre")}
@@ -44,7 +44,8 @@ def parse(text: Column) -> Column:
     t = F.trim(text)
     digits = F.regexp_replace(t, "[-/ ]", "")
     plain = F.when(digits.rlike(r"^\d{4}(\d\d){0,5}$"), F.rpad(digits, 14, "0").cast("bigint"))
-    known = F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in FORMATS])
+    named = F.regexp_replace(t, r"^(?i)(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*,? +", "")
+    known = F.coalesce(*[F.try_to_timestamp(named, F.lit(f)) for f in FORMATS])
     season = None
     for name, month in _SEASON.items():
         test = F.lower(t).rlike(rf"^{name} \d{{4}}$")

@@ -8,6 +8,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarrylex.functions.text import strip_accents, strip_accents_py
 
@@ -186,7 +187,7 @@ def typo(term: str, candidate: str, most: int = 1) -> bool:
 
 
 def _udf(f):
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda t: None if t is None else f(t))
 
@@ -199,7 +200,7 @@ soundex_udf, phonix_udf, metaphone_udf = _udf(soundex), _udf(phonix), _udf(metap
 def typo_match(term: str, candidates: Column, most: int = 1) -> Column:
     """Arrow test of a vocabulary column against one query term; cheap native tests come first."""
 
-    @F.pandas_udf("boolean")
+    @F.pandas_udf(T.BooleanType())
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda c: c is not None and typo(term, c, most))
 

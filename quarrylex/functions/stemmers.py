@@ -10,6 +10,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _CONS = "bcdfghjklmnpqrstvwxz"
 
@@ -232,12 +233,12 @@ def lovins(term: str) -> str:
     return w.upper() if term.isupper() else w
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def porter_udf(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else porter(t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def lovins_udf(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else lovins(t))
 

@@ -8,6 +8,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ALNUM = r"[\p{L}\p{N}]+"
 #: Punctuation that may start a token, and that may end one.
@@ -133,7 +134,7 @@ def truncate(t: Column, most: int) -> Column:
     return F.substring(t, 1, most)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
