@@ -15,7 +15,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quarrylex.llm.base import attach, materialise, pick, semi
 
@@ -46,7 +45,8 @@ class Index:
     """Postings of the terms that matter, in tables of the shared scratch folder."""
 
     def __init__(self, docs: DataFrame, items: DataFrame, width: int = 13, rare: int = 3):
-        self.docs = docs.select("doc_id", tokens(F.col("text")).alias("words"))
+        self.texts = docs.select("doc_id", "text")
+        self.docs = self._words(self.texts)
         phrases, self.owners = windows(items, width)
         self.owners = materialise(self.owners, "owners")
         phrases = materialise(phrases, "phrases")
@@ -66,6 +66,10 @@ class Index:
         self.postings = materialise(self._postings(self.docs, rare_terms, rare_terms.count()), "postings")
         self.rare = rare
 
+    @staticmethod
+    def _words(texts: DataFrame) -> DataFrame:
+        return texts.select("doc_id", tokens(F.col("text")).alias("words"))
+
     @staticmethod
     def _postings(docs: DataFrame, terms: DataFrame, n: int) -> DataFrame:
         flat = docs.select("doc_id", F.posexplode("words").alias("pos", "term"))
@@ -94,7 +98,7 @@ class Index:
         ids = materialise(found.select("doc_id").distinct(), "candidate-ids")
         used = materialise(self.term.join(found.select("phrase").distinct(), "phrase", "left_semi"), "used")
         terms = materialise(used.select("term").distinct(), "used-terms")
-        full = materialise(self._postings(semi(self.docs, ids, "doc_id", ids.count()), terms, terms.count()), "full-postings")
+        full = materialise(self._postings(self._words(semi(self.texts, ids, "doc_id", ids.count())), terms, terms.count()), "full-postings")
         want = found.join(used, "phrase").select("phrase", "doc_id", "start", "size", "term", (F.col("start") + F.col("off")).alias("pos"))
         there = want.join(full, ["term", "doc_id", "pos"], "left_semi")
         return there.groupBy("phrase", "doc_id", "start", "size").agg(F.count(F.lit(1)).alias("n")).where("n = size").drop("n")
@@ -138,6 +142,3 @@ def clean(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
     """The documents that aren't contaminated, with their own columns."""
     bad = materialise(report(docs, items, **how).where("contaminated").select("doc_id").distinct(), "contaminated")
     return attach(docs, bad, "doc_id", bad.count(), "left_anti")
-
-
-SCHEMA = T.StructType([T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("n_words", T.LongType()), ("n_hit", T.LongType()), ("n_items", T.LongType()), ("items_sha256", T.StringType()), ("contaminated", T.BooleanType()), ("n_near", T.LongType()))])
