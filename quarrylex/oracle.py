@@ -246,7 +246,7 @@ ORACLE |= {
     "log_times": "SELECT event_type, min(value) AS least, max(value) AS most, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS deviation FROM events GROUP BY 1",
     "log_hourly": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, count(*) AS n FROM events GROUP BY 1", "log_daily": "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1",
     "log_concurrency": """WITH s AS (SELECT date_trunc('second', ts) AS a, date_trunc('second', ts + to_seconds(floor(value * 60)::BIGINT)) AS b FROM events), st AS (SELECT a AS ts, 1 AS d FROM s UNION ALL SELECT b, -1 FROM s),
-        g AS (SELECT ts, sum(d) AS d, greatest(sum(d), 0) AS up FROM st GROUP BY ts), r AS (SELECT ts, coalesce(sum(d) OVER (ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + up AS open FROM g)
+        g AS (SELECT ts, sum(d) AS d, count(*) FILTER (d > 0) AS up FROM st GROUP BY ts), r AS (SELECT ts, coalesce(sum(d) OVER (ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + up AS open FROM g)
         SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, max(open)::BIGINT AS most FROM r GROUP BY 1""",
     "log_slow": "SELECT event_id, value FROM events WHERE value >= 60", "log_top": "SELECT user_id AS key, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, key LIMIT 10",
     "log_frequency": "SELECT times, count(*) AS searches FROM (SELECT user_id, count(*) AS times FROM events GROUP BY 1) GROUP BY 1",
