@@ -7,7 +7,7 @@ one pass; a stored one is laid out by term.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -109,21 +109,24 @@ class Index:
         self.documents.write.mode("overwrite").saveAsTable(f"{prefix}_documents")
 
 
-def variants(config: Config, f: Field, lang):
-    """Array of (term, in_counts) of a token column: the lower-cased form, and the original where it has upper case.
+def forms_of(tokens: DataFrame, config: Config) -> DataFrame:
+    """Rows (..., field_id, lang, token) with the terms they are found by: (..., term, in_counts).
 
-    Terms all in upper case are never stemmed, mixed ones are stemmed in both forms.
+    The lower-cased form always, and the original where it has upper case. Terms all in upper case are never stemmed, mixed
+    ones are stemmed in both forms, by the rules of the row's language; an English algorithm runs on distinct terms, joined back.
     """
-
-    def of(token):
-        stem = (lambda t: stemmers.stem(t, config.stemmer, lang)) if f.stemming else (lambda t: t)
-        low = F.struct(stem(F.lower(token)).alias("term"), F.lit(True).alias("in_counts"))
-        if not config.case_variants:
-            return F.array(low)
-        own = F.struct(F.when(text.all_upper(token), token).otherwise(stem(token)).alias("term"), F.lit(False).alias("in_counts"))
-        return F.when(text.has_upper(token), F.array(low, own)).otherwise(F.array(low))
-
-    return of
+    token = F.col("token")
+    low, own = F.struct(F.lower(token).alias("term"), F.lit(True).alias("in_counts")), F.struct(token.alias("term"), F.lit(False).alias("in_counts"))
+    both = F.when(text.has_upper(token), F.array(low, own)).otherwise(F.array(low)) if config.case_variants else F.array(low)
+    rows = tokens.withColumn("v", F.explode(both)).select(*[c for c in tokens.columns if c != "token"], "v.*")
+    stemmed = [k for k, f in enumerate(config.fields, 1) if f.stemming]
+    if config.stemmer == "none" or not stemmed:
+        return rows
+    free = F.col("field_id").isin(stemmed) & ~text.all_upper(F.col("term"))
+    if config.stemmer == "plural":
+        return rows.withColumn("term", F.when(free, stemmers.plural(F.col("term"), F.col("lang"))).otherwise(F.col("term")))
+    vocabulary = rows.where(free).select("term", "lang").distinct().select("term", "lang", stemmers.stem(F.col("term"), config.stemmer, F.col("lang")).alias("stem"))
+    return rows.join(vocabulary, ["term", "lang"], "left").withColumn("term", F.when(free, F.coalesce("stem", "term")).otherwise(F.col("term"))).drop("stem")
 
 
 def _tagged(field_id: int):
@@ -150,17 +153,7 @@ def build(docs: DataFrame, config: Config = Config()) -> Index:
     """docs needs doc_id and the fields' columns; doc_key, title, lang, rank, ansi_date and term_count are optional."""
     have = set(docs.columns)
     tokens = tokenised(docs, config)
-    udf = config.stemmer in ("porter", "lovins")
-    plain = replace(config, stemmer="none") if udf else config
-    shape = None
-    for k, f in enumerate(config.fields, 1):
-        of = variants(plain, f, F.col("lang"))(F.col("token"))
-        shape = F.when(F.col("field_id") == k, of) if shape is None else shape.when(F.col("field_id") == k, of)
-    exploded = tokens.select("doc_id", "lang", "field_id", "position", F.explode(shape).alias("v")).select("doc_id", "lang", "field_id", "position", "v.*")
-    if udf:  # the algorithm runs on distinct terms, joined back
-        stemmed = [k for k, f in enumerate(config.fields, 1) if f.stemming]
-        vocabulary = exploded.where(~text.all_upper(F.col("term"))).select("term", "lang").distinct().select("term", "lang", stemmers.stem(F.col("term"), config.stemmer, F.col("lang")).alias("stem"))
-        exploded = exploded.join(vocabulary, ["term", "lang"], "left").withColumn("term", F.when(F.col("field_id").isin(stemmed), F.coalesce("stem", "term")).otherwise(F.col("term"))).drop("stem")
+    exploded = forms_of(tokens, config)
     stop = stoplists.is_stop(F.col("term"), config.stop_list)
     drops = [k for k, f in enumerate(config.fields, 1) if f.stop]
     kept = exploded.where(~(stop & F.col("field_id").isin(drops))) if drops else exploded

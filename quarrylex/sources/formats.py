@@ -16,10 +16,10 @@ from quarrylex.functions import dates
 
 def files(spark: SparkSession, path: str | list[str], whole: bool = True, recurse: bool = False, include: str | None = None, exclude: str | None = None) -> DataFrame:
     """(path, value) of whole files or of lines. include and exclude are a glob of names and a regular expression of paths."""
-    reader = spark.read.option("wholetext", whole).option("recursiveFileLookup", recurse)
+    reader = spark.read.option("recursiveFileLookup", recurse)
     if include:
         reader = reader.option("pathGlobFilter", include)
-    df = reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "\r\n?", "\n").alias("value"))
+    df = reader.text(path, wholetext=whole).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "\r\n?", "\n").alias("value"))
     return df.where(~F.col("path").rlike(exclude)) if exclude else df
 
 

@@ -11,10 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylex.functions import dates, text
-from quarrylex.operators.index import Config, Field, Index
-from quarrylex.operators.index import REGULAR, STOP
-from quarrylex.functions import stoplists
+from quarrylex.functions import dates, stoplists, text
+from quarrylex.operators.index import REGULAR, STOP, Config, Field, Index, forms_of
 
 SCHEMA = "path string, kind string, seq long, name string, value string, number long, extra string, data binary"
 OPTIONS = {"stemmingon": ("stemming", True), "stemmingoff": ("stemming", False), "stoptermon": ("stop", True), "stoptermoff": ("stop", False), "termpositionon": ("positions", True), "termpositionoff": ("positions", False)}
@@ -124,10 +122,8 @@ def read_index(spark: SparkSession, path: str, config: Config = Config()) -> Ind
     name = F.lit(config.name)
     documents = docs.select(name.alias("index_name"), "doc_id", F.coalesce("doc_key", F.col("doc_id").cast("string")).alias("doc_key"), "title", F.coalesce("lang", F.lit(config.lang)).alias("lang"), F.coalesce("rank", F.lit(0)).cast("bigint").alias("rank"), F.col("term_count").cast("bigint"), F.coalesce(dates.parse(F.col("date")), F.lit(0)).cast("bigint").alias("ansi_date"))
     config = Config(config.name, tuple(fields.values()) or config.fields, default, config.tokenizer, config.stemmer, config.stop_list, config.lang, config.least, config.most, config.case_variants)
-    from quarrylex.operators.index import variants
-
     words = body.where("kind = 'term'").select("doc_id", F.col("extra").cast("int").alias("field_id"), F.col("number").cast("int").alias("position"), F.coalesce("name", F.lit(config.lang)).alias("lang"), F.substring("value", 1, config.most).alias("token")).where(F.length("token") >= config.least)
-    forms = words.withColumn("v", F.explode(variants(config, Field("", ""), F.col("lang"))(F.col("token")))).select("doc_id", "field_id", "position", "v.*")
+    forms = forms_of(words, config).select("doc_id", "field_id", "position", "term", "in_counts")
     stop = stoplists.is_stop(F.col("term"), config.stop_list)
     terms = forms.groupBy("term").agg(F.count(F.lit(1)).alias("term_count"), F.countDistinct("doc_id").alias("doc_count"), F.sort_array(F.collect_set("field_id")).alias("field_ids"), F.max("in_counts").alias("in_counts")).select(name.alias("index_name"), "term", F.when(stop, STOP).otherwise(REGULAR).alias("term_type"), "term_count", "doc_count", "field_ids", "in_counts")
     postings = forms.where(~stop).select(name.alias("index_name"), "term", "doc_id", "position", "field_id")
