@@ -53,27 +53,68 @@ def sentences(s: Slice) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.nd
     return [(x >> np.uint64(64 - BITS)).astype(np.int64) for x in hashes], first, doc[first], starts, ends
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each labelled document: label, distinct words of each sentence as (bucket, sentence) pairs."""
+def _bags(batch_y: np.ndarray, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Per slice: labels, sentences of each document, and the distinct (document, sentence, bucket) triples in order."""
+    for s in slices(column):
+        feats, first, doc, starts, _ = sentences(s)
+        sent = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(starts))))
+        key = np.unique(np.concatenate([sent << BITS | f for f in feats]))
+        sent, bucket = key >> BITS, key & ((1 << BITS) - 1)
+        yield batch_y[s.lo : s.hi], np.bincount(doc, minlength=s.n), doc[sent], sent, bucket
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, df, hits): documents and toxic documents with each feature, summed over the task."""
+    df, hits = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
     for batch in batches:
-        y = batch.column(0).to_numpy(zero_copy_only=False)
-        for s in slices(batch.column(1)):
-            feats, first, doc, starts, _ = sentences(s)
-            sent = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(starts))))
-            bounds = np.searchsorted(doc[sent], np.arange(s.n + 1)) if len(sent) else np.zeros(s.n + 1, np.int64)
-            rows = [np.unique(np.concatenate([(sent[a:b] - (sent[a] if b > a else 0)) << BITS | f[a:b] for f in feats])) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield pa.record_batch([pa.array(y[s.lo : s.hi].astype(np.int32)), pa.array(rows, pa.list_(pa.int64()))], names=["y", "words"])
-
-
-def train(docs: DataFrame, labels: DataFrame, sample: int = 8000, features: int = 2048, steps: int = 150) -> Model:
-    """Fit on at most about sample labelled documents, chosen by a hash of their ids; sample bounds what the driver holds."""
-    labelled = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("y")).where(crc_mod("doc_id", 5) != 0)
+        for y, _, doc, _, bucket in _bags(batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)):
+            once = np.unique(doc << BITS | bucket)
+            b = once & ((1 << BITS) - 1)
+            df += np.bincount(b, minlength=1 << BITS)
+            hits += np.bincount(b, weights=y[once >> BITS], minlength=1 << BITS).astype(np.int64)
+    at = np.flatnonzero(df)
+    yield pa.record_batch([pa.array(at), pa.array(df[at]), pa.array(hits[at])], names=["bucket", "df", "hits"])
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, features: int = 2048, steps: int = 150) -> Model:
+    """Fit on at most about sample labelled documents, chosen by a hash of their ids.
+
+    Executors count and screen the features; the driver gets the counts of the frequent ones, and for each document only
+    the few kept features and the number of its sentences.
+    """
+    labelled = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y")).where(crc_mod("doc_id", 5) != 0)
     n = labelled.count()
     if n > sample:
         labelled = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(sample / n * (1 << 20)))
     chosen = pick(docs, "doc_id", "text").join(F.broadcast(labelled), "doc_id").select("y", "text")  # at most about sample rows
-    table = chosen.mapInArrow(_rows, "y int, words array<bigint>").toArrow()
-    return fit(table["y"].to_numpy(), [x.values.to_numpy() for x in table["words"]], features, steps)
+    sums = chosen.mapInArrow(_counted, "bucket bigint, df bigint, hits bigint").groupBy("bucket").agg(F.sum("df").alias("df"), F.sum("hits").alias("hits")).where("df >= 5").toArrow()
+    bucket, df, hits = (sums[c].to_numpy() for c in ("bucket", "df", "hits"))
+    stat = labelled.agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("share")).first()
+    share = float(stat["share"] or 0.0)
+    if not 0 < share < 1:
+        return Model(np.zeros(1 << BITS, np.float32), -30.0, share)
+    low = wilson(hits, df)
+    best = np.lexsort((bucket, -low))[:features]
+    best = np.sort(best[low[best] > share])
+    kept, trust = bucket[best], low[best]
+    at = np.full(1 << BITS, -1, np.int64)
+    at[kept] = np.arange(len(kept))
+    shared = docs.sparkSession.sparkContext.broadcast(at.astype(np.int32))
+
+    def kept_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        for batch in batches:
+            for y, n_sent, doc, sent, b in _bags(batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)):
+                use = table[b] >= 0
+                d, key = doc[use], sent[use] << BITS | table[b[use]]
+                cut = pa.array(np.searchsorted(d, np.arange(len(y) + 1)).astype(np.int32))
+                yield pa.record_batch([pa.array(y.astype(np.int32)), pa.array(n_sent.astype(np.int32)), pa.ListArray.from_arrays(cut, pa.array(key))], names=["y", "n_sent", "hits"])
+
+    rows = chosen.mapInArrow(kept_only, "y int, n_sent int, hits array<bigint>").toArrow().combine_chunks()
+    hit = rows["hits"].combine_chunks()
+    size = hit.value_lengths().to_numpy()
+    key = hit.flatten().to_numpy()
+    return fit(rows["y"].to_numpy(), rows["n_sent"].to_numpy(), np.repeat(np.arange(len(size)), size), key >> BITS, key & ((1 << BITS) - 1), kept, trust, steps)
 
 
 def wilson(hits: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -83,47 +124,30 @@ def wilson(hits: np.ndarray, n: np.ndarray) -> np.ndarray:
     return (share + 2 / n - 2 * np.sqrt(share * (1 - share) / n + 1 / n**2)) / (1 + 4 / n)
 
 
-def fit(y: np.ndarray, bags: list[np.ndarray], features: int, steps: int, bias: float = -10.0) -> Model:
-    """Adam on the likelihood of the noisy-or. The bias of a sentence is fixed and low, so that thousands of harmless
-    sentences don't add up; labels that no word explains are the leak's.
+def fit(y: np.ndarray, n_sent: np.ndarray, doc: np.ndarray, sent: np.ndarray, feature: np.ndarray, kept: np.ndarray, trust: np.ndarray, steps: int, bias: float = -10.0) -> Model:
+    """Adam on the likelihood of the noisy-or, from the kept features of each sentence.
+
+    The bias of a sentence is fixed and low, so that thousands of harmless sentences don't add up; labels that no word
+    explains are the leak's.
     """
     weight = np.zeros(1 << BITS, np.float32)
-    share = float(y.mean()) if len(y) else 0.0
-    if not 0 < share < 1:
-        return Model(weight, -30.0, share)
-    # screening: words whose documents are surely toxic more often than the rest
-    sizes = np.asarray([len(b) for b in bags])
-    doc = np.repeat(np.arange(len(bags)), sizes)
-    flat = np.concatenate(bags)
-    bucket, sent = flat & ((1 << BITS) - 1), flat >> BITS
-    once = np.unique(doc << BITS | bucket)
-    d, b = once >> BITS, once & ((1 << BITS) - 1)
-    df, hits = np.bincount(b, minlength=1 << BITS), np.bincount(b, weights=y[d], minlength=1 << BITS)
-    low = wilson(hits, df)
-    kept = np.sort(np.argsort(-np.where(df >= 5, low, 0), kind="stable")[:features])
-    kept = kept[low[kept] > share]
-    at = np.full(1 << BITS, -1)
-    at[kept] = np.arange(len(kept))
-    # sentences as rows; those without a kept word share one score
-    key = doc << 24 | np.minimum(sent, (1 << 24) - 1)
-    rows, row = np.unique(key, return_inverse=True)
-    owner = rows >> 24
-    use = at[bucket] >= 0
-    r, c = row[use], at[bucket[use]]
-    leak = share / 2
-    trust = np.clip(low[kept], 1e-3, 1 - 1e-3)
+    share = float(y.mean())
+    rows, r = np.unique(np.stack([doc, sent], 1), axis=0, return_inverse=True) if len(doc) else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
+    r = r.reshape(-1)
+    owner = rows[:, 0]
+    rest = (n_sent - np.bincount(owner, minlength=len(y))) * np.log1p(-1 / (1 + np.exp(-bias)))  # sentences without a kept feature
+    trust = np.clip(trust, 1e-3, 1 - 1e-3)
     w = np.where(trust > 0.4, np.log(trust / (1 - trust)) - bias, 0.0)  # a start that explains the surest words
-    leak_z = np.log(leak / (1 - leak))
+    leak_z = np.log(share / 2 / (1 - share / 2))
     m = [np.zeros(len(kept) + 1) for _ in range(2)]
     for step in range(1, steps + 1):
-        z_s = bias + np.bincount(r, weights=w[c], minlength=len(rows))
+        z_s = bias + np.bincount(r, weights=w[feature], minlength=len(rows))
         p = 1 / (1 + np.exp(-np.clip(z_s, -30, 30)))
         leak = 1 / (1 + np.exp(-leak_z))
-        stay = np.log(1 - leak) + np.bincount(owner, weights=np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=len(bags))
-        none = np.exp(stay)
+        none = np.exp(np.log(1 - leak) + rest + np.bincount(owner, weights=np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=len(y)))
         ratio = np.where(y == 1, none / np.maximum(1 - none, 1e-9), -1.0)
         g_s = ratio[owner] * p
-        grad = np.concatenate([np.bincount(c, weights=g_s[r], minlength=len(kept)) - 0.3 * w, [(ratio * leak).sum()]])
+        grad = np.concatenate([np.bincount(feature, weights=g_s[r], minlength=len(kept)) - 0.3 * w, [(ratio * leak).sum()]])
         m[0] = 0.9 * m[0] + 0.1 * grad
         m[1] = 0.99 * m[1] + 0.01 * grad**2
         move = 0.3 * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.99**step)) + 1e-6) * (0.2 if step > steps * 0.7 else 1)
