@@ -1,7 +1,7 @@
 """Substring dedup by content-defined chunking.
 
 A gear rolling hash over the last 16 bytes cuts each text where its top bits are zero, so that an insertion only changes the
-chunks around it. A chunk's 128-bit digest identifies it in the whole corpus. Runs of chunks that also stand elsewhere are
+chunks around it. Short hashes of all chunks are counted first; then a chunk's 128-bit digest identifies it in the whole corpus. Runs of chunks that also stand elsewhere are
 repeated passages if they are long enough; every copy but the first (smallest id, then place) can be removed.
 
 Null and empty texts have no chunk. Repeated rows repeat each other's chunks. The first of tied copies is the one in the
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylex.llm.base import Slice, attach, code_points, materialise, mix64, pick, slices, spans_of
+from quarrylex.llm.base import Slice, attach, code_points, materialise, mix64, pick, slices, span_hashes, spans_of
 
 WINDOW = 16
 _GEAR = (mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.uint16)
@@ -66,58 +66,106 @@ def cuts(s: Slice, bits: int, least: int, most: int) -> tuple[np.ndarray, np.nda
     return owner, starts, ends
 
 
-CHUNKED = "doc_id bigint, d1 array<bigint>, d2 array<bigint>, starts array<int>, n_words array<int>, size int"
+def _sized(docs: DataFrame, bits: int, least: int, most: int) -> DataFrame:
+    """(d, n): 64-bit hashes of chunks with their number, summed in each slice before they are shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for s in slices(batch.column(0)):
+                _, start, end = cuts(s, bits, least, most)
+                found.append(span_hashes(s.data, start, end))
+            d, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            yield pa.record_batch([pa.array(d.view(np.int64)), pa.array(n.astype(np.int64))], names=["d", "n"])
+
+    return docs.select("text").mapInArrow(run, "d bigint, n bigint").groupBy("d").agg(F.sum("n").alias("n")).where("n > 1").select("d")
+
+
+def bloom(keys: DataFrame, n: int, most_bits: int = 1 << 27) -> np.ndarray:
+    """A bit map of written keys, one bit each in 16 to 32 per key while that is at most most_bits (16 MB).
+
+    It only spares work: what it lets through by chance is joined exactly. Partial maps are joined in few tasks, so that the
+    driver gets some maps of bounded size, never keys.
+    """
+    size = min(most_bits, 1 << max(10, (16 * max(n, 1)).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(size, bool)
+        for batch in batches:
+            bits[(mix64(batch.column(0).to_numpy().view(np.uint64)) & np.uint64(size - 1)).astype(np.int64)] = True
+        yield pa.record_batch([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["map"])
+
+    out = np.zeros(size // 8, np.uint8)
+    for row in keys.coalesce(4).mapInArrow(run, "map binary").toLocalIterator():
+        out |= np.frombuffer(row["map"], np.uint8)
+    return out
 
 
-def chunked(docs: DataFrame, bits: int = 6, least: int = 16, most: int = 2048) -> DataFrame:
-    """Per document the chunks' digests (two longs), their first code points and their numbers of words; size in code points."""
+HITS = "doc_id bigint, pos int, b1 bigint, b2 bigint, start int, stop int, n_words int"
+
+
+def _hits(docs: DataFrame, known: np.ndarray, bits: int, least: int, most: int) -> DataFrame:
+    """Chunks that the bit map knows, with 128-bit digest, place and words; and a row with pos -1 and the number of chunks (start) of each document."""
+    shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, mask = shared.value, np.uint64(len(shared.value) * 8 - 1)
         for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
             for s in slices(batch.column(1)):
                 owner, start, end = cuts(s, bits, least, most)
+                at = mix64(span_hashes(s.data, start, end)) & mask
+                hit = np.flatnonzero(table[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8)) & 1)
                 view = s.data.tobytes()
-                digest = np.frombuffer(b"".join([hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True)]), "<i8").reshape(-1, 2)
+                raw = b"".join([hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in zip(start[hit].tolist(), end[hit].tolist(), strict=True)])
+                digest = np.frombuffer(raw, "<i8").reshape(-1, 2)
                 cp = code_points(s.data)
-                first = (cp[start] - cp[s.off[owner]]).astype(np.int32)
+                first = cp[s.off[owner[hit]]]
                 word, _ = spans_of(~_SPACE[s.data], s.off)
-                n = (np.searchsorted(word, end) - np.searchsorted(word, start)).astype(np.int32)
-                offsets = pa.array(np.searchsorted(owner, np.arange(s.n + 1)).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(v))) for v in (digest[:, 0], digest[:, 1], first, n)]
-                yield pa.record_batch([batch.column(0)[s.lo : s.hi], *lists, pa.array((cp[s.off[1:]] - cp[s.off[:-1]]).astype(np.int32))], names=["doc_id", "d1", "d2", "starts", "n_words", "size"])
+                words = np.searchsorted(word, end[hit]) - np.searchsorted(word, start[hit])
+                count = np.bincount(owner, minlength=s.n)
+                pos = hit - np.searchsorted(owner, owner[hit])
+                zero = np.zeros(s.n, np.int64)
+                cols = [(ids[s.lo + owner[hit]], ids[s.lo : s.hi]), (pos, zero - 1), (digest[:, 0], zero), (digest[:, 1], zero), (cp[start[hit]] - first, count), (cp[end[hit]] - first, zero), (words, zero)]
+                kinds = [np.int64, np.int32, np.int64, np.int64, np.int32, np.int32, np.int32]
+                yield pa.record_batch([pa.array(np.concatenate(c).astype(k)) for c, k in zip(cols, kinds, strict=True)], names=[c.split()[0] for c in HITS.split(", ")])
 
-    return pick(docs, "doc_id", "text").mapInArrow(run, CHUNKED)
+    return docs.select("doc_id", "text").mapInArrow(run, HITS)
 
 
-def repeats(docs: DataFrame, min_words: int = 20, **cutting) -> DataFrame:
+def repeats(docs: DataFrame, min_words: int = 20, bits: int = 5, least: int = 16, most: int = 2048) -> DataFrame:
     """One row per document: its chunks, the repeated passages and what removing all but their first copies would take.
 
     A passage is a run of chunks whose digests stand elsewhere too, of at least min_words words. Columns: doc_id, n_chunks,
     n_shared (chunks that stand elsewhere), n_words_shared and spans (all repeated passages, start:end in code points),
     removed (the same for the parts that stood before), first_doc_ids (where these stand first), has_repeat.
+
+    Two passes: the first counts short hashes of all chunks, 8 bytes each; the second moves only chunks that it found twice.
     """
-    table = materialise(chunked(docs, **cutting), "chunks")
-    flat = table.select("doc_id", F.posexplode(F.arrays_zip("d1", "d2", "starts", "n_words"))).select("doc_id", "pos", "col.*")
-    shared = flat.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "pos")).alias("first")).where("copies > 1")
-    shared = materialise(shared, "shared")
-    marked = attach(flat, shared, ["d1", "d2"], shared.count())
-    rows = marked.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", F.col("starts").alias("start"), F.col("n_words").alias("words"), F.col("first.doc_id").alias("first_doc"), F.col("first.pos").alias("first_pos")))).alias("hits"))
-    joined = table.select("doc_id", "starts", "size").groupBy("doc_id").agg(F.first("starts").alias("starts"), F.first("size").alias("size")).join(rows, "doc_id", "left")
+    docs = pick(docs, "doc_id", "text")
+    twice = materialise(_sized(docs, bits, least, most), "twice")
+    hits = materialise(_hits(docs, bloom(twice, twice.count()), bits, least, most), "hits")
+    chunk = hits.where("pos >= 0")
+    shared = materialise(chunk.groupBy("b1", "b2").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "pos")).alias("first")).where("copies > 1").select("b1", "b2", "first"), "shared")
+    marked = attach(chunk, shared, ["b1", "b2"], shared.count())
+    hit = F.struct("pos", "start", "stop", F.col("n_words").alias("words"), F.col("first.doc_id").alias("first_doc"), F.col("first.pos").alias("first_pos"))
+    rows = marked.select("doc_id", F.lit(0).alias("n"), hit.alias("hit")).unionByName(hits.where("pos < 0").select("doc_id", F.col("start").alias("n"), F.lit(None).cast(marked.select(hit.alias("h")).schema["h"].dataType).alias("hit")))
+    joined = rows.groupBy("doc_id").agg(F.max("n").alias("n"), F.sort_array(F.collect_list("hit")).alias("hits"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_chunks", "n_shared", "n_words_shared", "spans", "removed", "first_doc_ids", "has_repeat"]
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.bool_())
-        for batch in batches:
-            out = [passages(doc, starts or [], size or 0, hits or [], min_words) for doc, starts, size, hits in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-            cols = list(zip(*out, strict=True)) or [()] * len(names)
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 500):
+                out = [passages(doc, n, found, min_words) for doc, n, found in zip(*(c.to_pylist() for c in whole.slice(lo, 500).columns), strict=True)]
+                cols = list(zip(*out, strict=True)) or [()] * len(names)
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
     return joined.mapInArrow(run, "doc_id bigint, n_chunks bigint, n_shared bigint, n_words_shared bigint, spans string, removed string, first_doc_ids array<bigint>, has_repeat boolean")
 
 
-def passages(doc: int, starts: list[int], size: int, hits: list[dict], min_words: int) -> tuple:
-    """The row of one document from its chunks' starts and its shared chunks in order."""
-    end = [*starts[1:], size]
+def passages(doc: int, n_chunks: int, hits: list[dict], min_words: int) -> tuple:
+    """The row of one document from its shared chunks in order."""
     runs: list[list[dict]] = []
     for h in hits:
         if runs and runs[-1][-1]["pos"] == h["pos"] - 1:
@@ -127,16 +175,15 @@ def passages(doc: int, starts: list[int], size: int, hits: list[dict], min_words
     runs = [r for r in runs if sum(h["words"] for h in r) >= min_words]
     spans, gone, firsts, words = [], [], set(), 0
     for r in runs:
-        spans.append(f"{r[0]['start']}:{end[r[-1]['pos']]}")
+        spans.append(f"{r[0]['start']}:{r[-1]['stop']}")
         words += sum(h["words"] for h in r)
-        open_at = None
+        opened = closed = None
         for h in [*r, None]:
-            later = h is not None and (h["first_doc"], h["first_pos"]) < (doc, h["pos"])
-            if later:
+            if h is not None and (h["first_doc"], h["first_pos"]) < (doc, h["pos"]):
                 firsts.add(h["first_doc"])
-                open_at = h["start"] if open_at is None else open_at
-                close = end[h["pos"]]
-            elif open_at is not None:
-                gone.append(f"{open_at}:{close}")
-                open_at = None
-    return doc, len(starts), len(hits), words, ",".join(spans), ",".join(gone), sorted(firsts), bool(runs)
+                opened = h["start"] if opened is None else opened
+                closed = h["stop"]
+            elif opened is not None:
+                gone.append(f"{opened}:{closed}")
+                opened = None
+    return doc, n_chunks, len({h["pos"] for h in hits}), words, ",".join(spans), ",".join(gone), sorted(firsts), bool(runs)
