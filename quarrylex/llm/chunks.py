@@ -101,11 +101,12 @@ def bloom(keys: DataFrame, n: int, most_bits: int = 1 << 27) -> np.ndarray:
     return out
 
 
-HITS = "doc_id bigint, pos int, b1 bigint, b2 bigint, start int, stop int, n_words int"
+#: place: first code point, length and words in one number, since all chunks that are found twice are moved with it.
+HITS = "doc_id bigint, pos int, b1 bigint, b2 bigint, place bigint"
 
 
 def _hits(docs: DataFrame, known: np.ndarray, bits: int, least: int, most: int) -> DataFrame:
-    """Chunks that the bit map knows, with 128-bit digest, place and words; and a row with pos -1 and the number of chunks (start) of each document."""
+    """Chunks that the bit map knows, with 128-bit digest, place and words; and a row with pos -1 and the number of chunks (place) of each document."""
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,8 +127,9 @@ def _hits(docs: DataFrame, known: np.ndarray, bits: int, least: int, most: int)
                 count = np.bincount(owner, minlength=s.n)
                 pos = hit - np.searchsorted(owner, owner[hit])
                 zero = np.zeros(s.n, np.int64)
-                cols = [(ids[s.lo + owner[hit]], ids[s.lo : s.hi]), (pos, zero - 1), (digest[:, 0], zero), (digest[:, 1], zero), (cp[start[hit]] - first, count), (cp[end[hit]] - first, zero), (words, zero)]
-                kinds = [np.int64, np.int32, np.int64, np.int64, np.int32, np.int32, np.int32]
+                place = (cp[start[hit]] - first) << 24 | (cp[end[hit]] - cp[start[hit]]) << 12 | words  # at most 2048 of both
+                cols = [(ids[s.lo + owner[hit]], ids[s.lo : s.hi]), (pos, zero - 1), (digest[:, 0], zero), (digest[:, 1], zero), (place, count)]
+                kinds = [np.int64, np.int32, np.int64, np.int64, np.int64]
                 yield pa.record_batch([pa.array(np.concatenate(c).astype(k)) for c, k in zip(cols, kinds, strict=True)], names=[c.split()[0] for c in HITS.split(", ")])
 
     return docs.select("doc_id", "text").mapInArrow(run, HITS)
@@ -148,8 +150,8 @@ def repeats(docs: DataFrame, min_words: int = 20, bits: int = 5, least: int = 16
     chunk = hits.where("pos >= 0")
     shared = materialise(chunk.groupBy("b1", "b2").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "pos")).alias("first")).where("copies > 1").select("b1", "b2", "first"), "shared")
     marked = attach(chunk, shared, ["b1", "b2"], shared.count())
-    hit = F.struct("pos", "start", "stop", F.col("n_words").alias("words"), F.col("first.doc_id").alias("first_doc"), F.col("first.pos").alias("first_pos"))
-    rows = marked.select("doc_id", F.lit(0).alias("n"), hit.alias("hit")).unionByName(hits.where("pos < 0").select("doc_id", F.col("start").alias("n"), F.lit(None).cast(marked.select(hit.alias("h")).schema["h"].dataType).alias("hit")))
+    hit = F.struct("pos", "place", F.when(F.col("first") < F.struct("doc_id", "pos"), F.col("first.doc_id")).alias("first"))
+    rows = marked.select("doc_id", F.lit(0).cast("bigint").alias("n"), hit.alias("hit")).unionByName(hits.where("pos < 0").select("doc_id", F.col("place").alias("n"), F.lit(None).cast("struct<pos:int,place:bigint,first:bigint>").alias("hit")))
     joined = rows.groupBy("doc_id").agg(F.max("n").alias("n"), F.sort_array(F.collect_list("hit")).alias("hits"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,24 +167,26 @@ def repeats(docs: DataFrame, min_words: int = 20, bits: int = 5, least: int = 16
 
 
 def passages(doc: int, n_chunks: int, hits: list[dict], min_words: int) -> tuple:
-    """The row of one document from its shared chunks in order."""
-    runs: list[list[dict]] = []
+    """The row of one document from its shared chunks in order; first: the document of an earlier copy, if there is one."""
+    runs: list[list[tuple]] = []
     for h in hits:
-        if runs and runs[-1][-1]["pos"] == h["pos"] - 1:
-            runs[-1].append(h)
-        elif not runs or runs[-1][-1]["pos"] != h["pos"]:
-            runs.append([h])
-    runs = [r for r in runs if sum(h["words"] for h in r) >= min_words]
+        start, words = h["place"] >> 24, h["place"] & 4095
+        chunk = (h["pos"], start, start + (h["place"] >> 12 & 4095), words, h["first"])
+        if runs and runs[-1][-1][0] == h["pos"] - 1:
+            runs[-1].append(chunk)
+        elif not runs or runs[-1][-1][0] != h["pos"]:
+            runs.append([chunk])
+    runs = [r for r in runs if sum(c[3] for c in r) >= min_words]
     spans, gone, firsts, words = [], [], set(), 0
     for r in runs:
-        spans.append(f"{r[0]['start']}:{r[-1]['stop']}")
-        words += sum(h["words"] for h in r)
+        spans.append(f"{r[0][1]}:{r[-1][2]}")
+        words += sum(c[3] for c in r)
         opened = closed = None
-        for h in [*r, None]:
-            if h is not None and (h["first_doc"], h["first_pos"]) < (doc, h["pos"]):
-                firsts.add(h["first_doc"])
-                opened = h["start"] if opened is None else opened
-                closed = h["stop"]
+        for c in [*r, None]:
+            if c is not None and c[4] is not None:
+                firsts.add(c[4])
+                opened = c[1] if opened is None else opened
+                closed = c[2]
             elif opened is not None:
                 gone.append(f"{opened}:{closed}")
                 opened = None
