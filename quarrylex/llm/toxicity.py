@@ -131,6 +131,8 @@ def fit(y: np.ndarray, n_sent: np.ndarray, doc: np.ndarray, sent: np.ndarray, fe
     explains are the leak's.
     """
     weight = np.zeros(1 << BITS, np.float32)
+    if not len(y):
+        return Model(weight, bias, 0.0)
     share = float(y.mean())
     rows, r = np.unique(np.stack([doc, sent], 1), axis=0, return_inverse=True) if len(doc) else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
     r = r.reshape(-1)
