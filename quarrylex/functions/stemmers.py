@@ -5,6 +5,8 @@ Porter and Lovins are meant for distinct terms (the vocabulary), never for posti
 
 from __future__ import annotations
 
+import functools
+import re
 from functools import lru_cache
 
 import pandas as pd
@@ -20,25 +22,49 @@ def _drop(t: Column, n: int, add: str = "") -> Column:
     return F.concat(short, F.lit(add)) if add else short
 
 
+def _alternatives(pattern: str) -> list[str]:
+    """The strings that a pattern of letters, [classes] and (?:a|b) groups matches."""
+    out = [""]
+    for group, cls, letter in re.findall(r"\(\?:([^)]*)\)|\[([^\]]*)\]|(.)", pattern):
+        out = [o + x for o in out for x in (group.split("|") if group else list(cls) if cls else [letter])]
+    return out
+
+
+def ends(t: Column, pattern: str) -> Column:
+    """t ends with the pattern, whatever the case; comparisons of bytes do instead of regular expressions.
+
+    A pattern may start with a negated class of the character before, which must be there.
+    """
+    low = F.lower(t)
+    m = re.match(r"\[\^([^\]]*)\](.*)$", pattern)
+    strings = _alternatives(m[2] if m else pattern)
+    test = functools.reduce(lambda a, b: a | b, [low.endswith(x) for x in strings])
+    if not m:
+        return test
+    before = F.substring(low, F.length(t) - len(strings[0]), F.lit(1))
+    return test & (F.length(t) > len(strings[0])) & (~before.rlike(r"\p{P}") if m[1] == r"\p{P}" else ~before.isin(*m[1]))
+
+
 def _rules(t: Column, *rules: tuple[int, str, int, str]) -> Column:
     """The first rule (length above, pattern of the end, characters to drop, ending to add) that holds."""
     out = None
     for above, pattern, n, add in rules:
-        test = (F.length(t) > above) & t.rlike(f"(?i){pattern}$")
+        test = (F.length(t) > above) & ends(t, pattern)
         out = F.when(test, _drop(t, n, add) if n or add else t) if out is None else out.when(test, _drop(t, n, add) if n or add else t)
     return out.otherwise(t)
 
 
 def plural_en(t: Column) -> Column:
-    return _rules(t, (3, r"[^ea]ies", 3, "y"), (3, r"ies", 0, ""), (4, r"(?:sh|ch|ss|x)es", 2, ""), (3, r"[^aeiou]es", 1, ""), (2, r"es", 0, ""), (2, r"[us]s", 0, ""), (2, r"[^\p{P}]s", 1, ""))
+    return F.when(~F.lower(t).endswith("s"), t).otherwise(_rules(t, (3, r"[^ea]ies", 3, "y"), (3, r"ies", 0, ""), (4, r"(?:sh|ch|ss|x)es", 2, ""), (3, r"[^aeiou]es", 1, ""), (2, r"es", 0, ""), (2, r"[us]s", 0, ""), (2, r"[^\p{P}]s", 1, "")))
 
 
 def plural_fr(t: Column) -> Column:
-    marked = F.when(t.rlike("(?i)aux$"), _drop(t, 3, "al")).when(t.rlike("(?i)x$"), _drop(t, 1))
-    s = F.when(t.rlike("(?i)s$"), _drop(t, 1)).otherwise(t)
-    for end in ("r", "e", "é"):
-        s = F.when(s.rlike(f"(?i){end}$") & (F.length(s) > 2), _drop(s, 1)).otherwise(s)
-    s = F.when(s.rlike(r"(?i)(\p{L})\1$") & (F.length(s) > 2), _drop(s, 1)).otherwise(s)
+    marked = F.when(ends(t, "aux"), _drop(t, 3, "al")).when(ends(t, "x"), _drop(t, 1))
+    # one s, then r, e and é in this order, then one of two like letters
+    s = F.regexp_replace(F.regexp_replace(t, "(?i)s$", ""), "(?i)(?<=^.{2,64})r$", "")
+    for end in ("e", "é"):
+        s = F.regexp_replace(s, f"(?i)(?<=^.{{2,64}}){end}$", "")
+    s = F.regexp_replace(s, r"(?i)(?<=^.{1,64})(\p{L})\1$", "$1")
     return F.when(F.length(t) > 5, marked.otherwise(s)).otherwise(t)
 
 
@@ -63,7 +89,7 @@ def plural_de(t: Column) -> Column:
 
 
 def plural_it(t: Column) -> Column:
-    return _rules(t, (5, "(?:[ih]e|[ih]i)", 2, ""), (5, "[ei]", 1, ""), (5, "i[oa]", 2, ""), (5, "[oa]", 1, ""))
+    return _rules(t, (5, "[ih][ei]", 2, ""), (5, "[ei]", 1, ""), (5, "i[oa]", 2, ""), (5, "[oa]", 1, ""))
 
 
 def plural_nl(t: Column) -> Column:
@@ -85,7 +111,7 @@ def plural_da(t: Column) -> Column:
 def plural_bg(t: Column) -> Column:
     core = _rules(t, (4, "ове", 3, ""), (4, "еве", 3, "й"), (4, "ища", 3, ""), (4, "овци", 3, "о"), (4, "ци", 2, "к"), (4, "зи", 2, "г"))
     inner = F.when((F.length(t) > 4) & t.rlike("(?i)е.и$"), F.concat(_drop(t, 3), F.lit("я"), F.substring(t, F.length(t) - 1, F.lit(1))))
-    known = (F.length(t) > 4) & t.rlike("(?i)(?:ове|еве|ища|ци|зи)$")
+    known = (F.length(t) > 4) & ends(t, "(?:ове|еве|ища|ци|зи)")
     return F.when(known, core).otherwise(F.coalesce(inner, _rules(t, (4, "та", 2, ""), (4, "и", 1, ""))))
 
 

@@ -25,7 +25,7 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def tokens(text: Column) -> Column:
     """Words of a text, A-Z lower-cased; lower() does that at once where the text is ASCII."""
     low = F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, _UPPER, _LOWER)).otherwise(F.lower(text))
-    return F.filter(F.split(F.coalesce(low, F.lit("")), SEPARATORS), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(low, F.lit("")), SEPARATORS), "")
 
 
 def windows(items: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
