@@ -1,8 +1,9 @@
 """Substring dedup by content-defined chunking.
 
 A gear rolling hash over the last 16 bytes cuts each text where its top bits are zero, so that an insertion only changes the
-chunks around it. Short hashes of all chunks are counted first; then a chunk's 128-bit digest identifies it in the whole corpus. Runs of chunks that also stand elsewhere are
-repeated passages if they are long enough; every copy but the first (smallest id, then place) can be removed.
+chunks around it. Stretches without a cut, such as one word again and again, are cut at their largest hashes. Short hashes of
+all chunks are counted first; then a chunk's 128-bit digest identifies it in the whole corpus. Runs of chunks that also stand
+elsewhere are repeated passages if they are long enough; every copy but the first (smallest id, then place) can be removed.
 
 Null and empty texts have no chunk. Repeated rows repeat each other's chunks. The first of tied copies is the one in the
 document with the smallest id, at the smallest place. Extra columns of the input are ignored.
@@ -42,10 +43,11 @@ def cuts(s: Slice, bits: int, least: int, most: int) -> tuple[np.ndarray, np.nda
     """(document, start, end) of the chunks of all texts.
 
     A place is a cut if the hash's top bits are zero and no such place is among the least bytes before it; gaps longer than
-    most are cut every most bytes. Both rules look at the bytes nearby only.
+    most are cut where the hash is largest in the second half of the next most bytes. Both rules look at the bytes nearby only.
     """
     size = np.diff(s.off)
-    at = np.flatnonzero(gear(s.data) >> np.uint16(16 - bits) == 0) + 1
+    hashes = gear(s.data)
+    at = np.flatnonzero(hashes >> np.uint16(16 - bits) == 0) + 1
     doc = s.doc_of(at - 1)
     at, doc = at[(at - s.off[doc] >= least)], doc[(at - s.off[doc] >= least)]
     far = np.ones(len(at), bool)
@@ -58,11 +60,19 @@ def cuts(s: Slice, bits: int, least: int, most: int) -> tuple[np.ndarray, np.nda
     starts, owner = starts[order], owner[order]
     ends = np.append(starts[1:], len(s.data))
     ends = np.where(np.append(owner[1:] != owner[:-1], True), s.off[owner + 1], ends) if len(owner) else ends[:0]
-    pieces = -(-(ends - starts) // most)
-    if len(pieces) and pieces.max() > 1:
-        rank = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        begin, stop, owner = np.repeat(starts, pieces) + rank * most, np.repeat(ends, pieces), np.repeat(owner, pieces)
-        return owner, begin, np.minimum(begin + most, stop)
+    wide = np.flatnonzero(ends - starts > most)
+    if len(wide):
+        more, whose = [], []
+        for i in wide.tolist():
+            a = int(starts[i])
+            while ends[i] - a > most:  # the largest hash of the next bytes; of equal ones the first, so that periods fall in step
+                a += most // 2 + 1 + int(hashes[a + most // 2 : a + most].argmax())
+                more.append(a)
+                whose.append(int(owner[i]))
+        owner, starts = np.concatenate([owner, np.asarray(whose, owner.dtype)]), np.concatenate([starts, np.asarray(more, starts.dtype)])
+        order = np.argsort(starts, kind="stable")
+        owner, starts = owner[order], starts[order]
+        ends = np.where(np.append(owner[1:] != owner[:-1], True), s.off[owner + 1], np.append(starts[1:], len(s.data)))
     return owner, starts, ends
 
 
@@ -127,7 +137,7 @@ def _hits(docs: DataFrame, known: np.ndarray, bits: int, least: int, most: int)
                 count = np.bincount(owner, minlength=s.n)
                 pos = hit - np.searchsorted(owner, owner[hit])
                 zero = np.zeros(s.n, np.int64)
-                place = (cp[start[hit]] - first) << 24 | (cp[end[hit]] - cp[start[hit]]) << 12 | words  # at most 2048 of both
+                place = (cp[start[hit]] - first) << 24 | (cp[end[hit]] - cp[start[hit]]) << 12 | words  # less than 4096 of both
                 cols = [(ids[s.lo + owner[hit]], ids[s.lo : s.hi]), (pos, zero - 1), (digest[:, 0], zero), (digest[:, 1], zero), (place, count)]
                 kinds = [np.int64, np.int32, np.int64, np.int64, np.int64]
                 yield pa.record_batch([pa.array(np.concatenate(c).astype(k)) for c, k in zip(cols, kinds, strict=True)], names=[c.split()[0] for c in HITS.split(", ")])
@@ -135,7 +145,7 @@ def _hits(docs: DataFrame, known: np.ndarray, bits: int, least: int, most: int)
     return docs.select("doc_id", "text").mapInArrow(run, HITS)
 
 
-def repeats(docs: DataFrame, min_words: int = 20, bits: int = 5, least: int = 16, most: int = 2048) -> DataFrame:
+def repeats(docs: DataFrame, min_words: int = 20, bits: int = 5, least: int = 16, most: int = 256) -> DataFrame:
     """One row per document: its chunks, the repeated passages and what removing all but their first copies would take.
 
     A passage is a run of chunks whose digests stand elsewhere too, of at least min_words words. Columns: doc_id, n_chunks,
