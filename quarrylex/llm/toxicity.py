@@ -124,11 +124,11 @@ def wilson(hits: np.ndarray, n: np.ndarray) -> np.ndarray:
     return (share + 2 / n - 2 * np.sqrt(share * (1 - share) / n + 1 / n**2)) / (1 + 4 / n)
 
 
-def fit(y: np.ndarray, n_sent: np.ndarray, doc: np.ndarray, sent: np.ndarray, feature: np.ndarray, kept: np.ndarray, trust: np.ndarray, steps: int, bias: float = -10.0) -> Model:
+def fit(y: np.ndarray, n_sent: np.ndarray, doc: np.ndarray, sent: np.ndarray, feature: np.ndarray, kept: np.ndarray, trust: np.ndarray, steps: int, bias: float = -10.0, ridge: float = 0.1) -> Model:
     """Adam on the likelihood of the noisy-or, from the kept features of each sentence.
 
     The bias of a sentence is fixed and low, so that thousands of harmless sentences don't add up; labels that no word
-    explains are the leak's.
+    explains are the leak's. ridge pulls the weights towards 0.
     """
     weight = np.zeros(1 << BITS, np.float32)
     if not len(y):
@@ -149,7 +149,7 @@ def fit(y: np.ndarray, n_sent: np.ndarray, doc: np.ndarray, sent: np.ndarray, fe
         none = np.exp(np.log(1 - leak) + rest + np.bincount(owner, weights=np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=len(y)))
         ratio = np.where(y == 1, none / np.maximum(1 - none, 1e-9), -1.0)
         g_s = ratio[owner] * p
-        grad = np.concatenate([np.bincount(feature, weights=g_s[r], minlength=len(kept)) - 0.3 * w, [(ratio * leak).sum()]])
+        grad = np.concatenate([np.bincount(feature, weights=g_s[r], minlength=len(kept)) - ridge * w, [(ratio * leak).sum()]])
         m[0] = 0.9 * m[0] + 0.1 * grad
         m[1] = 0.99 * m[1] + 0.01 * grad**2
         move = 0.3 * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.99**step)) + 1e-6) * (0.2 if step > steps * 0.7 else 1)
