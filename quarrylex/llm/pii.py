@@ -76,7 +76,7 @@ def numbers(text: str) -> list[tuple[str, int, int]]:
     for region in _REGION.finditer(text):
         at, run = region.start(), region.group()
         for m in _IP.finditer(run):
-            if all(len(p) < 20 and int(p) <= 255 for p in m.group().split(".")):
+            if all(len(p) < 4 and int(p) <= 255 for p in (q.lstrip("0") or "0" for q in m.group().split("."))):
                 out.append(("ip", at + m.start(), at + m.end()))
         for m in _CARD.finditer(run):
             digits = _NOT_DIGIT.sub("", m.group())
