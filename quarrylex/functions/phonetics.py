@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from quarrylex.functions.text import strip_accents, strip_accents_py
 
+# Codes of A to Z.
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _SOUNDEX = dict(zip(_LETTERS, "01230120022455012623010202", strict=True))
 _PHONIX = dict(zip(_LETTERS, "01230720022455012683070808", strict=True))
@@ -46,6 +47,7 @@ def soundex_alternative(term: Column) -> Column:
 
 
 # --- Phonix: (scope, old, new, before, after) with scope ^ start, $ end, m middle, * anywhere; V vowel, C consonant -------
+# The published rules of letter groups.
 _V, _C = "[AEIOUY]", "[B-DF-HJ-NP-TV-XZ]"
 _GADD = """* DG G|* CO KO|* CA KA|* CU KU|* CY SI|* CI SI|* CE SE|^ CL KL . V|* CK K|$ GC K|$ JC K|^ CHR KR . V|^ CR KR . V|^ WR R|* NC NK|* CT KT|* PH F|* AA AR|* SCH SH|* BTL TL|* GHT T|* AUGH ARF|m LJ LD V V|* LOUGH LOW
 ^ Q KW|^ KN N|$ GN N|* GHN N|$ GNE N|* GHNE NE|$ GNES NS|^ GN N|m GN N . C|^ PS S|^ PT T|^ CZ C|m WZ Z V .|m CZ CH|* LZ LSH|* RZ RSH|m Z S . V|* ZZ TS|m Z TS C .|* HROUG REW|* OUGH OF|m Q KW V V|m J Y V V|^ YJ Y . V
@@ -65,7 +67,7 @@ def _compile() -> list[tuple[re.Pattern[str], str]]:
 
 
 _PHONIX_RULES = _compile()
-#: First letters of the terms that a phonix query may match, by the query's first letter.
+#: First letters of the terms that a phonix query may match, by the query's first letter.
 PHONIX_FIRST = {"a": "aehiorsuy", "c": "ct", "d": "djr", "e": "aeiotuxy", "f": "fp", "g": "deg", "i": "aeilouy", "k": "cgjkq", "n": "gkmnp", "o": "aeiouy", "r": "hrw", "s": "cepsz", "t": "bdgptz", "u": "aeiouy", "v": "vw", "y": "aeijouy", "z": "wz"}
 
 

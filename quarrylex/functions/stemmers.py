@@ -157,6 +157,7 @@ def _table(text: str) -> dict[str, str]:
     return dict(pair.split(">") for pair in text.split())
 
 
+# Endings of the steps.
 _STEP2 = _table("ational>ate ation>ate ator>ate abli>able alism>al aliti>al alli>al anci>ance biliti>ble eli>e enci>ence entli>ent fulness>ful isation>ise iser>ise iveness>ive iviti>ive ization>ize izer>ize ousli>ous ousness>ous tional>tion")
 _STEP3 = _table("alise>al alize>al ative> ful> ical>ic icate>ic iciti>ic ness>")
 _STEP4 = "able al ance ant ate ement ence ent er ible ic ise ism iti ive ize ment ou ous".split()
@@ -206,7 +207,7 @@ def porter(term: str) -> str:
 
 # --- Lovins -----------------------------------------------------------------------------------------------------------
 
-#: Endings by the letter of their condition, after the published list; A stands for no condition.
+#: Fixed values of the published algorithm: endings by the letter of their condition, A for none.
 _LOVINS = {
     "A": """a ae acy aic ata ate able ably aric ates ator acies acity aical alist ality alize arial aries arily arity arize aroid ately ative
         ators atory aceous alness ancial ancies ariser arized arizer atable atives ability aically alities aristic arizing ateness atingly
@@ -233,7 +234,7 @@ _CONDITION = {
     "AA": lambda s: s.endswith(("d", "f", "ph", "th", "l", "er", "or", "es", "t")), "BB": lambda s: len(s) > 2 and not s.endswith(("met", "ryst")), "CC": lambda s: s.endswith("l"),
 }
 _ENDINGS = {e: k for k, v in _LOVINS.items() for e in v.split()}
-#: Respellings of a stem's end: old>new, with letters before that block (-) or are asked for (+).
+#: Respellings of a stem's end: old>new, with letters before that block (-) or are asked for (+).
 _RECODE = [x.split() for x in """uad>uas - |vad>vas - |cid>cis - |lid>lis - |erid>eris - |pand>pans - |end>ens -s |ond>ons - |lud>lus - |rud>rus - |ul>l -aio |istr>ister - |metr>meter - |her>hes -pt |urs>ur - |uct>uc - |umpt>um -
     |rpt>rb - |mit>mis - |ert>ers - |et>es -n |yt>ys - |iev>ief - |olv>olut - |bex>bic - |dex>dic - |pex>pic - |tex>tic - |ax>ac - |ex>ec - |ix>ic - |lux>luc - |yz>ys -""".split("|")]
 

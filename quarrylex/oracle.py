@@ -111,7 +111,7 @@ ORACLE |= {
     "tok_components": rf"""SELECT DISTINCT token, part FROM (SELECT token, unnest(list_filter(string_split_regex(token, '[\p{{P}}\p{{S}}]+'), lambda x: x <> '')) AS part FROM (SELECT DISTINCT unnest({PUNCT_TOKENS}) AS token FROM documents) WHERE regexp_matches(token, '[^\p{{P}}\p{{S}}][\p{{P}}\p{{S}}]+[^\p{{P}}\p{{S}}]')) WHERE part <> token""",
     "case_classes": rf"SELECT CASE WHEN u AND NOT l THEN 'upper' WHEN u AND l THEN 'mixed' WHEN l THEN 'lower' WHEN d THEN 'digits' ELSE 'none' END AS kind, count(*) AS n, min(token) AS first FROM (SELECT token, regexp_matches(token, '\p{{Lu}}') AS u, regexp_matches(token, '\p{{Ll}}') AS l, regexp_matches(token, '^\p{{Nd}}+$') AS d FROM ({VOCABULARY})) GROUP BY 1",
     "accents": f"SELECT token, translate(token, '{_A}', '{_B}') AS bare FROM ({VOCABULARY}) WHERE translate(token, '{_A}', '{_B}') <> token",
-    "stop_flags": f"SELECT term FROM ({LOW}) WHERE term IN ('a','about','an','are','as','at','be','by','com','edu','for','from','how','i','in','is','it','of','on','that','the','this','to','was','what','when','where','who','why','will','with')",
+    "stop_flags": f"SELECT term FROM ({LOW}) WHERE term IN ('a','about','an','are','as','at','be','by','com','edu','for','from','how','i','in','is','it','of','on','that','the','this','to','was','what','when','where','which','who','why','will','with')",
     "soundex_std": f"""SELECT term, rpad(upper(substr(term, 1, 1)) || substr(regexp_replace(translate(substr(sq, 2), 'BPFVCSKGJQXZDTLMNRAEIOUHWY', '11112222222233455600000000'), '0', '', 'g'), 1, 3), 4, '0') AS key
         FROM (SELECT term, {{squeezed}} AS sq FROM ({ASCII_LOW}))""",
     "soundex_alt": f"SELECT term, substr(term, 1, 1) || substr(translate(regexp_replace(upper(substr(term, 2)), '[^BCDFGJKLMNPQRSTVXZ]', '', 'g'), 'BPFVCSKGJQXZDTLMNR', '111122222222334556'), 1, 5) AS key FROM ({ASCII_LOW})",
@@ -163,7 +163,7 @@ ORACLE |= {
     "set_or": f"WITH {BASE} SELECT doc_id FROM {_FULL}", "set_and": f"WITH {BASE} SELECT doc_id FROM {_FULL} WHERE l > 0 AND r > 0", "set_xor": f"WITH {BASE} SELECT doc_id FROM {_FULL} WHERE (l > 0) <> (r > 0)", "set_not": f"WITH {BASE} SELECT doc_id FROM {_FULL} WHERE r = 0",
     "relaxed_and": scored(WITH), "strict_and": f"WITH {BASE} SELECT doc_id, 0.0::DOUBLE AS score FROM low WHERE FALSE",
     "stop_phrase": f"WITH {BASE} SELECT DISTINCT a.doc_id FROM low a JOIN low b ON a.doc_id = b.doc_id AND b.pos - a.pos = 2 WHERE a.term = 'of' AND b.term = 'and'",
-    "stop_handling": f"WITH {BASE} SELECT term, count(*) AS term_count, 0::BIGINT AS kept FROM posts WHERE lower(term) IN ('a','about','an','are','as','at','be','by','com','edu','for','from','how','i','in','is','it','of','on','that','the','this','to','was','what','when','where','who','why','will','with') GROUP BY term",
+    "stop_handling": f"WITH {BASE} SELECT term, count(*) AS term_count, 0::BIGINT AS kept FROM posts WHERE lower(term) IN ('a','about','an','are','as','at','be','by','com','edu','for','from','how','i','in','is','it','of','on','that','the','this','to','was','what','when','where','which','who','why','will','with') GROUP BY term",
     "proximity_weight": f"WITH {BASE} SELECT doc_id, round(sum(CASE WHEN gap = 1 THEN 3.0 ELSE 1.0 END)::DOUBLE, 6) AS score FROM (SELECT doc_id, pos - lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS gap FROM low WHERE term IN ('that', 'with')) GROUP BY doc_id",
     "co_occurrence": f"WITH {BASE} SELECT doc_id, round(CASE WHEN l > 0 AND r > 0 THEN (l + r) * 1.2 ELSE l + r END, 6) AS score FROM {_FULL}",
     "frequent_demotion": f"WITH {BASE} SELECT term, count(*) AS term_count FROM low GROUP BY term HAVING count(*) * 100.0 / (SELECT n FROM nn) > 100.0",
@@ -171,12 +171,12 @@ ORACLE |= {
     "topk_relevance": scored(either(THAT, WITH)) + " ORDER BY s.w / ln(n + 1.0) DESC, s.doc_id LIMIT 10", "splice_page": scored(either(THAT, WITH)) + " ORDER BY s.w / ln(n + 1.0) DESC, s.doc_id LIMIT 15 OFFSET 10", "sort_none": scored(THAT),
     "sort_date": "SELECT o_orderkey AS doc_id, strftime(o_orderdate, '%Y%m%d000000')::BIGINT AS ansi_date FROM orders WHERE lower(o_orderpriority) LIKE '%urgent%' ORDER BY ansi_date, doc_id LIMIT 50",
     "sort_rank": "SELECT o_orderkey AS doc_id, o_custkey AS rank FROM orders WHERE lower(o_orderpriority) LIKE '%high%' ORDER BY o_custkey DESC, doc_id LIMIT 50",
-    "sort_item": "SELECT p_partkey AS doc_id, p_size::BIGINT AS size FROM part WHERE list_contains(regexp_extract_all(lower(p_type), '[a-z]+'), 'steel') ORDER BY p_size DESC, doc_id LIMIT 50",
+    "sort_item": "SELECT p_partkey AS doc_id, p_size::BIGINT AS size FROM part WHERE list_contains(regexp_extract_all(lower(p_type), '[a-z]+'), 'promo') ORDER BY p_size DESC, doc_id LIMIT 50",
     "filter_date": "SELECT o_orderkey AS doc_id FROM orders WHERE lower(o_orderpriority) LIKE '%urgent%' AND strftime(o_orderdate, '%Y%m%d')::BIGINT BETWEEN 19960000 AND 19970630",
     "filter_date_name": "SELECT o_orderkey AS doc_id FROM orders WHERE lower(o_orderpriority) LIKE '%urgent%' AND year(o_orderdate) >= 1996",
     "restriction_only": f"WITH {BASE} SELECT doc_id FROM documents WHERE lang = 'fr' AND doc_id NOT IN (SELECT doc_id FROM low WHERE term IN ('le', 'la'))",
     "list_filter": f"WITH {BASE} SELECT DISTINCT doc_id FROM low WHERE term = 'with' AND doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)",
-    "multi_field": r"SELECT p_partkey AS doc_id FROM part WHERE list_contains(regexp_extract_all(lower(p_type), '[\p{L}\p{N}]+'), 'brass') AND list_contains(regexp_extract_all(lower(p_brand), '[\p{L}\p{N}]+'), '13')",
+    "multi_field": r"SELECT p_partkey AS doc_id FROM part WHERE list_contains(regexp_extract_all(lower(p_type), '[\p{L}\p{N}]+'), 'medium') AND list_contains(regexp_extract_all(lower(p_brand), '[\p{L}\p{N}]+'), '13')",
 }
 
 _ITEM = "(SELECT text FROM benchmark ORDER BY item_id LIMIT 1)"
@@ -252,3 +252,13 @@ ORACLE |= {
     "log_frequency": "SELECT times, count(*) AS searches FROM (SELECT user_id, count(*) AS times FROM events GROUP BY 1) GROUP BY 1",
     "log_window": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
 }
+
+_S = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(term, 's$', ''), '^(.{2,64})r$', '\1'), '^(.{2,64})e$', '\1'), '^(.{2,64})é$', '\1')"
+ORACLE |= {
+    "stem_plural_fr": rf"""SELECT term, stem FROM (SELECT term, CASE WHEN length(term) <= 5 THEN term WHEN term LIKE '%aux' THEN left(term, length(term) - 3) || 'al' WHEN term LIKE '%x' THEN left(term, length(term) - 1)
+        WHEN length(s) > 2 AND right(s, 1) = substr(s, length(s) - 1, 1) AND regexp_matches(s, '\p{{L}}$') THEN left(s, length(s) - 1) ELSE s END AS stem FROM (SELECT term, {_S} AS s FROM ({LOW}))) WHERE stem <> term""",
+    "typo_expansion": f"WITH {BASE} SELECT term, count(*) AS term_count, count(DISTINCT doc_id) AS doc_count FROM posts WHERE term LIKE 't%' AND damerau_levenshtein(term, 'ther') <= 1 GROUP BY term",
+    "source_index_stream": f"SELECT term, count(*) AS term_count, count(DISTINCT item_id) AS doc_count FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '{ALNUM}')) AS term FROM benchmark) GROUP BY term",
+}
+for _form in ("para", "mbox", "refer", "tagged_text", "tagged_xml", "feed", "medline", "omim", "trec"):
+    ORACLE[f"source_{_form}"] = r"SELECT item_id::VARCHAR AS key, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS digest FROM benchmark"

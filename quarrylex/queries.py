@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +16,8 @@ from quarrylex.operators import algebra, catalog, expand, feedback, index, logs,
 from quarrylex.operators.index import Config, Field
 from quarrylex.plans.compile import Plan, merged_reports
 from quarrylex.plans.parser import parse
-from quarrylex.session import ship
-from quarrylex.sources import tables
+from quarrylex.session import shared_folder, ship
+from quarrylex.sources import formats, stream, tables
 from quarrylex.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -317,7 +319,7 @@ def sort_rank(spark, sf_dir):
 @query
 def sort_item(spark, sf_dir):
     x = index.build(tables.parts(spark, sf_dir), Config(name="part", fields=(Field("kind", "kind"), Field("size", "size")), stemmer="none", stop_list="none"))
-    r = Engine({"part": x}, kinds={"size": "int"}).search("part", "kind=steel {sort:size:desc}", end=49)
+    r = Engine({"part": x}, kinds={"size": "int"}).search("part", "kind=promo {sort:size:desc}", end=49)
     return r.page.select("doc_id", F.col("sort_key").cast("bigint").alias("size"))
 
 
@@ -354,7 +356,7 @@ def list_filter(spark, sf_dir):
 @query
 def multi_field(spark, sf_dir):
     x = index.build(tables.parts(spark, sf_dir), Config(name="part", fields=(Field("brand", "brand"), Field("kind", "kind")), stemmer="none", stop_list="none"))
-    return Engine({"part": x}).search("part", "kind=brass AND brand:13").scored.select("doc_id")
+    return Engine({"part": x}).search("part", "kind=medium AND brand:13").scored.select("doc_id")
 
 
 # --- feedback, key terms ------------------------------------------------------------------------------------------------
@@ -552,3 +554,55 @@ def log_window(spark, sf_dir):
     return t.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
+# --- sources: the items, written in each format and read again ------------------------------------------------------------
+
+
+def _written(spark, sf_dir) -> tuple[DataFrame, str]:
+    items = tables.table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("doc_key"), F.concat(F.lit("Item "), F.col("item_id").cast("string")).alias("title"), F.regexp_replace("text", r"\s+", " ").alias("text"))
+    return items, f"{shared_folder(spark)}/source-{uuid.uuid4().hex}"
+
+
+#: What a document looks like in each format, and the column or field that has its text.
+RECORDS = {
+    "para": ("<key>\n<text>\n", "text"), "mbox": ("From a@b Mon Oct 11 2004\nMessage-ID: <key>\nSubject: <title>\n\n<text>\n", "body"), "refer": ("%T <title>\n%L <key>\n%X <text>\n", "abstract"),
+    "tagged-text": ("title: <title>\nkey: <key>\ntext: <text>\n---", "text"), "tagged-xml": ("<document><title><title></title><key><key></key><text><![CDATA[<text>]]></text></document>", "text"),
+    "feed": ("Title: <title>\nKey: <key>\nDescription: <text>\n", "description"), "medline": ("UI  - <key>\nTI  - <title>\nAB  - <text>\n", "AB"), "omim": ("*RECORD*\n*FIELD* NO\n<key>\n*FIELD* TI\n<title>\n*FIELD* TX\n<text>", "TX"),
+    "trec": ("<DOC>\n<DOCNO><key></DOCNO>\n<HEADLINE><title></HEADLINE>\n<TEXT>\n<text>\n</TEXT>\n</DOC>", None),
+}
+
+
+def _record(form: str):
+    """The record as a Column: in XML only the innermost marks stand for values."""
+    record, out, at = RECORDS[form][0], [], 0
+    marks = {"<key>": "doc_key", "<title>": "title", "<text>": "text"}
+    for m in re.finditer(r"(?<=<key>)<key>|(?<=<title>)<title>|(?<=CDATA\[)<text>" if form == "tagged-xml" else r"<key>|<title>|<text>", record):
+        out += [F.lit(record[at : m.start()]), F.col(marks[m[0]])]
+        at = m.end()
+    return F.concat(*out, F.lit(record[at:]))
+
+
+def _source(form: str) -> None:
+    def run(spark, sf_dir):
+        items, path = _written(spark, sf_dir)
+        items.select(_record(form).alias("value")).write.text(path)
+        docs = formats.read(spark, form, path)
+        name = RECORDS[form][1]
+        body = F.col("text") if name is None else F.col("fields")[name]
+        key = F.col("title") if form == "para" else F.col("doc_key")
+        return docs.select(key.alias("key"), F.md5(F.trim(F.regexp_replace(body, r"\s+", " ")).cast("binary")).alias("digest"))
+
+    run.__name__ = f"source_{form.replace('-', '_')}"
+    query(run)
+
+
+for _name in RECORDS:
+    _source(_name)
+
+
+@query
+def source_index_stream(spark, sf_dir):
+    """Terms of the index that streams of the items describe."""
+    items, path = _written(spark, sf_dir)
+    stream.write_stream(items, path)
+    x = stream.read_index(spark, path, Config(name="items", stemmer="none", stop_list="none", case_variants=False))
+    return x.terms.select("term", "term_count", "doc_count")

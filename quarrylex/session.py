@@ -29,6 +29,21 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
     return ship(builder.getOrCreate())
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir where the session names one.
+
+    Only where it is unset (single-machine sessions, such as tests) a temporary folder is made and set for the session.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if spark.sparkContext.master.startswith("local"):
+            found = f"file://{tempfile.mkdtemp(prefix='quarrylex-')}"
+        else:
+            found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Give the executors this package, unless PYTHONPATH already has it; done once for a context."""
     top = Path(__file__).resolve().parent

@@ -89,6 +89,7 @@ def read_mbox(spark: SparkSession, path, **how) -> DataFrame:
     return _documents(rows, got("message-id"), got("subject"), F.regexp_replace(got("date"), r" *\([^)]*\)$", ""), fields, body)
 
 
+# Field names of the record letters.
 REFER = {
     "A": "author", "B": "book", "C": "city", "D": "date", "E": "editor", "F": "footnote", "G": "govt", "H": "commentary", "I": "publisher", "J": "journal", "K": "keyword", "L": "label", "M": "bell", "N": "issue", "O": "other", "P": "page",
     "Q": "corporate", "R": "report", "S": "series", "T": "title", "U": "annotation", "V": "volume", "W": "undefined", "X": "abstract", "Y": "toc", "Z": "reference",
@@ -105,7 +106,7 @@ def read_refer(spark: SparkSession, path, **how) -> DataFrame:
     return _documents(rows, raw["L"], raw["T"], raw["D"], fields, F.array_join(F.map_values(raw), "\n"))
 
 
-def read_mps_text(spark: SparkSession, path, **how) -> DataFrame:
+def read_tagged_text(spark: SparkSession, path, **how) -> DataFrame:
     """Tagged text: lines "title: ", "url: ", "date: ", "key: ", "language: " and then text, documents apart by form feeds or ---."""
     rows = _split(files(spark, path, **how), r"(?m)^(?:\f|---+)[ \t]*$")
     v = F.concat(F.lit("\n"), F.col("value"))
@@ -113,7 +114,7 @@ def read_mps_text(spark: SparkSession, path, **how) -> DataFrame:
     return _documents(rows, raw["key"], raw["title"], raw["date"], raw, F.coalesce(raw["text"], F.col("value")))
 
 
-def read_mps_xml(spark: SparkSession, path, **how) -> DataFrame:
+def read_tagged_xml(spark: SparkSession, path, **how) -> DataFrame:
     """The same as elements of <document>."""
     rows = files(spark, path, **how).select("path", F.posexplode(F.regexp_extract_all("value", F.lit(r"(?s)<document\b[^>]*>(.*?)</document>"), F.lit(1))).alias("seq", "value"))
     v = F.col("value")
@@ -163,7 +164,7 @@ def read_trec(spark: SparkSession, path, **how) -> DataFrame:
 
 
 FORMATS: dict[str, Callable[..., DataFrame]] = {
-    "text": read_text, "para": read_para, "line": read_line, "mbox": read_mbox, "refer": read_refer, "tagged-text": read_mps_text, "tagged-xml": read_mps_xml, "feed": read_feed, "medline": read_medline, "omim": read_omim, "trec": read_trec,
+    "text": read_text, "para": read_para, "line": read_line, "mbox": read_mbox, "refer": read_refer, "tagged-text": read_tagged_text, "tagged-xml": read_tagged_xml, "feed": read_feed, "medline": read_medline, "omim": read_omim, "trec": read_trec,
 }
 
 
