@@ -6,15 +6,16 @@ no Python string is made per document and memory is bounded by the slice (or by
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrylex.session import shared_folder
+
 #: Bytes of text handled at once by the numpy scanners.
 SLICE_BYTES = 1 << 19
 #: Rows of (long, ...) keys up to which a side may be broadcast; 1 M longs are 8 MB.
@@ -34,25 +35,10 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _S)
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir where the session names one.
-
-    Only where it is unset (single-machine sessions, such as tests) a temporary folder is made and set for the session.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
-        else:
-            found = f"file://{tempfile.mkdtemp(prefix='quarrylex-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df once as Parquet in the shared scratch folder and read it back: lineage is cut and executors can be lost."""
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
