@@ -68,7 +68,8 @@ def test_typo():
 
 
 def test_stop_lists():
-    assert "the" in stoplists.SHORT and "and" not in stoplists.LONG and {"x", "7", "it'll", "where've"} <= stoplists.LONG and len(stoplists.SHORT) == 31
+    assert "the" in stoplists.SHORT and "and" not in stoplists.LONG and {"x", "7", "it'll", "where've", "what'd", "which"} <= stoplists.LONG and len(stoplists.SHORT) == 32
+    assert not {"this's", "why's"} & stoplists.LONG and stoplists.SHORT <= stoplists.LONG
 
 
 def test_dates(spark):
