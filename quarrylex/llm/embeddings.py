@@ -2,7 +2,8 @@
 
 Vectors are normalised in double precision. Each table applies several random rotations (signs and Hadamard transforms,
 three rounds); a rotation's hash is the signed axis nearest to the vector, a table's bucket joins its hashes. A vector also
-stands in the buckets of its nearest misses. Identical vectors are collapsed to one weighted representative, buckets with
+stands in the buckets of its nearest misses. The number of tables follows from the hashes and the width, so that a pair at
+the threshold is missed as rarely in a large table or with wide vectors as elsewhere. Identical vectors are collapsed to one weighted representative, buckets with
 the same members are compared once, and large buckets are cut into tiles of bounded size. In a tile all pairs are verified
 by one matrix product; a pair counts in its smallest common bucket only, and what leaves a tile is a sum of links and a
 local root per vector, never pairs. Components of the local roots give the classes.
@@ -14,6 +15,7 @@ different dimensions never link. Repeated rows count as separate, identical vect
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,8 @@ from quarrylex.llm.base import attach, materialise, mix64
 from quarrylex.llm.components import components
 
 TILE = 1024
+#: Largest chance that a pair at the threshold shares no bucket.
+MISS = 0.0005
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -77,6 +81,22 @@ def buckets(x: np.ndarray, tables: int, hashes: int, probes: int) -> np.ndarray:
     return np.stack(out, 1).view(np.int64)
 
 
+@lru_cache
+def tables_for(width: int, hashes: int, probes: int, threshold: float) -> int:
+    """Tables (8 at least) with which a pair at the threshold meets in none with a chance of MISS at most.
+
+    Rotations are random, so that every such pair has about the same chance to meet in one table; it is counted on drawn pairs.
+    """
+    rng, n = np.random.default_rng(5), 1000
+    a, b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in rng.normal(size=(2, n, width)))
+    b -= (a * b).sum(1, keepdims=True) * a
+    b = threshold * a + np.sqrt(max(0.0, 1 - threshold * threshold)) * b / np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-12)
+    x, y = (buckets(v, 2, hashes, probes).reshape(n, 2, -1) for v in (a, b))
+    p = (x[:, :, :, None] == y[:, :, None, :]).any((2, 3)).mean()
+    p = min(max(p - 2 * np.sqrt(p * (1 - p) / (2 * n)), 0.01), 0.9999)  # two standard errors on the safe side
+    return max(8, int(np.ceil(np.log(MISS) / np.log(1 - p))))
+
+
 def matrix(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     """(row numbers, normalised rows) of each dimension; rows that link with nothing are left out."""
     if isinstance(column, pa.ChunkedArray):
@@ -98,7 +118,7 @@ def matrix(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
 HASHED = "vec_id bigint, k1 bigint, k2 bigint, vector binary, keys array<bigint>"
 
 
-def hashed(vectors: DataFrame, tables: int, hashes: int, probes: int) -> DataFrame:
+def hashed(vectors: DataFrame, tables: int | None, hashes: int, probes: int, threshold: float) -> DataFrame:
     """Each vector's id, 128-bit hash of its direction, normalised components and bucket ids (null: links with nothing)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +133,8 @@ def hashed(vectors: DataFrame, tables: int, hashes: int, probes: int) -> DataFra
                     bits = (x + 0.0).view(np.uint64)
                     place = mix64(np.arange(x.shape[1], dtype=np.uint64) + np.uint64(x.shape[1] << 20))
                     one, two = (mix64(bits * np.uint64(2 * s + 1) + place + np.uint64(s)).sum(1, dtype=np.uint64).view(np.int64) for s in (11, 97))
-                    found = buckets(x, tables, hashes, probes)
+                    width = 1 << max(1, (x.shape[1] - 1).bit_length())
+                    found = buckets(x, tables or tables_for(width, hashes, probes, threshold), hashes, probes)
                     for i, r in enumerate(rows.tolist()):
                         k1[r], k2[r], data[r], keys[r] = int(one[i]), int(two[i]), x[i].tobytes(), np.unique(found[i])
                 yield pa.record_batch([batch.column(0), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(data, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["vec_id", "k1", "k2", "vector", "keys"])
@@ -173,12 +194,12 @@ def _tiles(threshold: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tables: int = 8, probes: int = 2, hashes: int | None = None) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tables: int | None = None, probes: int = 2, hashes: int | None = None) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors (vec_id, embedding)."""
     if hashes is None:  # so that few vectors share a bucket by chance, at any size: 128 buckets and more a hash
         rows = vectors.count()
         hashes = max(2, int(np.ceil(np.log(max(rows, 2)) / np.log(128))))
-    signed = materialise(hashed(vectors, tables, hashes, probes), "hashed")
+    signed = materialise(hashed(vectors, tables, hashes, probes, threshold), "hashed")
     live = signed.where("k1 is not null")
     reps = materialise(live.groupBy("k1", "k2").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("n"), F.first("vector").alias("vector"), F.first("keys").alias("keys")), "reps")
     member = reps.select("vec_id", F.explode("keys").alias("bucket"))

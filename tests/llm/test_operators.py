@@ -473,6 +473,17 @@ def test_embedding_links_equal_all_pairs(spark):
     assert all(r["kept"] == (v == r["component_id"]) for v, r in got.items())
 
 
+@pytest.mark.parametrize(("width", "hashes"), [(64, 2), (64, 4), (64, 5), (256, 5)])
+def test_embedding_recall_does_not_fall_with_hashes(spark, width, hashes):
+    rng, n = np.random.default_rng(8), 400
+    a, b = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in rng.normal(size=(2, n, width)))
+    b -= (a * b).sum(1, keepdims=True) * a
+    b = 0.951 * a + np.sqrt(1 - 0.951**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([a, b]))]
+    got = embeddings.near_duplicates(frame(spark, rows, "vec_id long, embedding array<double>"), hashes=hashes)
+    assert got.where("vec_id < 400 and n_links > 0").count() >= 0.99 * n
+
+
 def test_tiles_count_each_pair_once():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(1, 16)) + rng.normal(size=(6, 16)) * 0.01
