@@ -77,16 +77,16 @@ def link(strong: list[tuple[int, int, str]], weak: list[tuple[int, int, str, str
     parts = [(a, b, k, r) for a, b, k, r in weak] + [(a, b, k, roles[k]) for a, b, k in strong]
     breaks = [m.start() for m in _BREAK.finditer(text)]
     starts = {r: sorted((a, b) for a, b, _, x in parts if x == r) for r in ("id", "secret", "endpoint")}
+    ends = {r: sorted((b, a) for a, b in rows) for r, rows in starts.items()}
 
     def near(a: int, b: int, role: str) -> bool:
-        rows = starts[role]
-        k = bisect.bisect_left(rows, (a - scope, -1))
+        """Whether a part lies at most scope after or before, in the same block: no part holds a break, so the nearest tells."""
         block = bisect.bisect_right(breaks, a)
-        while k < len(rows) and rows[k][0] <= b + scope:
-            if (rows[k][0] >= b or rows[k][1] <= a) and bisect.bisect_right(breaks, rows[k][0]) == block:
-                return True
-            k += 1
-        return False
+        k = bisect.bisect_left(starts[role], (b, -1))
+        found = starts[role][k : k + 1]
+        k = bisect.bisect_left(ends[role], (a + 1, -1))
+        found = [x for x, _ in found if x - b <= scope] + [x for y, x in ends[role][max(k - 1, 0) : k] if a - y <= scope]
+        return any(bisect.bisect_right(breaks, x) == block for x in found)
 
     needs = {"id": ("secret",), "secret": ("id",), "endpoint": ("id", "secret")}
     return [(a, b, k) for a, b, k, r in weak if all(near(a, b, x) for x in needs[r])]

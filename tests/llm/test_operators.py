@@ -392,6 +392,15 @@ def test_secret_parts_are_linked_by_scope():
     assert secrets.redact("token=abcdefgh1 ok") == "[SECRET] ok"
 
 
+def test_long_secrets_link_parts_on_both_sides():
+    token, client = "token: " + "eyJhbGci" * 75, "client_id: abc123"
+    for text in (f"{token}\n{client}", f"{client}\n{token}"):
+        assert [k for _, _, k in secrets.spans(text)[1]] == ["client"] and secrets.redact(text) == "[SECRET]\n[SECRET]"
+    assert secrets.spans(f"{token}\n\n{client}")[1] == []
+    for gap, want in ((400, 1), (401, 0)):
+        assert [len(secrets.spans(x + " " * gap + y)[1]) for x, y in ((token, client), (client, token))] == [want, want]
+
+
 # --- 8: packing ------------------------------------------------------------------------------------------------------------
 
 
