@@ -25,6 +25,8 @@ WINDOW = 16
 _GEAR = (mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.uint16)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x09, 0x0A, 0x0D, 0x20]] = True
+#: Code points in place of a word that make a run long enough whatever its blanks: long unbroken strings.
+WIDE = 12
 
 
 def gear(data: np.ndarray) -> np.ndarray:
@@ -76,6 +78,14 @@ def cuts(s: Slice, bits: int, least: int, most: int) -> tuple[np.ndarray, np.nda
     return owner, starts, ends
 
 
+def unspaced(data: np.ndarray) -> np.ndarray:
+    """Marks the first byte of code points of scripts without blanks: kana and Han, Thai, Lao, Burmese, Khmer."""
+    then = np.append(data[1:], np.zeros(min(len(data), 1), data.dtype))
+    han = (data == 0xE3) & (then >= 0x81) | (data >= 0xE4) & (data <= 0xE9) | (data == 0xF0) & (then >= 0xA0) & (then <= 0xB3)
+    thai = (data == 0xE0) & (then >= 0xB8) & (then <= 0xBB)
+    return han | thai | (data == 0xE1) & ((then >= 0x80) & (then <= 0x82) | (then == 0x9E) | (then == 0x9F))
+
+
 def _sized(docs: DataFrame, bits: int, least: int, most: int) -> DataFrame:
     """(d, n): 64-bit hashes of chunks with their number, summed in each slice before they are shuffled."""
 
@@ -133,7 +143,8 @@ def _hits(docs: DataFrame, known: np.ndarray, bits: int, least: int, most: int)
                 cp = code_points(s.data)
                 first = cp[s.off[owner[hit]]]
                 word, _ = spans_of(~_SPACE[s.data], s.off)
-                words = np.searchsorted(word, end[hit]) - np.searchsorted(word, start[hit])
+                pairs = np.append(0, np.cumsum(unspaced(s.data), dtype=np.int64)) + 1 >> 1  # as the tokenizer cuts these scripts
+                words = np.searchsorted(word, end[hit]) - np.searchsorted(word, start[hit]) + pairs[end[hit]] - pairs[start[hit]]
                 count = np.bincount(owner, minlength=s.n)
                 pos = hit - np.searchsorted(owner, owner[hit])
                 zero = np.zeros(s.n, np.int64)
@@ -148,7 +159,8 @@ def _hits(docs: DataFrame, known: np.ndarray, bits: int, least: int, most: int)
 def repeats(docs: DataFrame, min_words: int = 20, bits: int = 5, least: int = 16, most: int = 256) -> DataFrame:
     """One row per document: its chunks, the repeated passages and what removing all but their first copies would take.
 
-    A passage is a run of chunks whose digests stand elsewhere too, of at least min_words words. Columns: doc_id, n_chunks,
+    A passage is a run of chunks whose digests stand elsewhere too, of at least min_words words, where two code points of a
+    script without blanks count as one, or of at least WIDE * min_words code points. Columns: doc_id, n_chunks,
     n_shared (chunks that stand elsewhere), n_words_shared and spans (all repeated passages, start:end in code points),
     removed (the same for the parts that stood before), first_doc_ids (where these stand first), has_repeat.
 
@@ -186,7 +198,7 @@ def passages(doc: int, n_chunks: int, hits: list[dict], min_words: int) -> tuple
             runs[-1].append(chunk)
         elif not runs or runs[-1][-1][0] != h["pos"]:
             runs.append([chunk])
-    runs = [r for r in runs if sum(c[3] for c in r) >= min_words]
+    runs = [r for r in runs if sum(c[3] for c in r) >= min_words or r[-1][2] - r[0][1] >= WIDE * min_words]
     spans, gone, firsts, words = [], [], set(), 0
     for r in runs:
         spans.append(f"{r[0][1]}:{r[-1][2]}")

@@ -454,6 +454,18 @@ def test_local_search_empties_bins():
     assert len(packing.improve(bad, np.asarray([5, 3, 5, 3, 4]), 10)) == 2
 
 
+def test_repeats_without_blanks_are_found(spark):
+    rng = random.Random(4)
+    drawn = {name: ["".join(rng.choices(signs, k=400)) for _ in range(3)] for name, signs in {"han": [chr(c) for c in range(0x4E00, 0x5200)], "thai": [chr(c) for c in range(0xE01, 0xE2F)], "key": "ACGT0123456789abcdef"}.items()}
+    for name, (one, two, own) in drawn.items():
+        values = [one, f"x {own[:200]}{two}", f"y {two}{own[200:]}", one, own[:7]]
+        got = {r["doc_id"]: r for r in chunks.repeats(texts(spark, values)).collect()}
+        assert [got[i]["has_repeat"] for i in range(5)] == [True, True, True, True, False], name
+        assert got[3]["removed"] == "0:400" and got[3]["first_doc_ids"] == [0] and got[0]["removed"] == "", name
+    short = "".join(chr(0x4E00 + 7 * k) for k in range(30))
+    assert not any(r["has_repeat"] for r in chunks.repeats(texts(spark, [short, short, "six plain words", "six plain words"])).collect())
+
+
 # --- 9: embeddings ---------------------------------------------------------------------------------------------------------
 
 
