@@ -9,7 +9,8 @@ Links are found without all pairs of a bucket: texts with the same words are one
 with its smallest id, and what then still lies in different components is compared exactly, in tiles of bounded size that
 give off at most a link a document. So no link that banding finds between different components is lost.
 
-Null, empty and wordless texts link with nothing. Repeated rows (same id) are one document. Ties go to the smallest id.
+Null, empty and wordless texts link with nothing. Repeated rows (same id and text) are one document: near_duplicates has a row
+for each of them, deduplicated keeps one. Ties go to the smallest id.
 Extra columns of the input are ignored.
 """
 
@@ -287,6 +288,11 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 16, ro
 
 
 def deduplicated(docs: DataFrame, **how) -> DataFrame:
-    """The documents that stand for their class, with their own columns."""
-    gone = materialise(near_duplicates(docs, **how).where("not kept").select("doc_id").distinct(), "duplicates")
-    return attach(docs, gone, "doc_id", gone.count(), "left_anti")
+    """The documents that stand for their class, with their own columns; one row for each id and text."""
+    seen = near_duplicates(docs, **how).groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    seen = materialise(seen.where("not kept or kept and n > 1"), "duplicates")
+    again = seen.where("kept").select("doc_id")
+    n, n_again = seen.count(), again.count()
+    # only the rows of repeated ids are shuffled with their texts
+    once = attach(docs, seen.select("doc_id"), "doc_id", n, "left_anti")
+    return once.unionByName(semi(docs, again, "doc_id", n_again).dropDuplicates(["doc_id", "text"])) if n_again else once

@@ -392,6 +392,14 @@ def test_secret_parts_are_linked_by_scope():
     assert secrets.redact("token=abcdefgh1 ok") == "[SECRET] ok"
 
 
+def test_repeated_rows_stay_once(spark):
+    long = "one two three four five six seven eight nine ten"
+    rows = [(1, long, "en", "s", 1), (1, long, "en", "s", 1), (1, long, "en", "s", 1), (2, long, "en", "s", 1), (2, long, "en", "s", 1), (3, None, "en", "s", 0), (3, None, "en", "s", 0), (4, "other words", "en", "s", 1)]
+    d = frame(spark, rows)
+    assert sorted(r["doc_id"] for r in minhash.deduplicated(d).collect()) == [1, 3, 4] and minhash.deduplicated(d).columns == d.columns
+    assert minhash.near_duplicates(d).count() == len(rows)
+
+
 def test_long_secrets_link_parts_on_both_sides():
     token, client = "token: " + "eyJhbGci" * 75, "client_id: abc123"
     for text in (f"{token}\n{client}", f"{client}\n{token}"):
