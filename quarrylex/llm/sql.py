@@ -19,14 +19,12 @@ slides AS (SELECT doc_id, i AS start, size, w[i:i + size - 1] AS terms FROM (SEL
 m AS (SELECT s.doc_id, s.start, s.size, s.terms FROM slides s JOIN ph USING (terms)),
 hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(start, start + size)) AS p FROM m) GROUP BY doc_id),
 own AS (SELECT doc_id, list_sort(list(DISTINCT item_id::VARCHAR)) AS items FROM m JOIN runs USING (terms) GROUP BY doc_id),
-off AS (SELECT terms, unnest(terms) AS term, generate_subscripts(terms, 1) - 1 AS off FROM ph),
+off AS (SELECT terms, size, unnest(terms) AS term, generate_subscripts(terms, 1) - 1 AS off FROM ph),
 df AS (SELECT term, count(*) AS c FROM words WHERE term IN (SELECT term FROM off) GROUP BY term),
-ranked AS (SELECT terms, term, off, c, min(c) OVER (PARTITION BY terms) AS least, count(*) OVER (PARTITION BY terms) AS n, row_number() OVER (PARTITION BY terms ORDER BY c, off, term) AS r FROM (SELECT terms, term, off, coalesce(c, 0) AS c FROM off LEFT JOIN df USING (term))),
-rare AS (SELECT * FROM ranked WHERE least > 0 AND r <= 3),
-post AS (SELECT * FROM words WHERE term IN (SELECT term FROM rare)),
-c1 AS (SELECT r.terms, p.doc_id, p.pos - r.off AS start FROM rare r JOIN post p USING (term) WHERE r.r = 1),
-c2 AS (SELECT DISTINCT c.terms, c.doc_id, c.start FROM c1 c JOIN rare r ON r.terms = c.terms AND r.r = least(2, r.n) JOIN post p ON p.doc_id = c.doc_id AND p.term = r.term AND abs(p.pos - c.start - r.off) <= 3),
-c3 AS (SELECT DISTINCT c.terms, c.doc_id FROM c2 c JOIN rare r ON r.terms = c.terms AND r.r = least(3, r.n) JOIN post p ON p.doc_id = c.doc_id AND p.term = r.term AND abs(p.pos - c.start - r.off) <= 3),
+ranked AS (SELECT terms, size, term, off, row_number() OVER (PARTITION BY terms ORDER BY coalesce(c, 0), off) AS r FROM off LEFT JOIN df USING (term)),
+anchors AS (SELECT DISTINCT r.terms, r.size, p.doc_id, p.pos - r.off AS start FROM ranked r JOIN words p USING (term) WHERE r.r <= r.size - ceil(r.size * 0.9) + 1),
+within AS (SELECT a.terms, a.doc_id, a.start, a.size, count(DISTINCT o.off) AS n FROM anchors a JOIN off o USING (terms) JOIN words p ON p.doc_id = a.doc_id AND p.term = o.term AND abs(p.pos - a.start - o.off) <= 3 GROUP BY ALL),
+c3 AS (SELECT DISTINCT terms, doc_id FROM within WHERE n >= ceil(size * 0.9)),
 near AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM c3 JOIN runs USING (terms) GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256,
     coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near
