@@ -1,12 +1,14 @@
 """Substring dedup by content-defined chunking.
 
 A gear rolling hash over the last 16 bytes cuts each text where its top bits are zero, so that an insertion only changes the
-chunks around it. Stretches without a cut, such as one word again and again, are cut at their largest hashes. Short hashes of
-all chunks are counted first; then a chunk's 128-bit digest identifies it in the whole corpus. Runs of chunks that also stand
-elsewhere are repeated passages if they are long enough; every copy but the first (smallest id, then place) can be removed.
-
-Null and empty texts have no chunk. Repeated rows repeat each other's chunks. The first of tied copies is the one in the
-document with the smallest id, at the smallest place. Extra columns of the input are ignored.
+chunks around it. Stretches without a cut, such as one word again and again, are cut at their largest hashes. Chunks are
+looked up with their neighbours: a link is a pair of adjacent chunks, or a chunk that alone is long enough for a passage.
+Short hashes of all links are counted first; then a link's 128-bit digest identifies it in the whole corpus. Runs of chunks
+whose links stand elsewhere are repeated passages if they are long enough, so that unrelated short matches in different
+documents never add up to one; every copy but the first (smallest id, then place) can be removed.
+
+Null and empty texts have no chunk. Each row is a document of its own; repeated rows repeat each other's chunks. The first of
+tied copies is the one with the smallest id, then in the first row, at the smallest place. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -86,15 +88,35 @@ def unspaced(data: np.ndarray) -> np.ndarray:
     return han | thai | (data == 0xE1) & ((then >= 0x80) & (then <= 0x82) | (then == 0x9E) | (then == 0x9F))
 
 
-def _sized(docs: DataFrame, bits: int, least: int, most: int) -> DataFrame:
-    """(d, n): 64-bit hashes of chunks with their number, summed in each slice before they are shuffled."""
+_PAIR = mix64(np.arange(1, 4, dtype=np.uint64)) | np.uint64(1)
+
+
+def measured(s: Slice, start: np.ndarray, end: np.ndarray, cp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words and code points of chunks; two code points of a script without blanks count as a word, as the tokenizer cuts them."""
+    word, _ = spans_of(~_SPACE[s.data], s.off)
+    pairs = np.append(0, np.cumsum(unspaced(s.data), dtype=np.int64)) + 1 >> 1
+    return np.searchsorted(word, end) - np.searchsorted(word, start) + pairs[end] - pairs[start], cp[end] - cp[start]
+
+
+def links(s: Slice, chunks: tuple[np.ndarray, np.ndarray, np.ndarray], words: np.ndarray, points: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first chunk, last chunk, hash) of all links: adjacent chunks of a text, and chunks of at least least words or WIDE * least code points."""
+    owner, start, end = chunks
+    h = span_hashes(s.data, start, end)
+    pair = np.flatnonzero(owner[1:] == owner[:-1])
+    alone = np.flatnonzero((words >= least) | (points >= WIDE * least))
+    keys = np.concatenate([mix64(h[pair] * _PAIR[0] + h[pair + 1] * _PAIR[1]), mix64(h[alone] + _PAIR[2])])
+    return np.concatenate([pair, alone]), np.concatenate([pair + 1, alone]), keys
+
+
+def _sized(docs: DataFrame, least_words: int, bits: int, least: int, most: int) -> DataFrame:
+    """64-bit hashes of the links that are found twice and more, summed in each batch before they are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for s in slices(batch.column(0)):
-                _, start, end = cuts(s, bits, least, most)
-                found.append(span_hashes(s.data, start, end))
+                chunks = cuts(s, bits, least, most)
+                found.append(links(s, chunks, *measured(s, *chunks[1:], code_points(s.data)), least_words)[2])
             d, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             yield pa.record_batch([pa.array(d.view(np.int64)), pa.array(n.astype(np.int64))], names=["d", "n"])
 
@@ -121,60 +143,78 @@ def bloom(keys: DataFrame, n: int, most_bits: int = 1 << 27) -> np.ndarray:
     return out
 
 
-#: place: first code point, length and words in one number, since all chunks that are found twice are moved with it.
-HITS = "doc_id bigint, pos int, b1 bigint, b2 bigint, place bigint"
+#: pos: number of the link's first chunk; place: that one's first code point, length and words in one number; then: length and
+#: words of the second chunk, 0 if there is none.
+HITS = "row bigint, doc_id bigint, pos int, b1 bigint, b2 bigint, place bigint, then int"
+
+
+def long_runs(first: np.ndarray, last: np.ndarray, words: np.ndarray, points: np.ndarray, least: int) -> np.ndarray:
+    """Which links, given in order, stand in runs of chunks that are long enough for a passage."""
+    if not len(first):
+        return np.zeros(0, bool)
+    new = np.append(True, first[1:] > last[:-1])
+    run = np.cumsum(new) - 1
+    lo = first[np.flatnonzero(new)]
+    hi = np.maximum.reduceat(last, np.flatnonzero(new)) + 1
+    total, size = np.append(0, np.cumsum(words)), np.append(0, np.cumsum(points))
+    return ((total[hi] - total[lo] >= least) | (size[hi] - size[lo] >= WIDE * least))[run]
 
 
-def _hits(docs: DataFrame, known: np.ndarray, bits: int, least: int, most: int) -> DataFrame:
-    """Chunks that the bit map knows, with 128-bit digest, place and words; and a row with pos -1 and the number of chunks (place) of each document."""
+def _hits(docs: DataFrame, known: np.ndarray, least_words: int, bits: int, least: int, most: int) -> DataFrame:
+    """Links that the bit map knows, in runs long enough for a passage, with digest and place; and a row with pos -1 and the number of chunks (place) of each document."""
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, mask = shared.value, np.uint64(len(shared.value) * 8 - 1)
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for s in slices(batch.column(1)):
-                owner, start, end = cuts(s, bits, least, most)
-                at = mix64(span_hashes(s.data, start, end)) & mask
+            row, ids = batch.column(0).to_numpy(), batch.column(1)
+            for s in slices(batch.column(2)):
+                owner, start, end = chunks = cuts(s, bits, least, most)
+                cp = code_points(s.data)
+                words, points = measured(s, start, end, cp)
+                first, last, key = links(s, chunks, words, points, least_words)
+                at = mix64(key) & mask
                 hit = np.flatnonzero(table[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8)) & 1)
+                hit = hit[np.lexsort((last[hit], first[hit]))]
+                hit = hit[long_runs(first[hit], last[hit], words, points, least_words)]
+                a, b = first[hit], last[hit]
                 view = s.data.tobytes()
-                raw = b"".join([hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in zip(start[hit].tolist(), end[hit].tolist(), strict=True)])
+                raw = b"".join([hashlib.blake2b(view[x:y], digest_size=16).digest() for x, y in zip(start[a].tolist(), end[b].tolist(), strict=True)])
                 digest = np.frombuffer(raw, "<i8").reshape(-1, 2)
-                cp = code_points(s.data)
-                first = cp[s.off[owner[hit]]]
-                word, _ = spans_of(~_SPACE[s.data], s.off)
-                pairs = np.append(0, np.cumsum(unspaced(s.data), dtype=np.int64)) + 1 >> 1  # as the tokenizer cuts these scripts
-                words = np.searchsorted(word, end[hit]) - np.searchsorted(word, start[hit]) + pairs[end[hit]] - pairs[start[hit]]
-                count = np.bincount(owner, minlength=s.n)
-                pos = hit - np.searchsorted(owner, owner[hit])
+                # less than 4096 code points and words in a chunk
+                place = (cp[start[a]] - cp[s.off[owner[a]]]) << 24 | points[a] << 12 | words[a]
+                then = np.where(b > a, points[b] << 12 | words[b], 0)
                 zero = np.zeros(s.n, np.int64)
-                place = (cp[start[hit]] - first) << 24 | (cp[end[hit]] - cp[start[hit]]) << 12 | words  # less than 4096 of both
-                cols = [(ids[s.lo + owner[hit]], ids[s.lo : s.hi]), (pos, zero - 1), (digest[:, 0], zero), (digest[:, 1], zero), (place, count)]
-                kinds = [np.int64, np.int32, np.int64, np.int64, np.int64]
-                yield pa.record_batch([pa.array(np.concatenate(c).astype(k)) for c, k in zip(cols, kinds, strict=True)], names=[c.split()[0] for c in HITS.split(", ")])
+                cols = [(row[s.lo + owner[a]], row[s.lo : s.hi]), (a - np.searchsorted(owner, owner[a]), zero - 1), (digest[:, 0], zero), (digest[:, 1], zero), (place, np.bincount(owner, minlength=s.n)), (then, zero)]
+                arrays = [pa.array(np.concatenate(c).astype(k)) for c, k in zip(cols, (np.int64, np.int32, np.int64, np.int64, np.int64, np.int32), strict=True)]
+                arrays.insert(1, pa.concat_arrays([ids.take(pa.array(s.lo + owner[a])), ids[s.lo : s.hi]]))
+                yield pa.record_batch(arrays, names=[c.split()[0] for c in HITS.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(run, HITS)
+    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(run, HITS)
 
 
-def repeats(docs: DataFrame, min_words: int = 20, bits: int = 5, least: int = 16, most: int = 256) -> DataFrame:
+def repeats(docs: DataFrame, min_words: int = 20, bits: int = 4, least: int = 16, most: int = 96) -> DataFrame:
     """One row per document: its chunks, the repeated passages and what removing all but their first copies would take.
 
-    A passage is a run of chunks whose digests stand elsewhere too, of at least min_words words, where two code points of a
+    A passage is a run of chunks whose links stand elsewhere too, of at least min_words words, where two code points of a
     script without blanks count as one, or of at least WIDE * min_words code points. Columns: doc_id, n_chunks,
-    n_shared (chunks that stand elsewhere), n_words_shared and spans (all repeated passages, start:end in code points),
+    n_shared (chunks in passages), n_words_shared and spans (all repeated passages, start:end in code points),
     removed (the same for the parts that stood before), first_doc_ids (where these stand first), has_repeat.
 
-    Two passes: the first counts short hashes of all chunks, 8 bytes each; the second moves only chunks that it found twice.
+    Two passes: the first counts short hashes of all links, 8 bytes each; the second moves only links that it found twice in
+    runs long enough. What meets in one row at the end is bounded by that row's own text.
     """
     docs = pick(docs, "doc_id", "text")
-    twice = materialise(_sized(docs, bits, least, most), "twice")
-    hits = materialise(_hits(docs, bloom(twice, twice.count()), bits, least, most), "hits")
-    chunk = hits.where("pos >= 0")
-    shared = materialise(chunk.groupBy("b1", "b2").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "pos")).alias("first")).where("copies > 1").select("b1", "b2", "first"), "shared")
-    marked = attach(chunk, shared, ["b1", "b2"], shared.count())
-    hit = F.struct("pos", "place", F.when(F.col("first") < F.struct("doc_id", "pos"), F.col("first.doc_id")).alias("first"))
-    rows = marked.select("doc_id", F.lit(0).cast("bigint").alias("n"), hit.alias("hit")).unionByName(hits.where("pos < 0").select("doc_id", F.col("place").alias("n"), F.lit(None).cast("struct<pos:int,place:bigint,first:bigint>").alias("hit")))
-    joined = rows.groupBy("doc_id").agg(F.max("n").alias("n"), F.sort_array(F.collect_list("hit")).alias("hits"))
+    twice = materialise(_sized(docs, min_words, bits, least, most), "twice")
+    hits = materialise(_hits(docs, bloom(twice, twice.count()), min_words, bits, least, most), "hits")
+    link = hits.where("pos >= 0")
+    at = F.struct("doc_id", "row", "pos")
+    shared = materialise(link.groupBy("b1", "b2").agg(F.count(F.lit(1)).alias("copies"), F.min(at).alias("first")).where("copies > 1").select("b1", "b2", "first"), "shared")
+    marked = attach(link, shared, ["b1", "b2"], shared.count())
+    hit = F.struct("pos", "place", "then", F.when(F.col("first") < at, F.col("first.doc_id")).alias("first"), (F.col("first") < at).alias("again"))
+    kind = "struct<pos:int,place:bigint,then:int,first:bigint,again:boolean>"
+    rows = marked.select("row", "doc_id", F.lit(0).cast("bigint").alias("n"), hit.alias("hit")).unionByName(hits.where("pos < 0").select("row", "doc_id", F.col("place").alias("n"), F.lit(None).cast(kind).alias("hit")))
+    joined = rows.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n").alias("n"), F.sort_array(F.collect_list("hit")).alias("hits")).select("doc_id", "n", "hits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_chunks", "n_shared", "n_words_shared", "spans", "removed", "first_doc_ids", "has_repeat"]
@@ -188,28 +228,39 @@ def repeats(docs: DataFrame, min_words: int = 20, bits: int = 5, least: int = 16
     return joined.mapInArrow(run, "doc_id bigint, n_chunks bigint, n_shared bigint, n_words_shared bigint, spans string, removed string, first_doc_ids array<bigint>, has_repeat boolean")
 
 
-def passages(doc: int, n_chunks: int, hits: list[dict], min_words: int) -> tuple:
-    """The row of one document from its shared chunks in order; first: the document of an earlier copy, if there is one."""
-    runs: list[list[tuple]] = []
+def passages(doc: int | None, n_chunks: int, hits: list[dict], min_words: int) -> tuple:
+    """The row of one document from its shared links in order; first: the document of an earlier copy, again: whether there is one."""
+    chunks: dict[int, list] = {}  # start, end, words, whether it stood before
+    tied, firsts_of = set(), {}
     for h in hits:
-        start, words = h["place"] >> 24, h["place"] & 4095
-        chunk = (h["pos"], start, start + (h["place"] >> 12 & 4095), words, h["first"])
-        if runs and runs[-1][-1][0] == h["pos"] - 1:
-            runs[-1].append(chunk)
-        elif not runs or runs[-1][-1][0] != h["pos"]:
-            runs.append([chunk])
-    runs = [r for r in runs if sum(c[3] for c in r) >= min_words or r[-1][2] - r[0][1] >= WIDE * min_words]
+        pos, start, n = h["pos"], h["place"] >> 24, h["place"] >> 12 & 4095
+        parts = [(pos, start, n, h["place"] & 4095)]
+        if h["then"]:
+            tied.add(pos)
+            parts.append((pos + 1, start + n, h["then"] >> 12, h["then"] & 4095))
+        for k, a, size, words in parts:
+            c = chunks.setdefault(k, [a, a + size, words, False])
+            c[3] |= h["again"]
+            if h["first"] is not None:
+                firsts_of.setdefault(k, set()).add(h["first"])
+    runs: list[list[int]] = []
+    for k in sorted(chunks):
+        if runs and runs[-1][-1] == k - 1 and k - 1 in tied:
+            runs[-1].append(k)
+        else:
+            runs.append([k])
+    runs = [r for r in runs if sum(chunks[k][2] for k in r) >= min_words or chunks[r[-1]][1] - chunks[r[0]][0] >= WIDE * min_words]
     spans, gone, firsts, words = [], [], set(), 0
     for r in runs:
-        spans.append(f"{r[0][1]}:{r[-1][2]}")
-        words += sum(c[3] for c in r)
+        spans.append(f"{chunks[r[0]][0]}:{chunks[r[-1]][1]}")
+        words += sum(chunks[k][2] for k in r)
         opened = closed = None
-        for c in [*r, None]:
-            if c is not None and c[4] is not None:
-                firsts.add(c[4])
-                opened = c[1] if opened is None else opened
-                closed = c[2]
+        for k in [*r, None]:
+            if k is not None and chunks[k][3]:
+                firsts |= firsts_of.get(k, set())
+                opened = chunks[k][0] if opened is None else opened
+                closed = chunks[k][1]
             elif opened is not None:
                 gone.append(f"{opened}:{closed}")
                 opened = None
-    return doc, n_chunks, len({h["pos"] for h in hits}), words, ",".join(spans), ",".join(gone), sorted(firsts), bool(runs)
+    return doc, n_chunks, sum(map(len, runs)), words, ",".join(spans), ",".join(gone), sorted(firsts), bool(runs)
