@@ -25,7 +25,7 @@ MORE = ("account", "address", "iban", "ssn")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _REGION = re.compile(r"[0-9+][0-9 ().+-]{6,}")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")  # as the base pattern, whose matches start at runs of digits, in linear time
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
@@ -36,7 +36,8 @@ _ACCOUNT = re.compile(r"[A-Z]{0,4}[0-9](?:[ -]?[0-9]){5,19}(?![A-Za-z0-9])")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 _SSN = re.compile(r"([0-9]{3})[- ]([0-9]{2})[- ]([0-9]{4})(?![0-9])")
 _URI_END = re.compile(r"[^\s<>\"'`{}|\\^\[\]]+")
-_USERINFO = re.compile(r"[^/?#@\s]+@[^/?#@\s]")
+_TEL_END = re.compile(r"[A-Za-z0-9+().;=_-]+")
+_USERINFO = re.compile(r"[^/?#@\s<>\"'`{}|\\^\[\]]++@[^/?#@\s<>\"'`{}|\\^\[\]]")
 
 
 def _automaton() -> ahocorasick.Automaton:
@@ -108,19 +109,20 @@ def address_at(text: str, end: int, scheme: str) -> tuple[int, int] | None:
             return None
     elif a > 0 and text[a - 1].isalnum():
         return None
-    m = _URI_END.match(text, end)
+    if scheme == "://" and not _USERINFO.match(text, end):
+        return None
+    m = (_TEL_END if scheme == "tel:" else _URI_END).match(text, end)
     if not m:
         return None
     b = m.end()
     while b > end and text[b - 1] in ".,;:!?)":
         b -= 1
-    rest = text[end:b]
     if scheme == "://":
-        ok = _USERINFO.match(rest) is not None
+        ok = _USERINFO.match(text, end, b) is not None
     elif scheme == "tel:":
-        ok = len(_NOT_DIGIT.sub("", rest)) >= 5
+        ok = len(_NOT_DIGIT.sub("", text[end:b])) >= 5
     else:
-        ok = len(rest) >= 3
+        ok = b - end >= 3
     return (a, b) if ok else None
 
 
@@ -142,15 +144,16 @@ def spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, i
     """Base spans, and the further ones; each by kind as listed, then start."""
     if not _anchors:
         _anchors.append(_automaton())
-    base, more, floor = numbers(text), set(), 0
+    base, more, floor, inside = numbers(text), set(), 0, 0
     for last, (kind, n) in _anchors[0].iter(text):
         if kind == "@":
             if found := email_at(text, last, floor):
                 base.append(("email", *found))
                 floor = found[1]
-        elif kind == "scheme":
-            if found := address_at(text, last + 1, text[last + 1 - n : last + 1]):
+        elif kind == "scheme":  # not again within an address
+            if last >= inside and (found := address_at(text, last + 1, text[last + 1 - n : last + 1])):
                 more.add(("address", *found))
+                inside = found[1]
         elif found := identifier_at(text, kind, last + 1 - n, last + 1):
             more.add((kind, *found))
     return sorted(base, key=lambda x: (BASE.index(x[0]), x[1])), sorted(more)

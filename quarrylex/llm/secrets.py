@@ -35,8 +35,9 @@ _WEAK = (
     ("id", "user", "user", re.compile(r"\b(?:username|user|login)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9._@-]{3,})", re.ASCII | re.IGNORECASE)),
     ("id", "account", "account", re.compile(r"\baccount(?:_id)?[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9-]{6,})", re.ASCII | re.IGNORECASE)),
     ("endpoint", "host", "host", re.compile(r"\b(?:host|hostname|endpoint)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9.-]+\.[A-Za-z]{2,}(?::[0-9]+)?)", re.ASCII | re.IGNORECASE)),
-    ("endpoint", "url", "://", re.compile(r"[a-z][a-z0-9+.-]*://[A-Za-z0-9._~:/?#@!$&()*+,;=%-]+", re.ASCII)),
 )
+_SCHEME = frozenset("abcdefghijklmnopqrstuvwxyz0123456789+.-")
+_URL_REST = re.compile(r"[A-Za-z0-9._~:/?#@!$&()*+,;=%-]+", re.ASCII)
 _KEY40 = re.compile(r"(?<![A-Za-z0-9+/])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])")
 _KEYMAP = bytes(120 if chr(c).isascii() and (chr(c).isalnum() or chr(c) in "+/") else 32 for c in range(256))
 _RUN40 = b"x" * 40
@@ -56,10 +57,28 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda x: (x[0], BASE.index(x[2])))
 
 
+def urls(text: str) -> list[tuple[int, int]]:
+    """Spans of a scheme of lower-case letters, digits and marks, ://, and what follows: found by the mark in the middle, so that long runs of letters cost nothing."""
+    out, floor, at = [], 0, text.find("://")
+    while at >= 0:
+        a = at
+        while a > floor and text[a - 1] in _SCHEME:
+            a -= 1
+        while a < at and not "a" <= text[a] <= "z":
+            a += 1
+        m = _URL_REST.match(text, at + 3) if a < at else None
+        if m:
+            out.append((a, m.end()))
+            floor = m.end()
+        at = text.find("://", m.end() if m else at + 3)
+    return out
+
+
 def weak_parts(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, role) of parts that are no secret alone."""
     low = text.lower()
     out = [(m.start(), m.end(), kind, role) for role, kind, cue, pattern in _WEAK if cue in low for m in pattern.finditer(text)]
+    out += [(a, b, "url", "endpoint") for a, b in urls(text)]
     if _RUN40 in text.encode("utf-8", "replace").translate(_KEYMAP):
         out += [(m.start(), m.end(), "key40", "secret") for m in _KEY40.finditer(text)]
     return out
