@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from quarrylex.llm.base import attach, materialise, mix64
 from quarrylex.llm.components import components
 
-TILE = 1024
+#: Smallest and largest side of a tile in vectors, and the copies of a vector up to which sides grow with the bucket.
+SIDE, WIDEST, COPIES = 512, 4096, 32
 #: Largest chance that a pair at the threshold shares no bucket.
 MISS = 0.0005
 
@@ -145,16 +146,19 @@ def hashed(vectors: DataFrame, tables: int | None, hashes: int, probes: int, thr
 TILED = "vec_id bigint, links bigint, root bigint"
 
 
-def tile_links(ids: np.ndarray, weight: np.ndarray, side: np.ndarray, x: np.ndarray, keys: list[np.ndarray], bucket: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def tile_links(ids: np.ndarray, weight: np.ndarray, side: np.ndarray, x: np.ndarray, keys: list[np.ndarray], bucket: int, threshold: float, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
     """Weighted links of each vector in one tile, and its root among the tile's links.
 
     side: 0 and 1 for the two halves of an off-diagonal tile (only pairs across count), 2 where all pairs count. A pair that
-    shares a smaller bucket has been or will be counted there.
+    shares a smaller bucket has been or will be counted there. Besides one bit map of the pairs, memory is block rows wide.
     """
-    link = (x @ x.T) >= threshold
-    np.fill_diagonal(link, False)
-    if (side < 2).any():
-        link &= side[:, None] != side[None, :]
+    n = len(ids)
+    a, b = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if (side < 2).any() else (np.arange(n), np.arange(n))
+    link = np.zeros((len(a), len(b)), bool)
+    for lo in range(0, len(a), block):
+        link[lo : lo + block] = (x[a[lo : lo + block]] @ x[b].T) >= threshold
+    if a is not b and len(a) == n:
+        np.fill_diagonal(link, False)
     count = link.copy()
     rows, earlier = [], []
     for i, k in enumerate(keys):
@@ -162,19 +166,30 @@ def tile_links(ids: np.ndarray, weight: np.ndarray, side: np.ndarray, x: np.ndar
         rows += [i] * len(k)
         earlier += k.tolist()
     if earlier:
-        rows, (_, at, n) = np.asarray(rows), np.unique(np.asarray(earlier), return_inverse=True, return_counts=True)
+        at_a, at_b = np.full(n, -1), np.full(n, -1)
+        at_a[a], at_b[b] = np.arange(len(a)), np.arange(len(b))
+        rows, (_, at, number) = np.asarray(rows), np.unique(np.asarray(earlier), return_inverse=True, return_counts=True)
         order = np.argsort(at, kind="stable")
-        for run in np.split(order, np.cumsum(n)[:-1]):
+        for run in np.split(order, np.cumsum(number)[:-1]):
             if len(run) > 1:
-                count[np.ix_(rows[run], rows[run])] = False
-    root = np.arange(len(ids))
+                i, j = at_a[rows[run]], at_b[rows[run]]
+                count[np.ix_(i[i >= 0], j[j >= 0])] = False
+    links = np.zeros(n)
+    links[a] += count @ weight[b]
+    if (side < 2).any():
+        links[b] += weight[a] @ count
+    root = np.arange(n)
     while True:  # smallest id by links, ids being sorted
-        low = np.minimum(root, np.where(link, root[None, :], len(ids)).min(1, initial=len(ids)))
+        low = root.copy()
+        for lo in range(0, len(a), block):
+            part = link[lo : lo + block]
+            low[a[lo : lo + block]] = np.minimum(low[a[lo : lo + block]], np.where(part, root[b][None, :], n).min(1, initial=n))
+            low[b] = np.minimum(low[b], np.where(part, root[a[lo : lo + block]][:, None], n).min(0, initial=n))
         low = low[low]
         if (low == root).all():
             break
         root = low
-    return count @ weight, ids[root]
+    return links, ids[root]
 
 
 def _tiles(threshold: float):
@@ -208,7 +223,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tables: int | N
     n_kept = kept.count()
     held = attach(member, kept, "bucket", n_kept)
     full = reps.select("vec_id", "n", "vector").join(held.groupBy("vec_id").agg(F.sort_array(F.collect_set("bucket")).alias("keys"), F.collect_list(F.struct("bucket", "m")).alias("at")), "vec_id")
-    parts = F.ceil(F.col("m") / (TILE // 2)).cast("int")
+    # a bucket's vectors are copied to as many tiles as it has sides: sides grow with it, so that copies don't until they are widest
+    parts = F.ceil(F.col("m") / F.least(F.lit(WIDEST), F.greatest(F.lit(SIDE), F.ceil(F.col("m") / COPIES)))).cast("int")
     dealt = (
         full.select("vec_id", "n", "vector", "keys", F.explode("at").alias("at")).select("vec_id", "n", "vector", "keys", "at.bucket", "at.m")
         .withColumn("parts", parts)
