@@ -283,7 +283,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 16, ro
     if more is not None:
         comp = components(links.unionByName(more))
     roots = exact.join(comp.select(F.col("node").alias("rep"), "root"), "rep", "left").select("k1", "k2", "n_words", F.coalesce("root", "rep").alias("root"))
-    out = signed.select("doc_id", "k1", "k2", "n_words").join(roots, ["k1", "k2", "n_words"], "left").select("doc_id", F.coalesce("root", "doc_id").alias("class_id"))
+    # wordless texts, perhaps a large share, have no class to look up
+    some = signed.where("n_words > 0").select("doc_id", "k1", "k2", "n_words").join(roots, ["k1", "k2", "n_words"], "left").select("doc_id", F.col("root").alias("class_id"))
+    out = some.unionByName(signed.where("n_words = 0").select("doc_id", F.col("doc_id").alias("class_id")))
     return out.withColumn("kept", F.col("doc_id") == F.col("class_id"))
 
 
