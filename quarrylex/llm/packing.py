@@ -1,9 +1,10 @@
 """Best-fit packing with swap-based local search.
 
 Texts become token ids (plus an end id); only documents longer than a sequence are cut, so that every piece but the first is
-full. Full pieces are sequences already. The rest are dealt by a hash of the document into groups of bounded size; in each
+full. Full pieces are sequences already. The rest are dealt by a hash of their row into groups of bounded size; in each
 group best-fit decreasing gives a start, and local search (moves, one-for-one and two-for-one exchanges that increase the
-sum of squared fill) empties underfull bins. Groups lose at most about one bin each.
+sum of squared fill) empties underfull bins. The emptiest bin of each group is opened again, and what was in these bins is
+packed together, group by group, until one group is left.
 
 Null and empty texts have one token (the end id). Repeated rows with the same doc_id are packed as separate pieces. Empty
 tables give empty results. Extra columns of the input are ignored.
@@ -34,15 +35,18 @@ class Encoder:
     def __init__(self, json_path: str, rank_path: str):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(rank_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.exact = Tokenizer.from_file(json_path)
+        self.json_path, self.exact = json_path, None
 
     def __call__(self, text: str) -> np.ndarray:
-        if "<|endoftext|>" in text:  # the JSON file makes one id of it
+        if "<|endoftext|>" in text:  # the JSON file makes one id of it; loaded where it is needed only, for it takes 50 MB
+            if self.exact is None:
+                from tokenizers import Tokenizer
+
+                self.exact = Tokenizer.from_file(self.json_path)
             return np.asarray(self.exact.encode(text, add_special_tokens=False).ids, np.uint32)
         return np.asarray(self.fast.encode_to_numpy(text), np.uint32)
 
@@ -199,23 +203,41 @@ def pack(parts: DataFrame, capacity: int = 2048, group_rows: int = 16_384) -> Da
     """
     from quarrylex.llm.base import materialise
 
-    parts = materialise(parts, "pieces")
-    groups = max(1, -(-parts.count() // group_rows))
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = list(batches)
-        if not tables:
-            return
-        t = pa.Table.from_batches(tables).combine_chunks()
-        group, length = t["g"].to_numpy(), t["length"].to_numpy()
-        order = np.lexsort((t["piece"].to_numpy(), t["doc_id"].to_numpy(), group))
-        seq, off = np.zeros(len(group), np.int64), np.zeros(len(group), np.int64)
-        bounds = np.flatnonzero(np.diff(group[order], prepend=-1))
-        for lo, hi in zip(bounds, [*bounds[1:], len(order)], strict=True):
-            rows = order[lo:hi]
-            which, at = pack_group(length[rows], capacity)
-            seq[rows], off[rows] = (int(group[rows[0]]) << 32) + which, at
-        yield from t.drop_columns(["g"]).append_column("sequence_id", pa.array(seq)).append_column("offset", pa.array(off)).to_batches(65_536)
-
-    dealt = parts.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
-    return dealt.repartition(groups, "g").mapInArrow(place, PLACED)
+    def placer(turn: int, groups: int):
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tables = list(batches)
+            if not tables:
+                return
+            t = pa.Table.from_batches(tables).combine_chunks()
+            group, length = t["g"].to_numpy(), t["length"].to_numpy()
+            order = np.lexsort((t["piece"].to_numpy(), t["doc_id"].to_numpy(), group))
+            seq, off, left = np.zeros(len(group), np.int64), np.zeros(len(group), np.int64), np.zeros(len(group), bool)
+            bounds = np.flatnonzero(np.diff(group[order], prepend=-1))
+            for lo, hi in zip(bounds, [*bounds[1:], len(order)], strict=True):
+                rows = order[lo:hi]
+                which, at = pack_group(length[rows], capacity)
+                fill = np.bincount(which, weights=length[rows])
+                seq[rows], off[rows] = turn << 56 | (int(group[rows[0]]) << 24) + which, at
+                left[rows] = (groups > 1) & (which == fill.argmin()) & (fill.min() < capacity)
+            t = t.drop_columns(["g"]).append_column("sequence_id", pa.array(seq)).append_column("offset", pa.array(off)).append_column("left", pa.array(left))
+            yield from t.to_batches(65_536)
+
+        return place
+
+    rest, done, turn = materialise(parts, "pieces"), None, 0
+    n = rest.count()
+    while True:
+        groups = max(1, -(-n // group_rows))
+        # by row, since pieces that are all alike would fall into one group by their columns
+        dealt = rest.withColumn("g", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
+        placed = dealt.repartition(groups, "g").mapInArrow(placer(turn, groups), PLACED + ", left boolean")
+        again = 0
+        if groups > 1:
+            placed = materialise(placed, "placed")
+            again = placed.where("left").count()
+        last = again * 2 > n or not again  # groups of little more than one bin gain nothing
+        stay = placed.drop("left") if last else placed.where("not left").drop("left")
+        done = stay if done is None else done.unionByName(stay)
+        if last:
+            return done
+        rest, n, turn = placed.where("left").drop("left", "sequence_id", "offset"), again, turn + 1
