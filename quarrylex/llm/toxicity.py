@@ -1,8 +1,9 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences. A linear model of hashed words and word beginnings scores each sentence; a noisy-or with a leak combines the
-scores to the document's probability, 1 - (1 - leak) * prod(1 - p). Only document labels train it: the gradient of the
-noisy-or gives each sentence its share of the blame, so that the same scores locate the offending sentences.
+A document is a bag of sentences. A linear model of hashed words and word beginnings scores each sentence; a noisy-or with a
+leak combines the scores to the document's probability, 1 - (1 - leak) * prod(1 - p). Only document labels train it: the
+gradient of the noisy-or gives each sentence its share of the blame, so that the same scores locate the offending sentences.
+How strongly weights are held near 0 (the ridge) is chosen by folds within the training rows.
 
 Null and empty texts have no sentence and score the leak. Repeated rows are scored separately, ties between sentences go to
 the first. Without labels, or with one class only, the score is that class's share. Extra columns are ignored.
@@ -76,7 +77,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array(at), pa.array(df[at]), pa.array(hits[at])], names=["bucket", "df", "hits"])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, features: int = 2048, steps: int = 150) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, features: int = 2048, steps: int = 150, ridges: tuple[float, ...] = (0.03, 0.1, 0.3, 1.0), folds: int = 3) -> Model:
     """Fit on at most about sample labelled documents, chosen by a hash of their ids.
 
     Executors count and screen the features; the driver gets the counts of the frequent ones, and for each document only
@@ -86,7 +87,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, features: in
     n = labelled.count()
     if n > sample:
         labelled = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(sample / n * (1 << 20)))
-    chosen = pick(docs, "doc_id", "text").join(F.broadcast(labelled), "doc_id").select("y", "text")  # at most about sample rows
+    chosen = pick(docs, "doc_id", "text").join(F.broadcast(labelled), "doc_id").select("y", "text", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(folds)).cast("int").alias("fold"))  # at most about sample rows
     sums = chosen.mapInArrow(_counted, "bucket bigint, df bigint, hits bigint").groupBy("bucket").agg(F.sum("df").alias("df"), F.sum("hits").alias("hits")).where("df >= 5").toArrow()
     bucket, df, hits = (sums[c].to_numpy() for c in ("bucket", "df", "hits"))
     stat = labelled.agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("share")).first()
@@ -104,17 +105,51 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, features: in
     def kept_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for batch in batches:
+            at = 0
             for y, n_sent, doc, sent, b in _bags(batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)):
                 use = table[b] >= 0
                 d, key = doc[use], sent[use] << BITS | table[b[use]]
                 cut = pa.array(np.searchsorted(d, np.arange(len(y) + 1)).astype(np.int32))
-                yield pa.record_batch([pa.array(y.astype(np.int32)), pa.array(n_sent.astype(np.int32)), pa.ListArray.from_arrays(cut, pa.array(key))], names=["y", "n_sent", "hits"])
+                fold = batch.column(2)[at : at + len(y)]
+                at += len(y)
+                yield pa.record_batch([pa.array(y.astype(np.int32)), pa.array(n_sent.astype(np.int32)), pa.ListArray.from_arrays(cut, pa.array(key)), fold], names=["y", "n_sent", "hits", "fold"])
 
-    rows = chosen.mapInArrow(kept_only, "y int, n_sent int, hits array<bigint>").toArrow().combine_chunks()
+    rows = chosen.mapInArrow(kept_only, "y int, n_sent int, hits array<bigint>, fold int").toArrow().combine_chunks()
     hit = rows["hits"].combine_chunks()
     size = hit.value_lengths().to_numpy()
     key = hit.flatten().to_numpy()
-    return fit(rows["y"].to_numpy(), rows["n_sent"].to_numpy(), np.repeat(np.arange(len(size)), size), key >> BITS, key & ((1 << BITS) - 1), kept, trust, steps)
+    data = (rows["y"].to_numpy(), rows["n_sent"].to_numpy(), np.repeat(np.arange(len(size)), size), key >> BITS, key & ((1 << BITS) - 1))
+    ridge = chosen_ridge(*data, rows["fold"].to_numpy(), kept, trust, steps, ridges) if len(ridges) > 1 else ridges[0]
+    return fit(*data, kept, trust, steps, ridge=ridge)
+
+
+def chosen_ridge(y: np.ndarray, n_sent: np.ndarray, doc: np.ndarray, sent: np.ndarray, feature: np.ndarray, fold: np.ndarray, kept: np.ndarray, trust: np.ndarray, steps: int, ridges: tuple[float, ...]) -> float:
+    """The ridge whose models of all folds but one are the likeliest on the folds left out; of equal ones the largest.
+
+    The features were chosen on all training rows, which is no matter for a choice among ridges.
+    """
+    loss = []
+    for ridge in ridges:
+        total = 0.0
+        for k in np.unique(fold):
+            out = fold == k
+            number = np.cumsum(~out) - 1
+            use = ~out[doc]
+            m = fit(y[~out], n_sent[~out], number[doc[use]], sent[use], feature[use], kept, trust, steps, ridge=ridge)
+            p = np.clip(scores(n_sent, doc, sent, feature, m, kept), 1e-6, 1 - 1e-6)[out]
+            total -= (y[out] * np.log(p) + (1 - y[out]) * np.log(1 - p)).sum()
+        loss.append(total)
+    return max(r for r, x in zip(ridges, loss, strict=True) if x <= min(loss) + 1e-9)
+
+
+def scores(n_sent: np.ndarray, doc: np.ndarray, sent: np.ndarray, feature: np.ndarray, m: Model, kept: np.ndarray) -> np.ndarray:
+    """Documents' probabilities from the kept features of their sentences."""
+    z = np.full(len(n_sent), np.log(max(1 - m.leak, 1e-12))) + n_sent * np.log1p(-1 / (1 + np.exp(-m.bias)))
+    if len(doc):
+        rows, r = np.unique(np.stack([doc, sent], 1), axis=0, return_inverse=True)
+        p = 1 / (1 + np.exp(-np.clip(m.bias + np.bincount(r.reshape(-1), weights=m.weight[kept][feature]), -30, 30)))
+        z += np.bincount(rows[:, 0], weights=np.log1p(-np.minimum(p, 1 - 1e-9)) - np.log1p(-1 / (1 + np.exp(-m.bias))), minlength=len(n_sent))
+    return 1 - np.exp(z)
 
 
 def wilson(hits: np.ndarray, n: np.ndarray) -> np.ndarray:
