@@ -1,10 +1,12 @@
 """Quality by co-training of two views.
 
-The text view reads a document's content: which tokens, character patterns and repetitions it has. The metadata view reads
-the record and its page shape: language, source, length, lines, and the make-up of its characters by class. Each view has a
-naive Bayes classifier, whose counts cover all labelled rows. In each round, each view's calibrated confident predictions on
-all unlabelled rows become pseudo-labels for the other view. In the end both are calibrated on the labelled rows (a
-monotone map from score histograms) and combined by a logistic model over the calibrated log-odds.
+The text view reads a document's content: patterns of characters around marks, and how much its words repeat themselves. It
+has no features for single words: hashed words were tried and lowered the held-out results (see README). The metadata view
+reads the record and its page shape: language, source, length, lines, and the make-up of its characters by class. Each view
+has a naive Bayes classifier, whose counts cover all labelled rows. In each round, each view's calibrated confident
+predictions on all unlabelled rows become pseudo-labels for the other view. Views are calibrated on the labelled rows (a
+monotone map from score histograms), each row scored by the counts without itself, and in the end combined by a logistic
+model over the calibrated log-odds.
 
 Counts and histograms are summed on the executors; the driver holds one number per feature or cell, whatever the input's
 size. Labels of the held-out fold (crc32 of the id modulo 5 is 0) are never used.
@@ -112,9 +114,6 @@ def meta_features(s: Slice, lang: list, source: list) -> list[np.ndarray]:
     return [np.asarray([*c, *d], np.int32) for c, d in zip(codes, dense.tolist(), strict=True)]
 
 
-FEATURES = "doc_id bigint, y int, text array<int>, meta array<int>"
-
-
 def featurised(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, y (label of the training folds, null elsewhere), feature numbers of both views."""
     known = labels.where(F.col("quality").isNotNull()).select(F.col("doc_id").cast("bigint"), F.col("quality").cast("int").alias("y")).where(crc_mod("doc_id", 5) != 0).groupBy("doc_id").agg(F.max("y").alias("y"))
@@ -132,29 +131,34 @@ def featurised(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 @dataclass
 class View:
-    """Log-odds of each feature and at the start, and the calibrated log-odds of a raw score by its cell."""
+    """Log-odds of each feature, and the calibrated log-odds of a raw score by its cell.
+
+    without: log-odds by the counts without one row of class 0, and of class 1, that has the feature.
+    """
 
     weight: np.ndarray
-    prior: float
+    without: tuple[np.ndarray, np.ndarray]
     edges: np.ndarray
     level: np.ndarray
 
-    def raw(self, features: pa.Array) -> np.ndarray:
+    def raw(self, features: pa.Array, y: np.ndarray | None = None) -> np.ndarray:
+        """y: the classes of rows that were counted, each of which is then scored by the other rows."""
         flat, off = features.values.to_numpy(), features.offsets.to_numpy()
+        flat = flat[off[0] : off[-1]]
         off = off - off[0]
         n = np.diff(off)
-        return self.prior + segment_sums(self.weight[flat[: off[-1]]], off) / np.sqrt(np.maximum(n, 1))  # damped: features depend on each other
+        weight = self.weight[flat] if y is None else np.where(np.repeat(y, n) == 1, self.without[1][flat], self.without[0][flat])
+        return segment_sums(weight, off) / np.sqrt(np.maximum(n, 1))  # damped: features depend on each other
 
     def calibrated(self, raw: np.ndarray) -> np.ndarray:
         return self.level[np.searchsorted(self.edges, raw)]
 
 
-def naive_bayes(counts: np.ndarray) -> tuple[np.ndarray, float]:
+def naive_bayes(counts: np.ndarray) -> np.ndarray:
     """Log-odds from counts [features + 1, 2]; the last row has the documents of each class."""
     n = np.maximum(counts[-1], 1.0)
-    p = (counts[:-1] + 1) / (n + 2)
-    weight = np.log(p[:, 1]) - np.log(p[:, 0])
-    return np.where(counts[:-1].sum(1) >= 5, weight, 0.0), 0.0
+    p = (np.maximum(counts[:-1], 0) + 1) / (n + 2)
+    return np.where(counts[:-1].sum(1) >= 5, np.log(p[:, 1]) - np.log(p[:, 0]), 0.0)
 
 
 def isotonic(hits: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -173,8 +177,8 @@ def _aligned(column: pa.Array) -> pa.Array:
 
 
 def _summed(table: DataFrame, views: tuple[View, View] | None, sure: float, what: str) -> np.ndarray:
-    """Sums over all rows, as one vector. what: "labelled" or "pseudo" feature counts of both views, or "cells" (score
-    histograms of labelled rows: each view's, and both views' calibrated levels together).
+    """Sums over all rows, as one vector. what: "labelled" or "pseudo" feature counts of both views, or "cells" (each view's
+    score histogram of the labelled rows).
     """
     shared = table.sparkSession.sparkContext.broadcast(views)
     widths = (N_TEXT + 1, N_META + 1)
@@ -187,7 +191,7 @@ def _summed(table: DataFrame, views: tuple[View, View] | None, sure: float, what
             columns = [_aligned(batch.column(1)), _aligned(batch.column(2))]
             if what == "cells":
                 for k in (0, 1):
-                    cell = np.clip(((v[k].raw(columns[k]) + 16) * (CELLS / 32)).astype(np.int64), 0, CELLS - 1)
+                    cell = np.clip(((v[k].raw(columns[k], y) + 16) * (CELLS / 32)).astype(np.int64), 0, CELLS - 1)
                     total += np.bincount(k * 2 * CELLS + cell * 2 + y, minlength=size)
                 continue
             base = 0
@@ -220,7 +224,7 @@ def _views(counts: np.ndarray) -> tuple[View, View]:
     a = counts[: 2 * (N_TEXT + 1)].reshape(-1, 2)
     b = counts[2 * (N_TEXT + 1) :].reshape(-1, 2)
     none = np.zeros(0)
-    return tuple(View(*naive_bayes(c), none, np.zeros(1)) for c in (a, b))
+    return tuple(View(naive_bayes(c), (naive_bayes(c - [1, 0]), naive_bayes(c - [0, 1])), none, np.zeros(1)) for c in (a, b))
 
 
 def _calibrate(table: DataFrame, views: tuple[View, View]) -> tuple[View, View]:
@@ -266,8 +270,9 @@ def _mix(table: DataFrame, views: tuple[View, View]) -> np.ndarray:
         v = shared.value
         total = np.zeros(CELLS * CELLS * 2)
         for batch in batches:
-            cell = [np.searchsorted(v[k].edges, v[k].raw(_aligned(batch.column(1 + k)))) for k in (0, 1)]
-            total += np.bincount((cell[0] * CELLS + cell[1]) * 2 + batch.column(0).to_numpy(zero_copy_only=False), minlength=len(total))
+            y = batch.column(0).to_numpy(zero_copy_only=False)
+            cell = [np.searchsorted(v[k].edges, v[k].raw(_aligned(batch.column(1 + k)), y)) for k in (0, 1)]
+            total += np.bincount((cell[0] * CELLS + cell[1]) * 2 + y, minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.record_batch([pa.array(at), pa.array(total[at])], names=["i", "v"])
 
