@@ -29,6 +29,10 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
     return ship(builder.getOrCreate())
 
 
+#: Bytes of a batch sent to a Python worker, unless the session sets its own: texts are of any length, rows are no measure.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4194304b")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir where the session names one.
 
@@ -36,16 +40,18 @@ def shared_folder(spark: SparkSession) -> str:
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if spark.sparkContext.master.startswith("local"):
-            found = f"file://{tempfile.mkdtemp(prefix='quarrylex-')}"
-        else:
-            found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='quarrylex-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def ship(spark: SparkSession) -> SparkSession:
     """Give the executors this package, unless PYTHONPATH already has it; done once for a context."""
+    name, usual, small = BATCH
+    if spark.conf.get(name, usual) == usual:
+        spark.conf.set(name, small)
     top = Path(__file__).resolve().parent
     context = spark.sparkContext
     if str(top.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(context, "_quarrylex", False):
