@@ -193,7 +193,7 @@ def _hits(docs: DataFrame, known: np.ndarray, least_words: int, bits: int, least
     return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(run, HITS)
 
 
-def repeats(docs: DataFrame, min_words: int = 20, bits: int = 4, least: int = 16, most: int = 96) -> DataFrame:
+def repeats(docs: DataFrame, min_words: int = 20, bits: int = 5, least: int = 16, most: int = 96) -> DataFrame:
     """One row per document: its chunks, the repeated passages and what removing all but their first copies would take.
 
     A passage is a run of chunks whose links stand elsewhere too, of at least min_words words, where two code points of a
@@ -210,7 +210,7 @@ def repeats(docs: DataFrame, min_words: int = 20, bits: int = 4, least: int = 16
     link = hits.where("pos >= 0")
     at = F.struct("doc_id", "row", "pos")
     shared = materialise(link.groupBy("b1", "b2").agg(F.count(F.lit(1)).alias("copies"), F.min(at).alias("first")).where("copies > 1").select("b1", "b2", "first"), "shared")
-    marked = attach(link, shared, ["b1", "b2"], shared.count())
+    marked = attach(link, shared, ["b1", "b2"], 6 * shared.count())  # rows as wide as six keys
     hit = F.struct("pos", "place", "then", F.when(F.col("first") < at, F.col("first.doc_id")).alias("first"), (F.col("first") < at).alias("again"))
     kind = "struct<pos:int,place:bigint,then:int,first:bigint,again:boolean>"
     rows = marked.select("row", "doc_id", F.lit(0).cast("bigint").alias("n"), hit.alias("hit")).unionByName(hits.where("pos < 0").select("row", "doc_id", F.col("place").alias("n"), F.lit(None).cast(kind).alias("hit")))

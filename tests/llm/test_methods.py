@@ -6,6 +6,7 @@ import random
 import re
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -156,32 +157,33 @@ def test_passages_equal_a_plain_version(spark):
     fresh = lambda n: " ".join("".join(rng.choices("abcdefghijklmn", k=rng.randrange(2, 9))) for _ in range(n))
     shared = [fresh(70), fresh(25), fresh(8)]
     values = [f"{fresh(rng.randrange(1, 90))} {rng.choice(shared)} {fresh(rng.randrange(1, 60))} {rng.choice(shared)}" for _ in range(40)] + ["", shared[0], shared[0]]
-    cut, links = [], {}
+    cut = []
     for v in values:
         s = next(slices(pa.array([v])))
-        _, start, end = chunks.cuts(s, 4, 16, 96)
+        _, start, end = chunks.cuts(s, 5, 16, 96)
         parts = [v[a:b] for a, b in zip(start, end, strict=True)]
         cut.append((parts, start.tolist(), end.tolist()))
     count = lambda v, a, b: sum(1 for k in range(a, b) if v[k] != " " and (k == 0 or v[k - 1] == " "))
+    mine = []  # (first chunk, last chunk, text) of each document's links
     for d, (parts, start, end) in enumerate(cut):
-        for k in range(len(parts) - 1):
-            links.setdefault(parts[k] + parts[k + 1], []).append(d)
-        for k in range(len(parts)):
-            if count(values[d], start[k], end[k]) >= 20:
-                links.setdefault(parts[k], []).append(d)
-    want = []
-    for d, (parts, start, end) in enumerate(cut):
-        tied = [len(links.get(parts[k] + parts[k + 1], [])) > 1 for k in range(len(parts) - 1)]
-        runs, k = [], 0
-        while k < len(parts):
-            j = k
-            while j < len(tied) and tied[j]:
-                j += 1
-            alone = count(values[d], start[k], end[k]) >= 20 and len(links[parts[k]]) > 1
-            if (j > k or alone) and count(values[d], start[k], end[j]) >= 20:
-                runs.append(f"{start[k]}:{end[j]}")
-            k = j + 1
-        want.append(",".join(runs))
+        pairs = [(k, k + 1, parts[k] + parts[k + 1]) for k in range(len(parts) - 1)]
+        mine.append(pairs + [(k, k, parts[k]) for k in range(len(parts)) if count(values[d], start[k], end[k]) >= 20])
+
+    def runs_of(d, found):
+        """(first, last) chunk of the runs of links that are found, if they are long enough."""
+        out = []
+        for a, b, _ in sorted(x for x in mine[d] if x[2] in found):
+            if out and a <= out[-1][1]:
+                out[-1][1] = max(out[-1][1], b)
+            else:
+                out.append([a, b])
+        return [(a, b) for a, b in out if count(values[d], cut[d][1][a], cut[d][2][b]) >= 20]
+
+    twice = lambda lists: {t for t, n in Counter(x[2] for links in lists for x in links).items() if n > 1}
+    found = twice(mine)
+    # copies count in runs that are long enough
+    found = twice([[x for x in mine[d] if x[2] in found and any(a <= x[0] and x[1] <= b for a, b in runs_of(d, found))] for d in range(len(values))])
+    want = [",".join(f"{cut[d][1][a]}:{cut[d][2][b]}" for a, b in runs_of(d, found)) for d in range(len(values))]
     got = {r["doc_id"]: r for r in chunks.repeats(texts(spark, values)).collect()}
     assert [got[d]["spans"] for d in range(len(values))] == want
     assert got[42]["removed"] == f"0:{len(shared[0])}" and got[42]["has_repeat"] and got[40]["n_chunks"] == 0
