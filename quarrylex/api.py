@@ -40,7 +40,9 @@ class Engine:
     """indexes by name; virtual names stand for several, as names or [regular expressions].
 
     ranking: weight of postings; length: normalisation of scores; global_idf: statistics over all indexes of a search
-    together, instead of each index's own. lists: paths of list filters by name. most: cap on documents returned.
+    together, instead of each index's own; proximity: OR and AND weigh words that stand right after each other more, which
+    needs their places: without it a search of words is one scan and one aggregation. lists: paths of list filters by name.
+    most: cap on documents returned. remembered: number of results that the cache holds; the oldest go first.
     """
 
     indexes: dict[str, Index]
@@ -48,11 +50,13 @@ class Engine:
     ranking: str = "cosine"
     length: str = "log"
     global_idf: bool = False
+    proximity: bool = True
     lists: dict[str, str] = field(default_factory=dict)
     kinds: dict[str, str] = field(default_factory=dict)
     most: int | None = None
     clock: dt.datetime | None = None
     cache_mode: str = "off"  # off, read, write
+    remembered: int = 100
     _cache: dict[str, DataFrame] = field(default_factory=dict, repr=False)
 
     def resolve(self, name: str) -> list[Index]:
@@ -78,15 +82,17 @@ class Engine:
         found = self.resolve(index)
         shared = self._global(found) if self.global_idf and len(found) > 1 else (None, None)
         for x in found:
-            key = sha256(repr((x.config, id(x), show(query.root), sorted(map(str, query.modifiers.items())), like, unlike, self.ranking, self.length, self.global_idf)).encode()).hexdigest()
+            key = sha256(repr((x.config, x.uid, show(query.root), sorted(map(str, query.modifiers.items())), like, unlike, self.ranking, self.length, self.global_idf, self.proximity)).encode()).hexdigest()
             if self.cache_mode != "off" and query.modifiers.get("search_cache") == "enable" and key in self._cache:
                 parts.append(self._cache[key])
                 continue
-            plan = Plan(x, query, self.ranking, *shared)
+            plan = Plan(x, query, self.ranking, *shared, proximity=self.proximity)
             part = self._scored(x, plan, query, like, unlike)
             if self.cache_mode == "write" and query.modifiers.get("search_cache") == "enable":
                 part = part.cache()
                 self._cache[key] = part
+                while len(self._cache) > self.remembered:
+                    self._cache.pop(next(iter(self._cache))).unpersist()
             parts.append(part)
             if query.modifiers.get("search_report") == "return":
                 reports.append(plan.report())
@@ -133,6 +139,18 @@ class Engine:
         scored = scoring.normalised(docs, x.documents, self.length) if query.root is not None or extra is not None else docs
         return scored.select(F.lit(x.config.name).alias("index_name"), "doc_id", "score")
 
+    def forget(self) -> None:
+        """Empty the cache of results."""
+        for part in self._cache.values():
+            part.unpersist()
+        self._cache.clear()
+
+    def counters(self, index: str, search: str) -> DataFrame:
+        """(index_name, matched, failed_date, failed_language, not_included, excluded, returned) of a search: why documents that match its words aren't in its results."""
+        query = parse(search, self.clock)
+        parts = [filters.counters(x, Plan(x, query, self.ranking, proximity=self.proximity).matches(), query.modifiers, self.lists).select(F.lit(x.config.name).alias("index_name"), "*") for x in self.resolve(index)]
+        return reduce(DataFrame.unionByName, parts)
+
     # --- information ------------------------------------------------------------------------------------------------
 
     def index_info(self, name: str) -> DataFrame:

@@ -79,7 +79,12 @@ def tokens_auto(text: Column, lang: Column | None = None) -> Column:
     return F.when(hinted, F.concat(bigrams(hiragana(text)), rest)).otherwise(tokens_punct(text))
 
 
-TOKENIZERS: dict[str, Callable[[Column], Column]] = {"alnum": tokens_alnum, "punct": tokens_punct, "bigram": bigrams, "unigram": unigrams, "auto": tokens_auto}
+def tokens_lines(text: Column) -> Column:
+    """A term on each line, blank lines apart."""
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), F.trim), lambda t: t != "")
+
+
+TOKENIZERS: dict[str, Callable[[Column], Column]] = {"alnum": tokens_alnum, "punct": tokens_punct, "bigram": bigrams, "unigram": unigrams, "auto": tokens_auto, "lines": tokens_lines}
 
 
 def bounded(tokens: Column, least: int = 1, most: int = 255) -> Column:

@@ -3,13 +3,17 @@
 A postings list is a DataFrame (doc_id, position, weight) with what is known when the plan is made: its term type, whether
 it is required, and whether it is surely empty. OR keeps all postings, AND leaves one posting a document, ADJ and NEAR pair
 positions. Everything joins on doc_id, so one exchange of each side serves a whole chain of operators.
+
+With proximity, OR and AND also weigh words that stand right after each other PROXIMITY times, in the order of places within
+a document (at one place the right side's postings come first, then lighter ones), each operator anew as the tree is folded.
+Postings without places (0) have no neighbours.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylex.operators.scoring import PROXIMITY
@@ -62,18 +66,45 @@ def _or_one(both: DataFrame, a: Postings, b: Postings, strict: bool) -> DataFram
     return both
 
 
-def op_or(a: Postings, b: Postings, strict: bool = True) -> Postings:
+def _in_order(a: DataFrame, b: DataFrame) -> tuple[DataFrame, Column]:
+    """Both sides' postings with their side (left 1, right 0), and whether the one before in the document stands right before."""
+    both = a.withColumn("side", F.lit(1)).unionByName(b.withColumn("side", F.lit(0)))
+    before = F.lag("position").over(Window.partitionBy("doc_id").orderBy("position", "side", "weight"))
+    return both, F.coalesce((before > 0) & (F.col("position") == before + 1), F.lit(False))
+
+
+def _weighed(a: DataFrame, b: DataFrame) -> DataFrame:
+    """OR: a posting right after another weighs PROXIMITY times as much."""
+    both, follows = _in_order(a, b)
+    return both.withColumn("follows", follows).select("doc_id", "position", F.when(F.col("follows"), F.col("weight") * PROXIMITY).otherwise(F.col("weight")).alias("weight"))
+
+
+def _accumulated(a: DataFrame, b: DataFrame) -> DataFrame:
+    """AND: weights add up along a document, and what has added up is multiplied at each right posting right after another.
+
+    A weight is multiplied as often as that happens from its own place on: a running count from the document's end. Documents
+    of one side only are dropped; everything is in one exchange by document.
+    """
+    both, follows = _in_order(a, b)
+    whole = Window.partitionBy("doc_id")
+    both = both.withColumn("jump", (follows & (F.col("side") == 0)).cast("int")).withColumn("sides", F.max("side").over(whole) - F.min("side").over(whole)).where("sides = 1")
+    rest = whole.orderBy("position", "side", "weight").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    both = both.withColumn("weight", F.col("weight") * F.pow(F.lit(PROXIMITY), F.sum("jump").over(rest)))
+    return per_document(both)
+
+
+def op_or(a: Postings, b: Postings, strict: bool = True, proximity: bool = False) -> Postings:
     """All postings of both; a required side turns it into IOR from that side, two of them into AND."""
     if a.empty or b.empty:
         gone, other = (a, b) if a.empty else (b, a)
         return a.nothing() if gone.required else other
     if a.required and b.required:
-        return op_and(a, b, strict)
+        return op_and(a, b, strict, proximity)
     if a.required:
         return op_ior(a, b)
     if b.required:
         return op_ior(b, a)
-    return Postings(a.df.unionByName(b.df), _kind(a, b))
+    return Postings(_weighed(a.df, b.df) if proximity else a.df.unionByName(b.df), _kind(a, b))
 
 
 def op_ior(a: Postings, b: Postings) -> Postings:
@@ -93,10 +124,12 @@ def op_xor(a: Postings, b: Postings) -> Postings:
     return Postings(a.df.unionByName(b.df).join(once, "doc_id", "left_semi"), _kind(a, b))
 
 
-def op_and(a: Postings, b: Postings, strict: bool = True) -> Postings:
+def op_and(a: Postings, b: Postings, strict: bool = True, proximity: bool = False) -> Postings:
     """One posting for each common document: the last position and the sum of the weights."""
     if (one := _survivor(a, b, strict)) is not None:
         return one
+    if proximity:
+        return Postings(_or_one(_accumulated(a.df, b.df), a, b, strict), _kind(a, b), a.required or b.required)
     x, y = per_document(a.df), per_document(b.df).select("doc_id", F.col("position").alias("p2"), F.col("weight").alias("w2"))
     both = x.join(y, "doc_id").select("doc_id", F.greatest("position", "p2").alias("position"), (F.col("weight") + F.col("w2")).alias("weight"))
     return Postings(_or_one(both, a, b, strict), _kind(a, b), a.required or b.required)

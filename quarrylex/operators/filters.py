@@ -56,6 +56,30 @@ def listed(index: Index, path: str) -> DataFrame:
     return index.postings.join(low, "term", "left_semi").select("doc_id").distinct()
 
 
+def counters(index: Index, docs: DataFrame, modifiers: dict, lists: dict[str, str] | None = None) -> DataFrame:
+    """One row: documents matched, those that each kind of restriction refuses (a document may fail several), and returned.
+
+    Each restriction is one flag of a document, joined on doc_id; the counts are one aggregation.
+    """
+    lists = lists or {}
+    yes = lambda df: df.select("doc_id").distinct()
+    needed = [any_of(index, words) for words in modifiers.get("inclusion_filter") or []]
+    needed += [yes(reduce(DataFrame.union, [listed(index, lists[n]) for n in names])) for names in modifiers.get("inclusion_list_filter") or []]
+    gone = [any_of(index, words) for words in modifiers.get("exclusion_filter") or []]
+    gone += [listed(index, lists[n]) for names in modifiers.get("exclusion_list_filter") or [] for n in names]
+    rows = yes(docs).join(index.documents.select("doc_id", "ansi_date", "lang"), "doc_id", "left")
+    rows = rows.withColumn("late", ~date_test(modifiers["date"]) if modifiers.get("date") else F.lit(False)).withColumn("foreign", ~language_test(modifiers["language"]) if modifiers.get("language") else F.lit(False))
+    rows = rows.select("doc_id", F.coalesce("late", F.lit(True)).alias("late"), F.coalesce("foreign", F.lit(True)).alias("foreign"))
+    for name, sides, there in (("outside", needed, False), ("inside", gone, True)):
+        rows = rows.withColumn(name, F.lit(False))
+        for k, side in enumerate(sides):
+            rows = rows.join(yes(side).withColumn(f"f{k}", F.lit(True)), "doc_id", "left").withColumn(name, F.col(name) | (F.coalesce(f"f{k}", F.lit(False)) == there)).drop(f"f{k}")
+    refused = F.col("late") | F.col("foreign") | F.col("outside") | F.col("inside")
+    return rows.agg(
+        F.count(F.lit(1)).alias("matched"), F.count_if("late").alias("failed_date"), F.count_if("foreign").alias("failed_language"), F.count_if("outside").alias("not_included"), F.count_if("inside").alias("excluded"), F.count_if(~refused).alias("returned")
+    )
+
+
 def restrict(index: Index, docs: DataFrame, modifiers: dict, lists: dict[str, str] | None = None) -> DataFrame:
     """docs (with doc_id) under all filters of the modifiers: each inclusion filter must hold, no exclusion filter may.
 

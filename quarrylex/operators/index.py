@@ -7,14 +7,25 @@ one pass; a stored one is laid out by term.
 
 from __future__ import annotations
 
+import contextlib
+import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrylex.functions import stemmers, stoplists, text
+from quarrylex.session import scratch
 
 REGULAR, STOP, FREQUENT = 1, 2, 3
+#: Stems that are sent to all tasks; of a larger vocabulary both sides are shuffled by term.
+BROADCAST_STEMS = 300_000
+
+
+class IndexLocked(RuntimeError):
+    """Another writer holds the index's folder."""
 
 
 @dataclass(frozen=True)
@@ -51,6 +62,9 @@ class Index:
     postings: DataFrame
     terms: DataFrame
     _n: int | None = field(default=None, repr=False)
+    exploded: DataFrame | None = field(default=None, repr=False)  # what postings and terms are made from
+    written: bool = field(default=False, repr=False)  # exploded is read from a scratch table, not made from texts
+    uid: str = field(default_factory=lambda: uuid.uuid4().hex, repr=False)
 
     @property
     def spark(self) -> SparkSession:
@@ -88,19 +102,38 @@ class Index:
         return ids or ([known[n] for n in self.config.default_fields] or None)
 
     def write(self, path: str, buckets: int = 64) -> Index:
-        """Store the tables; postings are clustered by term, so that a term's list is in one file and row group."""
-        out = {
-            "documents": self.documents,
-            "postings": self.postings.repartition(buckets, "term").sortWithinPartitions("term", "doc_id", "position"),
-            "terms": self.terms.repartition(max(1, buckets // 8), "term").sortWithinPartitions("term"),
-        }
-        for name, df in out.items():
-            df.write.mode("overwrite").parquet(f"{path}/{name}")
+        """Store the tables in a folder of their own below path, to which path points once they are complete.
+
+        Texts are cut into terms once. Postings are dealt by ranges of (term, document), so that a term's list is in few
+        files and row groups, and the list of a very common term in several. One writer at a time holds the folder's lock;
+        a write that fails leaves the index as it was. The version before is kept for readers that have it open.
+        """
+        with _locked(self.spark, path):
+            version = f"v-{uuid.uuid4().hex}"
+            try:
+                x = self
+                if self.exploded is not None:
+                    rows = self.exploded if self.written else scratch(self.exploded, "terms-in-places")
+                    x = Index(self.config, self.documents, _postings(rows, self.config), _terms(rows, self.config))
+                out = {
+                    "documents": x.documents,
+                    "postings": x.postings.repartitionByRange(buckets, "term", "doc_id").sortWithinPartitions("term", "doc_id", "position"),
+                    "terms": x.terms.repartition(max(1, buckets // 8), "term").sortWithinPartitions("term"),
+                }
+                for name, df in out.items():
+                    df.write.parquet(f"{path}/{version}/{name}")
+            except BaseException:
+                _files(self.spark, path)[0].delete(_path(self.spark, f"{path}/{version}"), True)
+                raise
+            _publish(self.spark, path, version)
         return Index.read(self.spark, path, self.config)
 
     @staticmethod
     def read(spark: SparkSession, path: str, config: Config) -> Index:
-        return Index(config, *(spark.read.parquet(f"{path}/{name}") for name in ("documents", "postings", "terms")))
+        version = _current(spark, path)
+        if not version:
+            raise FileNotFoundError(f"no index at {path}")
+        return Index(config, *(spark.read.parquet(f"{path}/{version}/{name}") for name in ("documents", "postings", "terms")))
 
     def save_tables(self, prefix: str, buckets: int = 64) -> None:
         """The same as catalog tables bucketed by term, for joins of postings and terms without a shuffle."""
@@ -109,24 +142,83 @@ class Index:
         self.documents.write.mode("overwrite").saveAsTable(f"{prefix}_documents")
 
 
-def forms_of(tokens: DataFrame, config: Config) -> DataFrame:
+def _path(spark: SparkSession, name: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(name)
+
+
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, whichever it is, and the path there."""
+    at = _path(spark, path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _current(spark: SparkSession, path: str) -> str:
+    """The version of a stored index; empty if there is none."""
+    fs, _ = _files(spark, path)
+    if not fs.exists(_path(spark, f"{path}/_current")):
+        return ""
+    stream = fs.open(_path(spark, f"{path}/_current"))
+    try:
+        return stream.readUTF()
+    finally:
+        stream.close()
+
+
+def _publish(spark: SparkSession, path: str, version: str) -> None:
+    fs, at = _files(spark, path)
+    before = _current(spark, path)
+    stream = fs.create(_path(spark, f"{path}/_current"), True)  # one small file, replaced at once
+    stream.writeUTF(version)
+    stream.close()
+    for f in fs.listStatus(at):
+        name = f.getPath().getName()
+        if name.startswith("v-") and name not in (version, before):
+            fs.delete(f.getPath(), True)
+
+
+@contextlib.contextmanager
+def _locked(spark: SparkSession, path: str) -> Iterator[None]:
+    fs, at = _files(spark, path)
+    fs.mkdirs(at)
+    lock = _path(spark, f"{path}/_lock")
+    if not fs.createNewFile(lock):
+        raise IndexLocked(f"{path} is being written; if no writer is alive, delete {path}/_lock")
+    try:
+        yield
+    finally:
+        fs.delete(lock, False)
+
+
+def forms_of(tokens: DataFrame, config: Config, once: bool = False) -> DataFrame:
     """Rows (..., field_id, lang, token) with the terms they are found by: (..., term, in_counts).
 
     The lower-cased form always, and the original where it has upper case. Terms all in upper case are never stemmed, mixed
-    ones are stemmed in both forms, by the rules of the row's language; an English algorithm runs on distinct terms, joined back.
+    ones are stemmed in both forms, by the rules of the row's language. Stems are worked out for distinct terms and joined back.
     """
     token = F.col("token")
     low, own = F.struct(F.lower(token).alias("term"), F.lit(True).alias("in_counts")), F.struct(token.alias("term"), F.lit(False).alias("in_counts"))
     both = F.when(text.has_upper(token), F.array(low, own)).otherwise(F.array(low)) if config.case_variants else F.array(low)
     rows = tokens.withColumn("v", F.explode(both)).select(*[c for c in tokens.columns if c != "token"], "v.*")
+    if once:
+        rows = scratch(rows, "forms")
     stemmed = [k for k, f in enumerate(config.fields, 1) if f.stemming]
     if config.stemmer == "none" or not stemmed:
         return rows
     free = F.col("field_id").isin(stemmed) & ~text.all_upper(F.col("term"))
-    if config.stemmer == "plural":
-        return rows.withColumn("term", F.when(free, stemmers.plural(F.col("term"), F.col("lang"))).otherwise(F.col("term")))
-    vocabulary = rows.where(free).select("term", "lang").distinct().select("term", "lang", stemmers.stem(F.col("term"), config.stemmer, F.col("lang")).alias("stem"))
-    return rows.join(vocabulary, ["term", "lang"], "left").withColumn("term", F.when(free, F.coalesce("stem", "term")).otherwise(F.col("term"))).drop("stem")
+    distinct = scratch(rows.where(free).select("term", "lang").distinct(), "vocabulary")
+    if config.stemmer == "plural":  # each language's rules by themselves: all in one expression are too much code
+        code = F.substring_index("lang", "-", 1)
+        present = [r["c"] for r in distinct.select(code.alias("c")).where(F.col("c").isin(*stemmers.PLURAL)).distinct().collect()]  # twelve at most
+        parts = [distinct.where(code == c).withColumn("stem", stemmers.plural(F.col("term"), c)) for c in sorted(present)]
+        parts.append(distinct.where(F.coalesce(~code.isin(*present), F.lit(True)) if present else F.lit(True)).withColumn("stem", stemmers.plural_any(F.col("term"))))
+        stems = reduce(DataFrame.unionByName, parts)
+    else:
+        stems = distinct.withColumn("stem", stemmers.stem(F.col("term"), config.stemmer, F.col("lang")))
+    stems = scratch(stems.where("stem <> term"), "stems")
+    stems = stems.select(F.col("term").alias("t"), F.col("lang").alias("l"), "stem")
+    side = F.broadcast(stems) if stems.count() <= BROADCAST_STEMS else stems
+    joined = rows.join(side, (F.col("term") == F.col("t")) & F.col("lang").eqNullSafe(F.col("l")), "left")
+    return joined.withColumn("term", F.when(free, F.coalesce("stem", "term")).otherwise(F.col("term"))).drop("stem", "t", "l")
 
 
 def _tagged(field_id: int):
@@ -149,25 +241,16 @@ def tokenised(docs: DataFrame, config: Config) -> DataFrame:
     return out
 
 
-def build(docs: DataFrame, config: Config = Config()) -> Index:
-    """docs needs doc_id and the fields' columns; doc_key, title, lang, rank, ansi_date and term_count are optional."""
+def build(docs: DataFrame, config: Config = Config(), once: bool = False) -> Index:
+    """docs needs doc_id and the fields' columns; doc_key, title, lang, rank, ansi_date and term_count are optional.
+
+    once: the texts' terms are written to the scratch folder first, for an index that will be stored, so that they are not
+    cut again for the vocabulary, the postings and the statistics.
+    """
     have = set(docs.columns)
     tokens = tokenised(docs, config)
-    exploded = forms_of(tokens, config)
-    stop = stoplists.is_stop(F.col("term"), config.stop_list)
-    drops = [k for k, f in enumerate(config.fields, 1) if f.stop]
-    kept = exploded.where(~(stop & F.col("field_id").isin(drops))) if drops else exploded
+    exploded = forms_of(tokens, config, once).select("term", "doc_id", "position", "field_id", "in_counts")
     name = F.lit(config.name)
-    at = F.col("position")
-    for k, f in enumerate(config.fields, 1):
-        if not f.positions:
-            at = F.when(F.col("field_id") == k, F.lit(0)).otherwise(at)
-    postings = kept.select(name.alias("index_name"), "term", "doc_id", at.alias("position"), "field_id")
-    terms = (
-        exploded.groupBy("term")
-        .agg(F.count(F.lit(1)).alias("term_count"), F.countDistinct("doc_id").alias("doc_count"), F.sort_array(F.collect_set("field_id")).alias("field_ids"), F.max("in_counts").alias("in_counts"))
-        .select(name.alias("index_name"), "term", F.when(stop, STOP).otherwise(REGULAR).alias("term_type"), "term_count", "doc_count", "field_ids", "in_counts")
-    )
     cut = text.TOKENIZERS[config.tokenizer]
     size = sum((F.size(text.bounded(cut(F.col(f.column).cast("string")), config.least, config.most)) for f in config.fields), F.lit(0)).cast("bigint")
     opt = lambda c, default, kind: (F.col(c) if c in have else default).cast(kind).alias(c)
@@ -176,7 +259,32 @@ def build(docs: DataFrame, config: Config = Config()) -> Index:
         (F.coalesce(F.col("term_count").cast("bigint"), size) if "term_count" in have else size).alias("term_count"), opt("ansi_date", F.lit(0), "bigint"),
         *[F.col(f.column).cast("string").alias(f"item_{f.name}") for f in config.fields],
     )
-    return Index(config, documents, postings, terms)
+    return Index(config, documents, _postings(exploded, config), _terms(exploded, config), exploded=exploded, written=once)
+
+
+def _stop(config: Config) -> Column:
+    return stoplists.is_stop(F.col("term"), config.stop_list)
+
+
+def _postings(exploded: DataFrame, config: Config) -> DataFrame:
+    """Without the stop terms of the fields that drop them, and without positions where a field keeps none."""
+    drops = [k for k, f in enumerate(config.fields, 1) if f.stop]
+    kept = exploded.where(~(_stop(config) & F.col("field_id").isin(drops))) if drops else exploded
+    flat = [k for k, f in enumerate(config.fields, 1) if not f.positions]
+    at = F.when(F.col("field_id").isin(flat), F.lit(0)).otherwise(F.col("position")) if flat else F.col("position")
+    return kept.select(F.lit(config.name).alias("index_name"), "term", "doc_id", at.alias("position"), "field_id")
+
+
+def _terms(exploded: DataFrame, config: Config) -> DataFrame:
+    """Counts of each term; its fields are gathered as bits, so that the aggregation stays a hash table of numbers."""
+    n = len(config.fields)
+    if n <= 62:
+        fields = F.expr("bit_or(shiftleft(1L, field_id))")
+        named = F.filter(F.array(*[F.lit(k) for k in range(1, n + 1)]), lambda k: F.getbit(F.col("f"), k) == 1)
+    else:
+        fields, named = F.collect_set("field_id"), F.sort_array("f")
+    counted = exploded.groupBy("term").agg(F.count(F.lit(1)).alias("term_count"), F.countDistinct("doc_id").alias("doc_count"), fields.alias("f"), F.max("in_counts").alias("in_counts"))
+    return counted.select(F.lit(config.name).alias("index_name"), "term", F.when(_stop(config), STOP).otherwise(REGULAR).alias("term_type"), "term_count", "doc_count", named.alias("field_ids"), "in_counts")
 
 
 def numbered(docs: DataFrame, *order: str) -> DataFrame:

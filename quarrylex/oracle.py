@@ -151,10 +151,6 @@ PLURAL_RULES = {
 }
 for _lang, _rules in PLURAL_RULES.items():
     ORACLE[f"stem_plural_{_lang}"] = _plural(_rules)
-ORACLE["stem_by_language"] = " UNION ALL ".join(
-    f"SELECT '{x}' AS lang, term, stem FROM ({_plural(PLURAL_RULES[x]).replace('FROM (' + LOW + ')', f'FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), {chr(39)}{ALNUM}{chr(39)})) AS term FROM documents WHERE lang = {chr(39)}{x}{chr(39)})')})" for x in ("de", "es")
-)
-
 _COUNT = "(SELECT doc_id, count(*)::DOUBLE AS w FROM low WHERE term = '{}' GROUP BY doc_id)"
 _FULL = f"(SELECT doc_id, coalesce(a.w, 0) AS l, coalesce(b.w, 0) AS r FROM {_COUNT.format('that')} a FULL JOIN {_COUNT.format('with')} b USING (doc_id))"
 ORACLE |= {
@@ -262,3 +258,76 @@ ORACLE |= {
 }
 for _form in ("para", "mbox", "refer", "tagged_text", "tagged_xml", "feed", "medline", "omim", "trec"):
     ORACLE[f"source_{_form}"] = r"SELECT item_id::VARCHAR AS key, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS digest FROM benchmark"
+
+
+# --- neighbours: OR multiplies a posting right after another, AND what has added up ------------------------------------------
+
+
+def _tagged(a: str, b: str) -> str:
+    return f"(SELECT doc_id, pos, w, 1 AS side FROM {a} UNION ALL SELECT doc_id, pos, w, 0 FROM {b})"
+
+
+_ORDER = "OVER (PARTITION BY doc_id ORDER BY pos, side, w{})"
+
+
+def next_or(a: str, b: str) -> str:
+    return f"(SELECT doc_id, pos, CASE WHEN pos = before + 1 THEN w * 3.0 ELSE w END AS w FROM (SELECT *, lag(pos) {_ORDER.format('')} AS before FROM {_tagged(a, b)}))"
+
+
+def next_and(a: str, b: str) -> str:
+    jumps = f"(SELECT *, CASE WHEN side = 0 AND pos = lag(pos) {_ORDER.format('')} + 1 THEN 1 ELSE 0 END AS jump, count(DISTINCT side) OVER (PARTITION BY doc_id) AS sides FROM {_tagged(a, b)})"
+    return f"(SELECT doc_id, max(pos) AS pos, sum(w * pow(3.0, n)) AS w FROM (SELECT *, sum(jump) {_ORDER.format(' ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING')} AS n FROM {jumps} WHERE sides = 2) GROUP BY doc_id)"
+
+
+def _log_scored(p: str) -> str:
+    return scored(p).replace("round(s.w / ln(n + 1.0), 6) AS score", "round(ln(s.w / ln(n + 1.0)), 6) AS log_score")
+
+
+ORACLE |= {"prox_or": scored(next_or(THAT, WITH)), "prox_three": scored(next_or(next_or(OF, THE), AND)), "prox_and": _log_scored(next_and(OF, THE)), "prox_mixed": _log_scored(next_or(next_and(OF, THE), WITH))}
+
+# --- stems by language -------------------------------------------------------------------------------------------------------
+
+_FRENCH = r"""CASE WHEN length(term) <= 5 THEN term WHEN term LIKE '%aux' THEN left(term, length(term) - 3) || 'al' WHEN term LIKE '%x' THEN left(term, length(term) - 1)
+    WHEN length(s) > 2 AND right(s, 1) = substr(s, length(s) - 1, 1) AND regexp_matches(s, '\p{L}$') THEN left(s, length(s) - 1) ELSE s END"""
+
+
+def _case(lang: str) -> str:
+    return "CASE " + " ".join(f"WHEN length(term) > {above} AND regexp_matches(term, '{end}$') THEN substr(term, 1, length(term) - {n}) || '{add}'" for above, end, n, add in PLURAL_RULES[lang]) + " ELSE term END"
+
+
+_STEM = f"CASE lang WHEN 'en' THEN {_case('en')} WHEN 'fr' THEN {_FRENCH} WHEN 'de' THEN {_case('de')} WHEN 'es' THEN {_case('es')} ELSE {_case('xx')} END"
+_STEMMED = f"vocab AS (SELECT lang, term, {_STEM} AS stem FROM (SELECT *, {_S} AS s FROM (SELECT DISTINCT lang, term FROM low))), stems AS (SELECT doc_id, stem AS term, pos FROM low JOIN vocab USING (lang, term))"
+ORACLE |= {
+    "stem_by_language": f"WITH {BASE}, {_STEMMED} SELECT lang, term, stem FROM vocab WHERE stem <> term",
+    "stemmed_index": f"WITH {BASE}, {_STEMMED} SELECT term, count(*) AS term_count, count(DISTINCT doc_id) AS doc_count FROM stems GROUP BY term",
+    "default_analysis": f"""WITH {BASE}, {_STEMMED}, df AS (SELECT term, count(DISTINCT doc_id) AS df FROM stems WHERE term IN ('and', 'her') GROUP BY term), wt AS (SELECT term, CASE WHEN ln(n / df) > 0 THEN ln(n / df) ELSE 1.0 END AS w FROM df, nn)
+        SELECT s.doc_id, round(s.w / ln(n + 1.0), 6) AS score FROM (SELECT doc_id, sum(w) AS w FROM stems JOIN wt USING (term) GROUP BY doc_id) s JOIN lens USING (doc_id)""",
+    "report_counters": f"""WITH {BASE}, m AS (SELECT DISTINCT doc_id, lang FROM low WHERE term = 'of'), f AS (SELECT lang NOT IN ('en', 'fr') AS foreign_, doc_id NOT IN {among('with')} AS outside, doc_id IN {among('by')} AS inside FROM m)
+        SELECT 'documents' AS index_name, count(*) AS matched, 0::BIGINT AS failed_date, count(*) FILTER (foreign_) AS failed_language, count(*) FILTER (outside) AS not_included, count(*) FILTER (inside) AS excluded, count(*) FILTER (NOT foreign_ AND NOT outside AND NOT inside) AS returned FROM f""",
+    "list_filter_file": f"WITH {BASE}, words AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '{ALNUM}')) AS term FROM benchmark WHERE item_id % 5 = 0) SELECT DISTINCT doc_id FROM low WHERE term = 'of' AND doc_id IN (SELECT doc_id FROM posts WHERE term IN (SELECT term FROM words WHERE length(term) > 9))",
+    "field_filter": r"SELECT p_partkey AS doc_id FROM part WHERE regexp_matches(lower(p_type), '(^|[^\p{L}\p{N}])(promo([^\p{L}\p{N}]|$)|med)') AND NOT list_contains(regexp_extract_all(lower(p_brand), '[\p{L}\p{N}]+'), '13') AND (list_contains(regexp_extract_all(lower(p_brand), '[\p{L}\p{N}]+'), 'brand'))",
+    "stop_fielded": f"WITH {BASE} SELECT 2::INTEGER AS field_id, count(DISTINCT doc_id) AS documents, count(*) AS n FROM low WHERE term = 'the'",
+    "terms_stop": f"WITH {BASE} SELECT term, 2::INTEGER AS term_type, count(*) AS term_count, count(DISTINCT doc_id) AS doc_count FROM posts WHERE lower(term) IN (SELECT term FROM ({ORACLE['stop_flags']})) GROUP BY term",
+    "terms_regular": f"WITH {BASE} SELECT term, 1::INTEGER AS term_type, count(*) AS term_count, count(DISTINCT doc_id) AS doc_count FROM posts WHERE lower(term) NOT IN (SELECT term FROM ({ORACLE['stop_flags']})) GROUP BY term",
+    "term_comparison": rf"WITH {BASE} SELECT term, count(*) AS term_count, count(DISTINCT doc_id) AS doc_count FROM posts WHERE (regexp_matches(term, '^[0-9]{{1,18}}$') AND TRY_CAST(term AS BIGINT) >= 1900) OR (regexp_matches(term, '\p{{Ll}}') AND NOT regexp_matches(term, '\p{{Lu}}') AND lower(term) < 'abc') GROUP BY term",
+    "server_info": "SELECT 'documents' AS name, 'nobody' AS administrator",
+    "index_list": f"SELECT ix AS index_name, count(DISTINCT doc_id) AS n_docs, count(DISTINCT term) AS unique_terms FROM (SELECT ix, doc_id, unnest(regexp_extract_all(lower(text), '{ALNUM}')) AS term FROM {_BOTH}) GROUP BY ix",
+    "stored_index": f"WITH {BASE} SELECT term, count(*) AS n, sum(pos)::BIGINT AS places, max(doc_id) AS last FROM posts GROUP BY term",
+    "log_parsed": """SELECT event_id AS process, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END AS level, CASE WHEN event_type = 'error' THEN 'search_error' ELSE 'search' END AS kind, event_type || CASE WHEN event_type = 'error' THEN '' ELSE '+all' END AS indexes,
+        CASE WHEN event_type <> 'error' THEN 'Word' || user_id || '  of {language:en}' END AS search, CASE WHEN event_type <> 'error' THEN user_id + 7 ELSE -1 END AS found, CASE WHEN event_type <> 'error' THEN printf('%.4f', abs(value))::DOUBLE ELSE -1.0 END AS seconds FROM events""",
+    "log_by_index": "SELECT index_name, count(*) FILTER (event_type <> 'error') AS searches, count(*) FILTER (event_type = 'error') AS errors FROM (SELECT event_type, event_type AS index_name FROM events UNION ALL SELECT event_type, 'all' FROM events WHERE event_type <> 'error') GROUP BY 1",
+    "log_searches": "SELECT 'word' || user_id || ' of' AS key, count(*) AS n FROM events WHERE event_type <> 'error' GROUP BY 1 ORDER BY n DESC, key LIMIT 10",
+    "log_script": """SELECT 'search "' || event_type || ',all" "Word' || user_id || '  of {language:en}"' AS value FROM events WHERE event_type <> 'error'""",
+    "source_text": f"SELECT item_id::VARCHAR AS key, 'Item ' || item_id AS title, md5(array_to_string(list_transform(range(1, len(w) + 1, 2), lambda i: array_to_string(w[i:i + 1], ' ')), chr(10))) AS digest FROM (SELECT item_id, regexp_extract_all(text, '{ALNUM}') AS w FROM benchmark) WHERE len(w) > 0",
+    "source_line": f"SELECT lower(term) AS term, count(*) AS term_count, count(DISTINCT item_id) AS doc_count FROM (SELECT item_id, unnest(list_transform(range(1, len(w) + 1, 2), lambda i: array_to_string(w[i:i + 1], ' '))) AS term FROM (SELECT item_id, regexp_extract_all(text, '{ALNUM}') AS w FROM benchmark)) GROUP BY 1",
+    "source_selected": "SELECT item_id::VARCHAR AS key FROM benchmark WHERE item_id % 2 = 0",
+}
+
+ORACLE |= {
+    "first_classes": f"SELECT CASE WHEN regexp_matches(token, '^[0-9]') THEN 'digit' WHEN regexp_matches(token, '^[A-Z]') THEN 'upper' WHEN regexp_matches(token, '^[a-z]') THEN 'lower' ELSE 'high' END AS kind, count(*) AS n FROM ({VOCABULARY}) GROUP BY 1",
+    "charset_recoded": r"SELECT doc_id, md5(text) AS digest FROM documents WHERE NOT regexp_matches(text, '[^\x00-\x{FF}]')",
+    "utf8_cleaned": "SELECT doc_id, md5(text || ' ') AS digest FROM documents",
+    "stripped_tokens": rf"SELECT token, bare FROM (SELECT token, regexp_replace(token, '[{TAIL_PUNCT}]+$', '') AS bare FROM (SELECT DISTINCT unnest(string_split_regex(text, '\s+')) AS token FROM documents)) WHERE bare <> token",
+    "capped_page": scored(either(THAT, WITH)) + " ORDER BY s.w / ln(n + 1.0) DESC, s.doc_id LIMIT 5",
+    "federated_page": f"SELECT * FROM ({ORACLE['virtual_local_idf']}) ORDER BY score DESC, index_name, doc_id LIMIT 20",
+}

@@ -73,5 +73,10 @@ def leaves(node: Node | None) -> list[Term]:
     return [node] if isinstance(node, Term) else [t for x in node.items for t in leaves(x)]
 
 
+def combines(node: Node | None) -> bool:
+    """Whether an OR or AND stands in the tree, where neighbouring words count more."""
+    return isinstance(node, Cluster) and (node.op in ("or", "and") or any(map(combines, node.items)))
+
+
 def positional(node: Node | None) -> bool:
     return isinstance(node, Cluster) and (node.op in ("adj", "near") or any(map(positional, node.items)))

@@ -1,13 +1,14 @@
 """From syntax tree to one DataFrame plan.
 
 Terms are looked up first: one small job gives the counts of all words of the query, which fix weights, term types and what is
-known to be empty. A query without positions becomes a single scan of the postings of its terms and one aggregation by
+known to be empty. A query without positions or neighbours becomes a single scan of the postings of its terms and one aggregation by
 document, whose flags and sums evaluate the whole tree. Else the operators of the algebra are composed.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from quarrylex.functions import stemmers, stoplists
 from quarrylex.operators import algebra, expand, scoring
 from quarrylex.operators.algebra import STOP, Postings
 from quarrylex.operators.index import Index
-from quarrylex.plans.ast import Cluster, Node, Query, QueryError, Term, leaves, positional
+from quarrylex.plans.ast import Cluster, Node, Query, QueryError, Term, combines, leaves, positional
 
 
 @dataclass
@@ -38,8 +39,8 @@ class Leaf:
 
 
 class Plan:
-    def __init__(self, index: Index, query: Query, ranking: str = "cosine", n_docs: int | None = None, terms: DataFrame | None = None):
-        self.index, self.query, self.ranking = index, query, ranking
+    def __init__(self, index: Index, query: Query, ranking: str = "cosine", n_docs: int | None = None, terms: DataFrame | None = None, proximity: bool = True):
+        self.index, self.query, self.ranking, self.proximity = index, query, ranking, proximity
         self.n_docs = index.n_docs if n_docs is None else n_docs
         self.terms = index.terms if terms is None else terms
         self.strict = query.modifiers.get("boolean_operation", "strict") == "strict"
@@ -47,19 +48,26 @@ class Plan:
 
     # --- terms ------------------------------------------------------------------------------------------------------
 
-    def _form(self, t: Term) -> str:
+    def _form(self, t: Term, stems: dict[str, str]) -> str:
         """Words all in upper case and literals as they are, other words stemmed."""
         config = self.index.config
         if t.function or t.text.isupper() or config.stemmer == "none":
             return t.text
         if config.stemmer in ("porter", "lovins") and config.lang.startswith("en"):
             return getattr(stemmers, config.stemmer)(t.text)
-        one = self.index.spark.range(1).select(stemmers.plural(F.lit(t.text), config.lang).alias("s"))
-        return one.first()["s"]
+        return stems[t.text]
+
+    def _stems(self, words: list[str]) -> dict[str, str]:
+        """Plural stems of all words of the query, by one small job."""
+        if not words or self.index.config.stemmer in ("none", "porter", "lovins") and (self.index.config.stemmer == "none" or self.index.config.lang.startswith("en")):
+            return {}
+        table = self.index.spark.createDataFrame([(w,) for w in words], "w string")
+        return {r["w"]: r["s"] for r in table.select("w", stemmers.plural(F.col("w"), self.index.config.lang).alias("s")).collect()}
 
     def _looked_up(self) -> dict[Term, Leaf]:
         default = tuple(self.query.modifiers.get("unfielded_search_field_names") or self.index.config.default_fields)
-        found = {t: Leaf(t, self._form(t), self.index.field_ids(t.fields or default)) for t in dict.fromkeys(leaves(self.query.root))}
+        stems = self._stems(sorted({t.text for t in leaves(self.query.root) if not t.function and not t.text.isupper()}))
+        found = {t: Leaf(t, self._form(t, stems), self.index.field_ids(t.fields or default)) for t in dict.fromkeys(leaves(self.query.root))}
         exact = [x for x in found.values() if not x.expands]
         words = sorted({x.form for x in exact} | {x.term.text for x in exact})
         counts = {}
@@ -117,13 +125,13 @@ class Plan:
                 skipped += 1  # the words after it are one place further on
                 continue
             if node.op == "or":
-                out = algebra.op_or(out, right, self.strict)
+                out = algebra.op_or(out, right, self.strict, self.proximity)
             elif node.op == "ior":
                 out = algebra.op_ior(out, right)
             elif node.op == "xor":
                 out = algebra.op_xor(out, right)
             elif node.op == "and":
-                out = algebra.op_and(out, right, self.strict)
+                out = algebra.op_and(out, right, self.strict, self.proximity)
             elif node.op == "not":
                 out = algebra.op_not(out, right)
             elif node.op == "adj":
@@ -139,7 +147,7 @@ class Plan:
 
     def _masked(self) -> bool:
         """One aggregation is enough: no positions, no relaxed emptiness, and no stop or required word that changes a rule."""
-        return self.strict and not positional(self.query.root) and not any(x.term.required or x.kind == STOP for x in self.leaves.values()) and not _required_cluster(self.query.root) and len(self.leaves) <= 62
+        return self.strict and not (self.proximity and combines(self.query.root)) and not positional(self.query.root) and not any(x.term.required or x.kind == STOP for x in self.leaves.values()) and not _required_cluster(self.query.root) and len(self.leaves) <= 62
 
     def matches(self) -> DataFrame:
         """(doc_id, score) before length normalisation."""
@@ -194,12 +202,15 @@ class Plan:
     def report(self) -> DataFrame:
         """(term, fields, function, weight, term_count, doc_count, status); counts of -1 stop, -2 missing, -3 frequent words."""
         special = {"stop": -1, "missing": -2, "frequent": -3}
-        rows = []
-        for x in self.leaves.values():
+        rows, sums = [], []
+        for k, x in enumerate(self.leaves.values()):
+            if x.expands:
+                sums.append(expand.expand(self.terms, x.term.function, x.term.text, x.field_ids).agg(F.sum("term_count").alias("a"), F.sum("doc_count").alias("b")).withColumn("k", F.lit(k)))
+        expanded = {r["k"]: r for r in reduce(DataFrame.unionByName, sums).collect()} if sums else {}  # a row for each expanded term
+        for k, x in enumerate(self.leaves.values()):
             tc, dc = x.term_count, x.doc_count
             if x.expands:
-                r = expand.expand(self.terms, x.term.function, x.term.text, x.field_ids).agg(F.sum("term_count").alias("a"), F.sum("doc_count").alias("b")).first()
-                tc, dc = r["a"] or 0, r["b"] or 0
+                tc, dc = expanded[k]["a"] or 0, expanded[k]["b"] or 0
             code = special.get(x.status)
             rows.append((x.form, ",".join(x.term.fields), x.term.function, float(x.weight), code if code else tc, code if code else dc, x.status))
         return self.index.spark.createDataFrame(rows, "term string, fields string, function string, weight double, term_count long, doc_count long, status string")

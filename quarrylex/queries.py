@@ -35,6 +35,11 @@ def _index(spark: SparkSession, sf_dir: str, config: Config = PLAIN) -> index.In
     return index.build(tables.documents(spark, sf_dir), config)
 
 
+def _engine(indexes: dict[str, index.Index], **how) -> Engine:
+    """Most queries here are about other things than the weights of neighbours, which have queries of their own."""
+    return Engine(indexes, **{"proximity": False, **how})
+
+
 def _scored(df: DataFrame) -> DataFrame:
     return df.select("doc_id", F.round("score", 6).alias("score"))
 
@@ -43,7 +48,7 @@ def _search(name: str, search: str, config: Config = PLAIN, **how) -> None:
     """Register a search that returns all documents with their scores."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        engine = Engine({"documents": _index(spark, sf_dir, config)}, clock=CLOCK, **how)
+        engine = _engine({"documents": _index(spark, sf_dir, config)}, clock=CLOCK, **how)
         return _scored(engine.search("documents", search).scored)
 
     run.__name__ = name
@@ -135,7 +140,7 @@ for _lang in ("en", "es", "de", "it", "nl", "sv", "no", "da", "pt", "gl", "xx",
 @query
 def stem_by_language(spark, sf_dir):
     t = tables.documents(spark, sf_dir).select("lang", F.explode(text.tokens_alnum(F.lower("text"))).alias("term")).distinct()
-    return t.select("lang", "term", stemmers.plural(F.col("term"), F.col("lang")).alias("stem")).where("lang in ('de', 'es') and stem <> term")
+    return t.select("lang", "term", stemmers.plural(F.col("term"), F.col("lang")).alias("stem")).where("stem <> term")
 
 
 def _keyed(name, column):
@@ -245,19 +250,19 @@ for _op in ("or", "and", "xor", "not"):
 @query
 def relaxed_and(spark, sf_dir):
     """An AND of which one side matches nothing gives the other side's documents."""
-    engine = Engine({"documents": _index(spark, sf_dir)})
+    engine = _engine({"documents": _index(spark, sf_dir)})
     return _scored(engine.search("documents", "{boolean_operation:relaxed} zzzznowhere AND with").scored)
 
 
 @query
 def strict_and(spark, sf_dir):
-    return _scored(Engine({"documents": _index(spark, sf_dir)}).search("documents", "zzzznowhere AND with").scored)
+    return _scored(_engine({"documents": _index(spark, sf_dir)}).search("documents", "zzzznowhere AND with").scored)
 
 
 @query
 def stop_phrase(spark, sf_dir):
     """A stop word inside a phrase widens the distance by one."""
-    engine = Engine({"documents": _index(spark, sf_dir, Config(name="documents", stemmer="none", stop_list=frozenset({"the"})))})
+    engine = _engine({"documents": _index(spark, sf_dir, Config(name="documents", stemmer="none", stop_list=frozenset({"the"})))})
     return engine.search("documents", '"of the and"').scored.select("doc_id")
 
 
@@ -283,7 +288,7 @@ def frequent_demotion(spark, sf_dir):
 
 @query
 def max_sort_key(spark, sf_dir):
-    scored = Engine({"documents": _index(spark, sf_dir)}).search("documents", "that OR with").scored
+    scored = _engine({"documents": _index(spark, sf_dir)}).search("documents", "that OR with").scored
     return scoring.relative_to_best(scored).select("doc_id", F.round("relative", 6).alias("relative"))
 
 
@@ -292,12 +297,12 @@ def max_sort_key(spark, sf_dir):
 
 @query
 def topk_relevance(spark, sf_dir):
-    return _scored(Engine({"documents": _index(spark, sf_dir)}).search("documents", "that OR with", end=9).page)
+    return _scored(_engine({"documents": _index(spark, sf_dir)}).search("documents", "that OR with", end=9).page)
 
 
 @query
 def splice_page(spark, sf_dir):
-    return _scored(Engine({"documents": _index(spark, sf_dir)}).search("documents", "that OR with", start=10, end=24).page)
+    return _scored(_engine({"documents": _index(spark, sf_dir)}).search("documents", "that OR with", start=10, end=24).page)
 
 
 def _orders(spark, sf_dir):
@@ -306,43 +311,43 @@ def _orders(spark, sf_dir):
 
 @query
 def sort_date(spark, sf_dir):
-    r = Engine({"orders": _orders(spark, sf_dir)}).search("orders", "urgent {sort:date:asc}", end=49)
+    r = _engine({"orders": _orders(spark, sf_dir)}).search("orders", "urgent {sort:date:asc}", end=49)
     return r.page.select("doc_id", F.col("sort_key").cast("bigint").alias("ansi_date"))
 
 
 @query
 def sort_rank(spark, sf_dir):
-    r = Engine({"orders": _orders(spark, sf_dir)}).search("orders", "high {sort:rank:desc}", end=49)
+    r = _engine({"orders": _orders(spark, sf_dir)}).search("orders", "high {sort:rank:desc}", end=49)
     return r.page.select("doc_id", F.col("sort_key").cast("bigint").alias("rank"))
 
 
 @query
 def sort_item(spark, sf_dir):
     x = index.build(tables.parts(spark, sf_dir), Config(name="part", fields=(Field("kind", "kind"), Field("size", "size")), stemmer="none", stop_list="none"))
-    r = Engine({"part": x}, kinds={"size": "int"}).search("part", "kind=promo {sort:size:desc}", end=49)
+    r = _engine({"part": x}, kinds={"size": "int"}).search("part", "kind=promo {sort:size:desc}", end=49)
     return r.page.select("doc_id", F.col("sort_key").cast("bigint").alias("size"))
 
 
 @query
 def sort_none(spark, sf_dir):
-    return _scored(Engine({"documents": _index(spark, sf_dir)}).search("documents", "that {sort:none}").page)
+    return _scored(_engine({"documents": _index(spark, sf_dir)}).search("documents", "that {sort:none}").page)
 
 
 @query
 def filter_date(spark, sf_dir):
-    r = Engine({"orders": _orders(spark, sf_dir)}, clock=CLOCK).search("orders", "{date>=1996,<=19970630} urgent")
+    r = _engine({"orders": _orders(spark, sf_dir)}, clock=CLOCK).search("orders", "{date>=1996,<=19970630} urgent")
     return r.scored.select("doc_id")
 
 
 @query
 def filter_date_name(spark, sf_dir):
-    r = Engine({"orders": _orders(spark, sf_dir)}, clock=CLOCK).search("orders", "{date=thisyear} urgent")
+    r = _engine({"orders": _orders(spark, sf_dir)}, clock=CLOCK).search("orders", "{date=thisyear} urgent")
     return r.scored.select("doc_id")
 
 
 @query
 def restriction_only(spark, sf_dir):
-    return Engine({"documents": _index(spark, sf_dir)}).search("documents", "{language:fr}{exclusion_filter:le,la}").scored.select("doc_id")
+    return _engine({"documents": _index(spark, sf_dir)}).search("documents", "{language:fr}{exclusion_filter:le,la}").scored.select("doc_id")
 
 
 @query
@@ -350,13 +355,13 @@ def list_filter(spark, sf_dir):
     """Documents of the labelled ids, as a list table: a semi join."""
     x = _index(spark, sf_dir)
     marked = tables.table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
-    return Engine({"documents": x}).search("documents", "with").scored.join(marked, "doc_id", "left_semi").select("doc_id")
+    return _engine({"documents": x}).search("documents", "with").scored.join(marked, "doc_id", "left_semi").select("doc_id")
 
 
 @query
 def multi_field(spark, sf_dir):
     x = index.build(tables.parts(spark, sf_dir), Config(name="part", fields=(Field("brand", "brand"), Field("kind", "kind")), stemmer="none", stop_list="none"))
-    return Engine({"part": x}).search("part", "kind=medium AND brand:13").scored.select("doc_id")
+    return _engine({"part": x}).search("part", "kind=medium AND brand:13").scored.select("doc_id")
 
 
 # --- feedback, key terms ------------------------------------------------------------------------------------------------
@@ -369,19 +374,19 @@ def _item(spark, sf_dir) -> str:
 @query
 def feedback_pos(spark, sf_dir):
     x = _index(spark, sf_dir)
-    return _scored(Engine({"documents": x}, length="none").search("documents", like=_item(spark, sf_dir)).scored)
+    return _scored(_engine({"documents": x}, length="none").search("documents", like=_item(spark, sf_dir)).scored)
 
 
 @query
 def feedback_neg(spark, sf_dir):
     x = _index(spark, sf_dir)
-    return _scored(Engine({"documents": x}, length="none").search("documents", "with", unlike=_item(spark, sf_dir)).scored)
+    return _scored(_engine({"documents": x}, length="none").search("documents", "with", unlike=_item(spark, sf_dir)).scored)
 
 
 @query
 def feedback_mixed(spark, sf_dir):
     x = _index(spark, sf_dir)
-    return _scored(Engine({"documents": x}).search("documents", "that OR with", like=_item(spark, sf_dir)).scored)
+    return _scored(_engine({"documents": x}).search("documents", "that OR with", like=_item(spark, sf_dir)).scored)
 
 
 @query
@@ -407,13 +412,13 @@ def _both(spark, sf_dir):
 
 @query
 def virtual_local_idf(spark, sf_dir):
-    r = Engine(_both(spark, sf_dir), virtual={"all": ["[.*]"]}).search("all", "that OR with")
+    r = _engine(_both(spark, sf_dir), virtual={"all": ["[.*]"]}).search("all", "that OR with")
     return r.scored.select("index_name", "doc_id", F.round("score", 6).alias("score"))
 
 
 @query
 def virtual_global_idf(spark, sf_dir):
-    r = Engine(_both(spark, sf_dir), virtual={"all": ["documents", "talks"]}, global_idf=True).search("all", "that OR with")
+    r = _engine(_both(spark, sf_dir), virtual={"all": ["documents", "talks"]}, global_idf=True).search("all", "that OR with")
     return r.scored.select("index_name", "doc_id", F.round("score", 6).alias("score"))
 
 
@@ -468,7 +473,7 @@ def index_verify(spark, sf_dir):
 
 
 def _page(spark, sf_dir):
-    r = Engine({"documents": _index(spark, sf_dir)}).search("documents", "that OR with", end=9)
+    r = _engine({"documents": _index(spark, sf_dir)}).search("documents", "that OR with", end=9)
     return r.page.select("doc_id", F.round("score", 6).alias("score"))
 
 
@@ -489,7 +494,7 @@ def results_notation(spark, sf_dir):
 
 @query
 def results_run(spark, sf_dir):
-    return results.as_run(Engine({"documents": _index(spark, sf_dir)}).search("documents", "that OR with", end=9).page, "1")
+    return results.as_run(_engine({"documents": _index(spark, sf_dir)}).search("documents", "that OR with", end=9).page, "1")
 
 
 # --- logs (events stand for log lines) ----------------------------------------------------------------------------------
@@ -606,3 +611,213 @@ def source_index_stream(spark, sf_dir):
     stream.write_stream(items, path)
     x = stream.read_index(spark, path, Config(name="items", stemmer="none", stop_list="none", case_variants=False))
     return x.terms.select("term", "term_count", "doc_count")
+
+
+# --- neighbours, default analysis, counters, list files, stored indexes -----------------------------------------------------
+
+
+def _neighbours(name: str, search: str, log: bool) -> None:
+    """Searches with the weights of neighbours; those of AND can be huge, so their logarithms are compared."""
+
+    def run(spark, sf_dir):
+        scored = Engine({"documents": _index(spark, sf_dir)}).search("documents", search).scored
+        return scored.select("doc_id", F.round(F.log("score"), 6).alias("log_score")) if log else _scored(scored)
+
+    run.__name__ = name
+    query(run)
+
+
+for _name, _text, _log in (("prox_or", "that OR with", False), ("prox_three", "of OR the OR and", False), ("prox_and", "of AND the", True), ("prox_mixed", "(of AND the) OR with", True)):
+    _neighbours(_name, _text, _log)
+
+
+@query
+def stemmed_index(spark, sf_dir):
+    """Terms of an index whose words are stemmed by their documents' languages."""
+    return _index(spark, sf_dir, Config(name="documents", stop_list="none")).terms.where("in_counts").select("term", "term_count", "doc_count")
+
+
+@query
+def default_analysis(spark, sf_dir):
+    """Plural stemming and the long stop list, at index and query time."""
+    return _scored(_engine({"documents": _index(spark, sf_dir, Config(name="documents"))}).search("documents", "ands AND thes OR hers").scored)
+
+
+@query
+def report_counters(spark, sf_dir):
+    return _engine({"documents": _index(spark, sf_dir)}).counters("documents", "of {language:en,fr}{inclusion_filter:with}{exclusion_filter:by}")
+
+
+@query
+def list_filter_file(spark, sf_dir):
+    """An inclusion list read from a text file."""
+    path = f"{shared_folder(spark)}/list-{uuid.uuid4().hex}"
+    words = tables.table(spark, sf_dir, "benchmark").where("item_id % 5 = 0").select(F.explode(text.tokens_alnum(F.lower("text"))).alias("value")).where("length(value) > 9").distinct()
+    words.write.text(path)
+    return _engine({"documents": _index(spark, sf_dir)}, lists={"long_words": path}).search("documents", "of {inclusion_list_filter:long_words}").scored.select("doc_id")
+
+
+@query
+def field_filter(spark, sf_dir):
+    """Filter terms with a field, and with a wildcard."""
+    x = index.build(tables.parts(spark, sf_dir), Config(name="part", fields=(Field("brand", "brand"), Field("kind", "kind")), stemmer="none", stop_list="none"))
+    return _engine({"part": x}).search("part", "{inclusion_filter:kind=promo,kind=med*}{exclusion_filter:brand=13} brand").scored.select("doc_id")
+
+
+@query
+def stop_fielded(spark, sf_dir):
+    """A stop word is found in the field that keeps stop words."""
+    docs = tables.documents(spark, sf_dir).withColumn("copy", F.col("text"))
+    x = index.build(docs, Config(name="documents", fields=(Field("text", "text"), Field("copy", "copy", stop=False)), stemmer="none", stop_list="short"))
+    return x.postings.where("term = 'the'").groupBy("field_id").agg(F.countDistinct("doc_id").alias("documents"), F.count(F.lit(1)).alias("n"))
+
+
+@query
+def terms_stop(spark, sf_dir):
+    return catalog.term_info(_index(spark, sf_dir, Config(name="documents", stemmer="none", stop_list="short")), "stop")
+
+
+@query
+def terms_regular(spark, sf_dir):
+    return catalog.term_info(_index(spark, sf_dir, Config(name="documents", stemmer="none", stop_list="short")), "regular")
+
+
+@query
+def term_comparison(spark, sf_dir):
+    t = _index(spark, sf_dir).terms
+    both = t.where(expand.comparison(F.col("term"), ">=", "1900") | expand.comparison(F.col("term"), "<", "abc"))
+    return both.select("term", "term_count", "doc_count")
+
+
+@query
+def server_info(spark, sf_dir):
+    return catalog.server_info(spark, "documents", "nobody").select("name", "administrator")
+
+
+@query
+def index_list(spark, sf_dir):
+    return _engine(_both(spark, sf_dir), virtual={"all": ["[.*]"]}).index_info("all").select("index_name", "n_docs", "unique_terms")
+
+
+@query
+def stored_index(spark, sf_dir):
+    """Postings of an index that was stored twice and read again."""
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    docs = tables.documents(spark, sf_dir)
+    index.build(docs.limit(3), PLAIN).write(path, buckets=4)
+    x = index.build(docs, PLAIN, once=True).write(path, buckets=4)
+    return x.postings.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("position").alias("places"), F.max("doc_id").alias("last"))
+
+
+# --- log lines ------------------------------------------------------------------------------------------------------------
+
+
+def _log(spark, sf_dir) -> DataFrame:
+    """Log lines made of the events, read again."""
+    path = f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
+    e = _events(spark, sf_dir)
+    when = F.date_format(F.col("ts").cast("timestamp"), "dd/MMM/yyyy:HH:mm:ss")
+    names = F.concat(F.col("event_type"), F.lit(","), F.lit("all"))
+    line = F.format_string("%d: %d: %s +0000: INFO: Search, index: '%s', search: 'Word%d  of {language:en}', found: %d documents and returned: 10, in: %.4f seconds.", F.col("event_id"), F.col("user_id"), when, names, F.col("user_id"), F.col("user_id") + 7, F.abs("value"))
+    bad = F.format_string("%d: %s +0000: ERROR: Search failed, index: '%s', search: 'x'", F.col("event_id"), when, F.col("event_type"))
+    e.select(F.when(F.col("event_type") == "error", bad).otherwise(line).alias("value")).write.text(path)
+    return logs.read(spark, path)
+
+
+@query
+def log_parsed(spark, sf_dir):
+    got = _log(spark, sf_dir)
+    return got.select("process", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "level", "kind", F.concat_ws("+", "indexes").alias("indexes"), "search", F.coalesce("found", F.lit(-1)).alias("found"), F.coalesce(F.round("seconds", 4), F.lit(-1.0)).alias("seconds"))
+
+
+@query
+def log_by_index(spark, sf_dir):
+    return logs.by_index(_log(spark, sf_dir))
+
+
+@query
+def log_searches(spark, sf_dir):
+    return logs.top(_log(spark, sf_dir).where("kind = 'search'"), 10)
+
+
+@query
+def log_script(spark, sf_dir):
+    return logs.script(_log(spark, sf_dir).where("kind = 'search'"))
+
+
+# --- sources with a file for each document ----------------------------------------------------------------------------------
+
+
+def _single_files(spark, sf_dir) -> tuple[DataFrame, str]:
+    """A folder for each item with one file: a title line, then the item's words in lines of two."""
+    items, path = _written(spark, sf_dir)
+    words = text.tokens_alnum(F.col("text"))
+    lines = F.transform(F.sequence(F.lit(1), F.size("w"), F.lit(2)), lambda i: F.concat_ws(" ", F.slice("w", i, 2)))
+    rows = items.select("doc_key", "title", words.alias("w")).where("size(w) > 0").select("doc_key", F.concat_ws("\n", F.array("title"), lines).alias("value"))
+    rows.write.partitionBy("doc_key").text(path)
+    return items, path
+
+
+@query
+def source_text(spark, sf_dir):
+    _, path = _single_files(spark, sf_dir)
+    docs = formats.read(spark, "text", path, recurse=True)
+    return docs.select(F.regexp_extract("doc_key", r"doc_key=(\d+)", 1).alias("key"), "title", F.md5(F.regexp_replace(F.col("fields")["text"], r"\s+$", "").cast("binary")).alias("digest"))
+
+
+@query
+def source_line(spark, sf_dir):
+    """Each line is one term, blanks included."""
+    _, path = _single_files(spark, sf_dir)
+    docs = formats.read(spark, "line", path, recurse=True).select(F.regexp_extract("doc_key", r"doc_key=(\d+)", 1).cast("bigint").alias("doc_id"), "text")
+    x = index.build(docs, Config(name="lines", tokenizer="lines", stemmer="none", stop_list="none", case_variants=False))
+    return x.terms.select("term", "term_count", "doc_count")
+
+
+@query
+def source_selected(spark, sf_dir):
+    """Files chosen by a pattern of names, some left out by a pattern of paths."""
+    _, path = _single_files(spark, sf_dir)
+    docs = formats.read(spark, "text", path, recurse=True, include="*.txt", exclude=r"doc_key=\d*[13579]/")
+    return docs.select(F.regexp_extract("doc_key", r"doc_key=(\d+)", 1).alias("key"))
+
+
+# --- characters, caps, orders of several indexes ----------------------------------------------------------------------------
+
+
+@query
+def first_classes(spark, sf_dir):
+    """Classes of first characters, of which an expansion takes one only."""
+    return _vocabulary(spark, sf_dir).groupBy(text.first_class(F.col("token")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def charset_recoded(spark, sf_dir):
+    t = tables.documents(spark, sf_dir).where(~F.col("text").rlike(r"[^\x00-\xFF]"))
+    return t.select("doc_id", F.md5(text.recode(F.encode("text", "ISO-8859-1"), "ISO-8859-1").cast("binary")).alias("digest"))
+
+
+@query
+def utf8_cleaned(spark, sf_dir):
+    """Bytes that are no UTF-8, put after the texts, become a space."""
+    broken = F.concat(F.col("text").cast("binary"), F.lit(b"\xff").cast("binary"))
+    return tables.documents(spark, sf_dir).select("doc_id", F.md5(text.clean_utf8(broken).cast("binary")).alias("digest"))
+
+
+@query
+def stripped_tokens(spark, sf_dir):
+    words = tables.documents(spark, sf_dir).select(F.explode(F.split("text", r"\s+")).alias("token")).distinct()
+    return words.select("token", text.strip_trailing(F.col("token")).alias("bare")).where("bare <> token")
+
+
+@query
+def capped_page(spark, sf_dir):
+    """A cap on documents, whatever end a page asks for."""
+    return _scored(_engine({"documents": _index(spark, sf_dir)}, most=5).search("documents", "that OR with", end=99).page)
+
+
+@query
+def federated_page(spark, sf_dir):
+    """The best documents of two indexes in one order."""
+    r = _engine(_both(spark, sf_dir), virtual={"all": ["[.*]"]}).search("all", "that OR with", end=19)
+    return r.page.select("index_name", "doc_id", F.round("score", 6).alias("score"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -47,6 +48,13 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def scratch(df: DataFrame, name: str) -> DataFrame:
+    """df written once as Parquet in the shared folder and read back."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Give the executors this package, unless PYTHONPATH already has it; done once for a context."""
     name, usual, small = BATCH

@@ -72,7 +72,7 @@ def read_para(spark: SparkSession, path, **how) -> DataFrame:
 
 
 def read_line(spark: SparkSession, path, **how) -> DataFrame:
-    """One document a file: a title line, then a term on each line."""
+    """One document a file: a title line, then a term on each line, blanks included: to be indexed with the tokenizer "lines"."""
     rows = files(spark, path, **how).withColumn("seq", F.lit(0))
     v = F.col("value")
     return _documents(rows, F.col("path"), _first_line(v), None, F.create_map(F.lit("title"), _first_line(v), F.lit("text"), _rest(v)), _rest(v))

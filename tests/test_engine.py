@@ -46,7 +46,7 @@ def test_documents(tiny, search):
 
 @pytest.mark.parametrize("search", ["bats AND animals", "bats OR lions", "bats XOR animals", "animals IOR bats", "animals NOT elephants OR gems", "bats AND animals OR diamond AND minerals", "comput* OR lions", "bats[3] OR lions AND animals"])
 def test_one_scan_equals_algebra(tiny, search):
-    plan = Plan(tiny, parse(search))
+    plan = Plan(tiny, parse(search), proximity=False)
     assert plan._masked()
     one = {r["doc_id"]: round(r["score"], 9) for r in plan.matches().collect()}
     from quarrylex.operators.scoring import document_scores
@@ -178,3 +178,80 @@ def test_logs(spark):
 def test_numbered(spark):
     got = index.numbered(spark.range(100).select((F.col("id") * 7 % 101).alias("k")), "k").orderBy("k").collect()
     assert [r["doc_id"] for r in got] == list(range(1, 101))
+
+
+def test_neighbours_equal_a_fold(spark):
+    """OR and AND against loops over both lists in the order of places."""
+    import random
+
+    r = random.Random(8)
+
+    def plain_or(a, b):
+        rows = sorted([(d, p, 1, w) for d, p, w in a] + [(d, p, 0, w) for d, p, w in b])
+        return [(d, p, w * 3 if k and rows[k - 1][0] == d and 0 < rows[k - 1][1] == p - 1 else w) for k, (d, p, _, w) in enumerate(rows)]
+
+    def plain_and(a, b):
+        out = {}
+        for doc in {d for d, _, _ in a} & {d for d, _, _ in b}:
+            total, last = 0.0, -9
+            for p, side, w in sorted([(p, 1, w) for d, p, w in a if d == doc] + [(p, 0, w) for d, p, w in b if d == doc]):
+                total += w
+                if side == 0 and p == last + 1 and last > 0:
+                    total *= 3
+                last = p
+            out[doc] = (last, total)
+        return out
+
+    frame = lambda rows: algebra.Postings(spark.createDataFrame(rows, "doc_id long, position int, weight double"))
+    for _ in range(3):
+        a, b = ([(d, p, w) for d, p in sorted({(r.randrange(6), r.randrange(0, 25)) for _ in range(40)})] for w in (1.5, 0.5))
+        got = [tuple(x) for x in algebra.op_or(frame(a), frame(b), proximity=True).df.collect()]
+        assert sorted(got) == sorted(plain_or(a, b))
+        got = {x["doc_id"]: (x["position"], round(x["weight"], 6)) for x in algebra.op_and(frame(a), frame(b), proximity=True).df.collect()}
+        assert got == {d: (p, round(w, 6)) for d, (p, w) in plain_and(a, b).items()}
+
+
+def test_neighbours_weigh_more_in_searches(tiny):
+    score = lambda q, **how: {r["doc_id"]: r["score"] for r in Engine({"tiny": tiny}, length="none", ranking="none", **how).search("tiny", q).scored.collect()}
+    near, far = score("donna OR klumpp"), score("donna OR klumpp", proximity=False)
+    assert near == {2: 4.0, 3: 2.0} and far == {2: 2.0, 3: 2.0}  # klumpp right after donna in the second only
+    assert score("klumpp AND donna") == {2: 2.0, 3: 2.0} and score("donna AND klumpp") == {2: 6.0, 3: 2.0}
+    assert score("animals OR bats").keys() == score("animals OR bats", proximity=False).keys()
+
+
+def test_index_writes_are_whole(spark, tiny, tmp_path):
+    """A failed write leaves the index as it was, a lock keeps others out, a new version takes over at once."""
+    path = str(tmp_path / "ix")
+    n = tiny.write(path, buckets=2).n_docs
+    broken = index.Index(tiny.config, tiny.documents.select(F.raise_error(F.lit("no")).alias("doc_id")), tiny.postings, tiny.terms)
+    with pytest.raises(Exception, match="no"):
+        broken.write(path, buckets=2)
+    again = index.Index.read(spark, path, tiny.config)
+    assert again.n_docs == n and not (tmp_path / "ix" / "_lock").exists() and len(list((tmp_path / "ix").glob("v-*"))) == 1
+    (tmp_path / "ix" / "_lock").touch()
+    with pytest.raises(index.IndexLocked):
+        tiny.write(path)
+    (tmp_path / "ix" / "_lock").unlink()
+    small = index.build(spark.createDataFrame([(1, "one word")], "doc_id long, text string"), tiny.config, once=True).write(path, buckets=2)
+    assert small.n_docs == 1 and again.n_docs == n and {r["term"] for r in small.terms.collect()} == {"one", "word"}
+    with pytest.raises(FileNotFoundError):
+        index.Index.read(spark, str(tmp_path / "none"), tiny.config)
+
+
+def test_stems_by_language_and_case(spark):
+    docs = spark.createDataFrame([(1, "Cities CITIES cities", "en"), (2, "Cities", "xx-yy"), (3, "cities", None)], "doc_id long, text string, lang string")
+    x = index.build(docs, Config(name="t", stop_list="none"))
+    got = {(r["term"], r["doc_id"]) for r in x.postings.collect()}
+    assert got == {("city", 1), ("City", 1), ("CITIES", 1), ("citie", 2), ("Citie", 2), ("citie", 3)}
+    assert [r["doc_id"] for r in Engine({"t": x}).search("t", "cities").scored.collect()] == [1]
+
+
+def test_counters_and_cache(tiny):
+    e = Engine({"tiny": tiny}, cache_mode="write", remembered=1)
+    row = e.counters("tiny", "animals {language:en}{exclusion_filter:bats}").first().asDict()
+    assert row == {"index_name": "tiny", "matched": 3, "failed_date": 0, "failed_language": 1, "not_included": 0, "excluded": 2, "returned": 0}
+    e.search("tiny", "animals")
+    e.search("tiny", "bats")
+    assert len(e._cache) == 1
+    e.forget()
+    assert not e._cache
