@@ -25,7 +25,7 @@ def sort_key(sort: str, documents: DataFrame, kinds: dict[str, str] | None = Non
         if kind is None:
             return F.col(item), down
         return F.coalesce(F.col(item).try_cast(kind), F.lit(0)).cast("double"), down
-    return F.col("score"), down if name == "relevance" else True
+    return F.round("score", 9), down if name == "relevance" else True  # equal but for the order of additions is equal
 
 
 def ordered(scores: DataFrame, documents: DataFrame, sort: str = "default", kinds: dict[str, str] | None = None) -> DataFrame:
@@ -86,7 +86,7 @@ def as_run(rows: DataFrame, topic: str, run: str = "run") -> DataFrame:
     """Lines of a retrieval evaluation's run file: topic Q0 key rank score run, scores as shares of the best."""
     from pyspark.sql import Window
 
-    ranked = relative_to_best(rows).withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(topic)).orderBy(F.desc("score"), "doc_id")))  # a page of results
+    ranked = relative_to_best(rows).withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(topic)).orderBy(F.desc(F.round("score", 9)), "doc_id")))  # a page of results
     return ranked.select(F.concat_ws(" ", F.lit(topic), F.lit("Q0"), F.col("doc_id").cast("string"), F.col("rank").cast("string"), F.format_string("%.6f", F.col("relative")), F.lit(run)).alias("value"))
 
 

@@ -164,7 +164,7 @@ ORACLE |= {
     "co_occurrence": f"WITH {BASE} SELECT doc_id, round(CASE WHEN l > 0 AND r > 0 THEN (l + r) * 1.2 ELSE l + r END, 6) AS score FROM {_FULL}",
     "frequent_demotion": f"WITH {BASE} SELECT term, count(*) AS term_count FROM low GROUP BY term HAVING count(*) * 100.0 / (SELECT n FROM nn) > 100.0",
     "max_sort_key": f"SELECT doc_id, round(s / max(s) OVER (), 6) AS relative FROM ({scored(either(THAT, WITH)).replace('round(s.w / ln(n + 1.0), 6) AS score', 's.w / ln(n + 1.0) AS s')})",
-    "topk_relevance": scored(either(THAT, WITH)) + " ORDER BY s.w / ln(n + 1.0) DESC, s.doc_id LIMIT 10", "splice_page": scored(either(THAT, WITH)) + " ORDER BY s.w / ln(n + 1.0) DESC, s.doc_id LIMIT 15 OFFSET 10", "sort_none": scored(THAT),
+    "topk_relevance": scored(either(THAT, WITH)) + " ORDER BY round(s.w / ln(n + 1.0), 9) DESC, s.doc_id LIMIT 10", "splice_page": scored(either(THAT, WITH)) + " ORDER BY round(s.w / ln(n + 1.0), 9) DESC, s.doc_id LIMIT 15 OFFSET 10", "sort_none": scored(THAT),
     "sort_date": "SELECT o_orderkey AS doc_id, strftime(o_orderdate, '%Y%m%d000000')::BIGINT AS ansi_date FROM orders WHERE lower(o_orderpriority) LIKE '%urgent%' ORDER BY ansi_date, doc_id LIMIT 50",
     "sort_rank": "SELECT o_orderkey AS doc_id, o_custkey AS rank FROM orders WHERE lower(o_orderpriority) LIKE '%high%' ORDER BY o_custkey DESC, doc_id LIMIT 50",
     "sort_item": "SELECT p_partkey AS doc_id, p_size::BIGINT AS size FROM part WHERE list_contains(regexp_extract_all(lower(p_type), '[a-z]+'), 'promo') ORDER BY p_size DESC, doc_id LIMIT 50",
@@ -237,7 +237,7 @@ ORACLE |= {
 _TOP = f"({ORACLE['topk_relevance']})"
 ORACLE |= {
     "results_json": f"""SELECT '{{"doc_id":' || doc_id || '}}' AS value FROM {_TOP}""", "results_xml": f"SELECT '<result><doc_id>' || doc_id || '</doc_id></result>' AS value FROM {_TOP}", "results_notation": f"""SELECT '{{"doc_id" => ' || doc_id || '}}' AS value FROM {_TOP}""",
-    "results_run": f"SELECT '1 Q0 ' || doc_id || ' ' || row_number() OVER (ORDER BY s DESC, doc_id) || ' ' || printf('%.6f', s / max(s) OVER ()) || ' run' AS value FROM ({scored(either(THAT, WITH)).replace('round(s.w / ln(n + 1.0), 6) AS score', 's.w / ln(n + 1.0) AS s')} ORDER BY s DESC, s.doc_id LIMIT 10)",
+    "results_run": f"SELECT '1 Q0 ' || doc_id || ' ' || row_number() OVER (ORDER BY round(s, 9) DESC, doc_id) || ' ' || printf('%.6f', s / max(s) OVER ()) || ' run' AS value FROM ({scored(either(THAT, WITH)).replace('round(s.w / ln(n + 1.0), 6) AS score', 's.w / ln(n + 1.0) AS s')} ORDER BY round(s.w / ln(n + 1.0), 9) DESC, s.doc_id LIMIT 10)",
     "log_counters": "SELECT event_type, count(*) AS n FROM events GROUP BY 1", "log_clients": "SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1",
     "log_times": "SELECT event_type, min(value) AS least, max(value) AS most, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS deviation FROM events GROUP BY 1",
     "log_hourly": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, count(*) AS n FROM events GROUP BY 1", "log_daily": "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1",
@@ -328,6 +328,6 @@ ORACLE |= {
     "charset_recoded": r"SELECT doc_id, md5(text) AS digest FROM documents WHERE NOT regexp_matches(text, '[^\x00-\x{FF}]')",
     "utf8_cleaned": "SELECT doc_id, md5(text || ' ') AS digest FROM documents",
     "stripped_tokens": rf"SELECT token, bare FROM (SELECT token, regexp_replace(token, '[{TAIL_PUNCT}]+$', '') AS bare FROM (SELECT DISTINCT unnest(string_split_regex(text, '\s+')) AS token FROM documents)) WHERE bare <> token",
-    "capped_page": scored(either(THAT, WITH)) + " ORDER BY s.w / ln(n + 1.0) DESC, s.doc_id LIMIT 5",
+    "capped_page": scored(either(THAT, WITH)) + " ORDER BY round(s.w / ln(n + 1.0), 9) DESC, s.doc_id LIMIT 5",
     "federated_page": f"SELECT * FROM ({ORACLE['virtual_local_idf']}) ORDER BY score DESC, index_name, doc_id LIMIT 20",
 }
