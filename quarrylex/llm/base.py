@@ -1,7 +1,8 @@
 """Shared plumbing of the training-data operators: scratch tables, checked broadcasts and vectorised text scanning.
 
 Text is scanned straight from Arrow's string buffers: one uint8 array per slice of a batch, with document offsets, so that
-no Python string is made per document and memory is bounded by the slice (or by the longest single document).
+no Python string is made per document and memory is bounded by the slice. A longer text is a slice of its own, of which
+scanners work on windows of LONG bytes, so that it takes some bytes for each word and a few for each byte.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from quarrylex.session import shared_folder
 
 #: Bytes of text handled at once by the numpy scanners.
 SLICE_BYTES = 1 << 19
+#: Bytes of a window of a longer text.
+LONG = 1 << 20
 #: Rows of (long, ...) keys up to which a side may be broadcast; 1 M longs are 8 MB.
 BROADCAST_ROWS = 500_000
 
@@ -130,8 +133,32 @@ def spans_of(mask: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.flatnonzero(mask & ~before), np.flatnonzero(mask & ~after) + 1
 
 
+def windows(s: Slice, stops: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(start, end) of windows of a slice: all of it, or of a long text parts that end after a byte that stops has.
+
+    A part without such a byte goes on to the next one.
+    """
+    n, lo = len(s.data), 0
+    if n <= LONG or s.n > 1:
+        yield 0, n
+        return
+    while lo < n:
+        hi = min(lo + LONG, n)
+        if hi < n:
+            here = np.flatnonzero(stops[s.data[lo:hi]])
+            while not len(here) and hi < n:
+                at, hi = hi, min(hi + LONG, n)
+                here = np.flatnonzero(stops[s.data[at:hi]]) + (at - lo)
+            hi = lo + int(here[-1 if hi - lo <= LONG else 0]) + 1 if len(here) else n
+        yield lo, hi
+        lo = hi
+
+
 def words(s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and 64-bit hashes of the words (ASCII letters lower-cased, digits, all other code points)."""
+    if len(s.data) > LONG and s.n == 1:
+        parts = [(lo, words(Slice(s.data[lo:hi], np.asarray([0, hi - lo]), 0, 1))) for lo, hi in windows(s, ~_WORD)]
+        return tuple(np.concatenate([p[k] + lo if k < 2 else p[k] for lo, p in parts]) for k in range(3))
     starts, ends = spans_of(_WORD[s.data], s.off)
     return starts, ends, span_hashes(_LOW[s.data], starts, ends)
 
@@ -141,6 +168,15 @@ def lowered(data: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans, which are in order by both their starts and ends."""
+    if len(data) > LONG and len(starts) > 1:
+        out, i = [], 0
+        while i < len(starts):
+            lo = int(starts[i])
+            j = max(i + 1, int(np.searchsorted(ends, lo + LONG // 2, side="right")))
+            out.append(span_hashes(data[lo : ends[j - 1]], starts[i:j] - lo, ends[i:j] - lo))
+            i = j
+        return np.concatenate(out)
     up, down = _powers(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], dtype=np.uint64, out=total[1:])
@@ -149,7 +185,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 def code_points(data: np.ndarray) -> np.ndarray:
     """Number of code points that start before each byte; one longer than data."""
-    out = np.zeros(len(data) + 1, np.int64)
+    out = np.zeros(len(data) + 1, np.int32 if len(data) > LONG else np.int64)
     np.cumsum((data & 0xC0) != 0x80, out=out[1:])
     return out
 

@@ -7,7 +7,7 @@ Short hashes of all links are counted first; then a link's 128-bit digest identi
 whose links stand elsewhere are repeated passages if they are long enough, so that unrelated short matches in different
 documents never add up to one; every copy but the first (smallest id, then place) can be removed.
 
-Null and empty texts have no chunk. Each row is a document of its own; repeated rows repeat each other's chunks. The first of
+A copy counts where it stands in a run that is long enough. Null and empty texts have no chunk. Each row is a document of its own; repeated rows repeat each other's chunks. The first of
 tied copies is the one with the smallest id, then in the first row, at the smallest place. Extra columns are ignored.
 """
 
@@ -94,7 +94,7 @@ _PAIR = mix64(np.arange(1, 4, dtype=np.uint64)) | np.uint64(1)
 def measured(s: Slice, start: np.ndarray, end: np.ndarray, cp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words and code points of chunks; two code points of a script without blanks count as a word, as the tokenizer cuts them."""
     word, _ = spans_of(~_SPACE[s.data], s.off)
-    pairs = np.append(0, np.cumsum(unspaced(s.data), dtype=np.int64)) + 1 >> 1
+    pairs = np.append(np.int32(0), np.cumsum(unspaced(s.data), dtype=np.int32)) + np.int32(1) >> 1
     return np.searchsorted(word, end) - np.searchsorted(word, start) + pairs[end] - pairs[start], cp[end] - cp[start]
 
 
@@ -182,7 +182,7 @@ def _hits(docs: DataFrame, known: np.ndarray, least_words: int, bits: int, least
                 raw = b"".join([hashlib.blake2b(view[x:y], digest_size=16).digest() for x, y in zip(start[a].tolist(), end[b].tolist(), strict=True)])
                 digest = np.frombuffer(raw, "<i8").reshape(-1, 2)
                 # less than 4096 code points and words in a chunk
-                place = (cp[start[a]] - cp[s.off[owner[a]]]) << 24 | points[a] << 12 | words[a]
+                place = (cp[start[a]].astype(np.int64) - cp[s.off[owner[a]]]) << 24 | points[a] << 12 | words[a]
                 then = np.where(b > a, points[b] << 12 | words[b], 0)
                 zero = np.zeros(s.n, np.int64)
                 cols = [(row[s.lo + owner[a]], row[s.lo : s.hi]), (a - np.searchsorted(owner, owner[a]), zero - 1), (digest[:, 0], zero), (digest[:, 1], zero), (place, np.bincount(owner, minlength=s.n)), (then, zero)]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylex.llm.base import crc_mod, pick, segment_sums, slices
+from quarrylex.llm.base import LONG, crc_mod, pick, segment_sums, slices
 
 ORDER = 4
 
@@ -42,6 +42,11 @@ class Model:
         """Bits of each text (row) under each language (column); every text starts from the empty context."""
         n, width = len(data), self.step.shape[1]
         docs = len(off) - 1
+        if n > LONG and docs == 1:  # window by window; the bytes before a window are its first contexts
+            total = self.code_lengths(data[:LONG], np.asarray([0, LONG]))
+            for lo in range(LONG, n, LONG):
+                total = total + self._continued(self.symbol[data[lo - ORDER : lo + LONG]])
+            return total
         at = np.arange(n) + np.repeat(np.arange(1, docs + 1), np.diff(off))  # one reset symbol before each text
         sym = np.full(n + docs, self.reset, np.int64)
         sym[at] = self.symbol[data]
@@ -55,6 +60,16 @@ class Model:
         return np.stack([segment_sums(row[cell], bounds) for row in self.bits], axis=1) if len(self.langs) else np.zeros((docs, 0))
 
 
+    def _continued(self, sym: np.ndarray) -> np.ndarray:
+        """Bits of symbols in the middle of a text, the first ORDER of which are context only."""
+        width, n = self.step.shape[1], len(sym) - ORDER
+        flat, state = self.step.reshape(-1), np.zeros(n, np.int64)
+        for k in range(ORDER):
+            state = flat[state * width + sym[k : k + n]].astype(np.int64)
+        cell = state * width + sym[ORDER:]
+        return np.asarray([[row[cell].sum(dtype=np.float64) for row in self.bits]]).reshape(1, len(self.langs))
+
+
 def gram_counts(docs: DataFrame) -> DataFrame:
     """(lang, gram, n): counts of every byte with the ORDER bytes before it, as one integer; zero bytes before a text."""
 
@@ -72,12 +87,18 @@ def gram_counts(docs: DataFrame) -> DataFrame:
             langs = batch.column(0).to_pylist()
             for s in slices(batch.column(1)):
                 for i in range(s.n):
-                    one = s.data[s.off[i] : s.off[i + 1]].astype(np.int64)
-                    gram = one.copy()
-                    for k in range(1, ORDER + 1):
-                        gram[k:] += one[: max(0, len(one) - k)] << (8 * k)
-                    seen.setdefault(langs[s.lo + i], []).append(gram)
-                    size += len(one)
+                    whole = s.data[s.off[i] : s.off[i + 1]]
+                    for lo in range(0, max(len(whole), 1), LONG):
+                        before = min(lo, ORDER)
+                        one = whole[lo - before : lo + LONG].astype(np.int64)
+                        gram = one.copy()
+                        for k in range(1, ORDER + 1):
+                            gram[k:] += one[: max(0, len(one) - k)] << (8 * k)
+                        seen.setdefault(langs[s.lo + i], []).append(gram[before:])
+                        size += len(one)
+                        if size > 1 << 22:
+                            yield from flush()
+                            size = 0
                 if size > 1 << 22:
                     yield from flush()
                     size = 0

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylex.llm.base import Slice, attach, crc_mod, materialise, mix64, pick, segment_sums, slices, spans_of, words
+from quarrylex.llm.base import LONG, Slice, attach, crc_mod, materialise, mix64, pick, segment_sums, slices, spans_of, words
 
 #: Bins of a numeric feature; buckets of character patterns (text view); hashed values of a categorical column.
 BINS, PATTERNS, VALUES = 24, 2048, 256
@@ -51,6 +51,20 @@ def _size_bin(x: np.ndarray) -> np.ndarray:
     return np.minimum((2 * np.log2(1 + np.maximum(x, 0))).astype(np.int64), BINS - 1)
 
 
+def _patterns(data: np.ndarray, off: np.ndarray, lo: int) -> np.ndarray:
+    """Document and bucket, as one number, of each pattern in a part of a slice that starts at lo."""
+    if len(data) < 3:
+        return np.zeros(0, np.int64)
+    kind = _CLASS[data]
+    at = np.flatnonzero((kind[:-2] == 4) | (kind[1:-1] == 4) | (kind[2:] == 4))
+    doc = np.searchsorted(off, at + lo, side="right") - 1
+    whole = at + lo + 2 < off[doc + 1]
+    at, doc = at[whole], doc[whole]
+    code = np.where(kind == 4, data, kind)
+    pat = code[at].astype(np.uint64) | code[at + 1].astype(np.uint64) << np.uint64(8) | code[at + 2].astype(np.uint64) << np.uint64(16)
+    return np.unique(doc * PATTERNS + (mix64(pat) % np.uint64(PATTERNS)).astype(np.int64))
+
+
 def text_features(s: Slice) -> list[np.ndarray]:
     """Numbers of the features that each document has, sorted and distinct: patterns present, binned statistics."""
     starts, ends, h = words(s)
@@ -81,27 +95,26 @@ def text_features(s: Slice) -> list[np.ndarray]:
         _size_bin(longest), _share_bin(segment_sums(at_end, bounds) / some),
     ]
     # patterns of three characters: marks as they are, letters and digits by class
-    code = np.where(_CLASS[s.data] == 4, s.data, _CLASS[s.data]).astype(np.uint64)
-    pat_doc = np.repeat(np.arange(s.n), np.diff(s.off))
-    if len(code) > 2:
-        pat = code[:-2] | code[1:-1] << np.uint64(8) | code[2:] << np.uint64(16)
-        marks = (_CLASS[s.data][:-2] == 4) | (_CLASS[s.data][1:-1] == 4) | (_CLASS[s.data][2:] == 4)
-        ok = marks & (pat_doc[:-2] == pat_doc[2:])
-        bucket = (mix64(pat[ok]) % np.uint64(PATTERNS)).astype(np.int64)
-        seen = np.unique(pat_doc[:-2][ok] * PATTERNS + bucket)
-    else:
-        seen = np.zeros(0, np.int64)
+    seen = np.unique(np.concatenate([_patterns(s.data[lo : lo + LONG + 2], s.off, lo) for lo in range(0, max(len(s.data), 1), LONG)]))
     lists = np.split(seen % PATTERNS, np.searchsorted(seen // PATTERNS, np.arange(1, s.n)))
     dense = np.stack([PATTERNS + k * BINS + b for k, b in enumerate(stats)], 1)
     return [np.concatenate([a, b]).astype(np.int32) for a, b in zip(lists, dense, strict=True)]
 
 
+def _counts(s: Slice, which: np.ndarray) -> np.ndarray:
+    """Bytes of each document that are in a set."""
+    if s.n == 1:
+        return np.asarray([float(np.count_nonzero(which[s.data]))])
+    return segment_sums(which[s.data].astype(float), s.off)
+
+
 def meta_features(s: Slice, lang: list, source: list) -> list[np.ndarray]:
     """Feature numbers of the metadata view: hashed language and source, page shape."""
     size = np.diff(s.off)
     some = np.maximum(size, 1)
-    kinds = np.stack([segment_sums((_CLASS[s.data] == k).astype(float), s.off) for k in range(6)], 1) / some[:, None]
-    lines = segment_sums((s.data == 10).astype(float), s.off) + 1
+    counts = np.stack([_counts(s, _CLASS == k) for k in range(6)], 1)
+    kinds = counts / some[:, None]
+    lines = _counts(s, np.arange(256) == 10) + 1
     stats = [_size_bin(size), _size_bin(lines), _size_bin(size / lines), *(_share_bin(kinds[:, k]) for k in (1, 2, 3, 4, 5))]
     dense = np.stack([2 * VALUES + k * BINS + b for k, b in enumerate(stats)], 1)
 

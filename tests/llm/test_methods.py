@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from quarrylex.llm import chunks, decontaminate, embeddings, packing, pii, quality, secrets, toxicity
+from quarrylex.llm import base, chunks, decontaminate, embeddings, language, minhash, packing, pii, quality, secrets, toxicity
 from quarrylex.llm.base import slices, words
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -346,3 +346,60 @@ def test_planted_passages_leave_and_clean_documents_stay(spark):
     values = [" ".join(fresh(3000)[:1500] + item[5:25] + fresh(1500)), " ".join(fresh(100)), " ".join(item), " ".join(item[:12] + fresh(50)), ""]
     out = decontaminate.clean(texts(spark, values), frame(spark, [(1, " ".join(item))], "item_id long, text string"))
     assert sorted(r["doc_id"] for r in out.collect()) == [1, 3, 4]
+
+
+# --- long texts --------------------------------------------------------------------------------------------------------------------
+
+
+def _scans(text: str):
+    """What each scanner makes of one text."""
+    s = next(slices(pa.array([text])))
+    rng = np.random.default_rng(1)
+    tox = toxicity.Model(rng.normal(size=1 << toxicity.BITS).astype(np.float32) / 10, -6.0, 0.01)
+    grams = [int.from_bytes(b"\0" * (4 - k) + t[max(0, i - 4) : i + 1], "big") for t in (b"some text to learn from, " * 9,) for i, k in [(i, min(i, 4)) for i in range(len(t))]]
+    gram, n = np.unique(np.asarray(grams, np.int64), return_counts=True)
+    lang = language.fit(["x"], np.asarray(["x"] * len(gram), object), gram, n, 1000, 1)
+    hashes = minhash.shingles(s)
+    return [
+        *words(s), *hashes, minhash.signatures(*minhash.weighted(*hashes[:2]), 1, 64), np.sort(quality.text_features(s)[0]), quality.meta_features(s, ["en"], ["a"])[0],
+        np.round(lang.code_lengths(s.data, s.off), 6), *(np.round(x, 9) for x in toxicity.score_parts(s, tox)), *(x for x in list(toxicity._bags(np.asarray([1]), pa.array([text])))[0]),
+    ]
+
+
+def test_windows_of_long_texts_change_nothing(monkeypatch):
+    rng = random.Random(14)
+    pieces = ["word", "Ünï", " ", ", ", ". ", "\n", "!", "x" * 90, "中文", "42", "-", "\U0001f600"]
+    for k in range(6):
+        text = "".join(rng.choices(pieces, [9, 3, 12, 3, 2 * (k > 0), 1, 1, 1, 2, 2, 2, 1], k=900))
+        whole = _scans(text)
+        for module in (base, language, quality):
+            monkeypatch.setattr(module, "LONG", 128 << k)
+        cut = _scans(text)
+        monkeypatch.undo()
+        assert all(np.array_equal(np.asarray(a), np.asarray(b)) for a, b in zip(whole, cut, strict=True))
+
+
+@pytest.mark.parametrize("name", ["minhash", "toxicity", "quality", "chunks", "language"])
+def test_memory_of_a_long_text(name):
+    """20 MB in one text take at most 20 bytes for each of its bytes."""
+    import tracemalloc
+
+    rng = random.Random(1)
+    unit = " ".join("".join(rng.choices("abcdefghijkl", k=rng.randrange(2, 10))) for _ in range(40_000)) + ". "
+    column = pa.array([unit * (20_000_000 // len(unit))])
+    model = language.Model(["a", "b"], np.zeros(256, np.int64), np.zeros((100, 60), np.uint16), np.zeros((2, 6000), np.float32))
+
+    def chunked(s):
+        cut = chunks.cuts(s, 5, 16, 96)
+        return chunks.links(s, cut, *chunks.measured(s, *cut[1:], base.code_points(s.data)), 20)
+
+    scan = {
+        "minhash": lambda s: minhash.signatures(*minhash.weighted(*minhash.shingles(s)[:2]), 1, 64), "toxicity": lambda s: toxicity.score_parts(s, toxicity.Model(np.zeros(1 << 20, np.float32), -9.0, 0.1)),
+        "quality": lambda s: (quality.text_features(s), quality.meta_features(s, ["en"], ["s"])), "chunks": chunked, "language": lambda s: model.code_lengths(s.data, s.off),
+    }[name]
+    s = next(slices(column))
+    tracemalloc.start()
+    scan(s)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 * len(s.data)
