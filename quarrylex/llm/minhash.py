@@ -238,12 +238,13 @@ def _tiles(threshold: float):
 
 
 def _crossing(at: DataFrame, docs: DataFrame, threshold: float, part: int = 256) -> DataFrame | None:
-    """Links (a, b) between components that meet in a bucket, from rows (bucket, rep, root); None if no bucket is split.
+    """Links (a, b) between components that meet in a bucket, from rows (bucket, rep, w, root); None if no bucket is split.
 
-    The members of a bucket's largest component needn't be compared with each other. The others, in parts of bounded size,
+    w: a text's size, 1 for each thousand words. The members of a bucket's largest component needn't be compared with each
+    other. The others, in parts of bounded size,
     meet each other's parts and those of the largest component, a tile each. Buckets with the same members count once.
     """
-    by_root = at.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("f"))
+    by_root = at.groupBy("bucket", "root").agg(F.sum("w").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("f"))
     split = by_root.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("m"), F.max("n").alias("top"), F.max_by("root", F.struct("n", "root")).alias("bulk"), F.sum("f").alias("f")).where("k > 1")
     split = materialise(split.groupBy("m", "f").agg(F.min(F.struct("bucket", "top", "bulk")).alias("s")).select("m", "s.*"), "split")
     n = split.count()
@@ -271,14 +272,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 16, ro
     signed = materialise(sign(docs, bands, rows), "signatures")
     # texts with the same words are one class from the start
     exact = materialise(signed.where("n_words > 0").groupBy("k1", "k2", "n_words").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "exact")
-    flat = exact.select("rep", F.explode("bands").alias("bucket"))
+    flat = exact.select("rep", F.ceil(F.col("n_words") / 1000).alias("w"), F.explode("bands").alias("bucket"))
     shared = materialise(flat.groupBy("bucket").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "lead"), "buckets")
-    member = materialise(attach(flat, shared, "bucket", shared.count()).select("bucket", "rep", "lead"), "members")
+    member = materialise(attach(flat, shared, "bucket", shared.count()).select("bucket", "rep", "w", "lead"), "members")
     # first each member with its bucket's smallest id, then what still lies in different components of a bucket
     pairs = materialise(member.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     links = _verified(pairs, docs, threshold)
     comp = components(links)
-    at = attach(member.select("bucket", "rep"), comp.select(F.col("node").alias("rep"), "root"), "rep", comp.count(), "left").withColumn("root", F.coalesce("root", "rep"))
+    at = attach(member.select("bucket", "rep", "w"), comp.select(F.col("node").alias("rep"), "root"), "rep", comp.count(), "left").withColumn("root", F.coalesce("root", "rep"))
     more = _crossing(at, docs, threshold)
     if more is not None:
         comp = components(links.unionByName(more))
