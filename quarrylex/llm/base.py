@@ -43,9 +43,26 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_made: list[str] = []
+
+
+def release(spark, but_last: bool = False) -> int:
+    """Delete the tables that materialise has written, once nothing will be read from them: results are lazy, so write them
+    first. but_last: keep the one written last. Returns how many were deleted.
+    """
+    kept = [_made.pop()] if but_last and _made else []
+    for path in _made:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    n = len(_made)
+    _made[:] = kept
+    return n
+
+
 def semi(df: DataFrame, keys: DataFrame, on: str, n_keys: int) -> DataFrame:
     """df's rows whose key is in keys; keys are broadcast only up to BROADCAST_ROWS, else both sides are shuffled."""
     return df.join(F.broadcast(keys) if n_keys <= BROADCAST_ROWS else keys, on, "left_semi")

@@ -403,3 +403,14 @@ def test_memory_of_a_long_text(name):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 20 * len(s.data)
+
+
+def test_run_leaves_the_last_stage_only(spark):
+    """run() deletes what stages have worked with; what its lazy result reads stays until it is released."""
+    import corpus_pipeline
+
+    base.release(spark)
+    rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    left = list(base._made)
+    assert rows.count() > 0 and left and not any(name in x for x in left for name in ("features", "signatures", "postings", "pipeline-quality", "pipeline-decontamination"))
+    assert base.release(spark) == len(left) and base._made == []
