@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylex.llm import decontaminate, minhash, packing, quality, secrets
-from quarrylex.llm.base import materialise
+from quarrylex.llm.base import materialise, release
 from quarrylex.session import ship
 
 
@@ -62,4 +62,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialise(docs, f"pipeline-{name}")
+            release(spark, but_last=True)  # what the stage has worked with, its input included
     return docs
