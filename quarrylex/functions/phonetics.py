@@ -46,23 +46,47 @@ def soundex_alternative(term: Column) -> Column:
     return F.concat(F.substring(w, 1, 1), F.substring(F.translate(rest, "BPFVCSKGJQXZDTLMNR", "111122222222334556"), 1, 5))
 
 
-# --- Phonix: (scope, old, new, before, after) with scope ^ start, $ end, m middle, * anywhere; V vowel, C consonant -------
+# --- Phonix ---------------------------------------------------------------------------------------------------------------
+
 # The published rules of letter groups.
 _V, _C = "[AEIOUY]", "[B-DF-HJ-NP-TV-XZ]"
-_GADD = """* DG G|* CO KO|* CA KA|* CU KU|* CY SI|* CI SI|* CE SE|^ CL KL . V|* CK K|$ GC K|$ JC K|^ CHR KR . V|^ CR KR . V|^ WR R|* NC NK|* CT KT|* PH F|* AA AR|* SCH SH|* BTL TL|* GHT T|* AUGH ARF|m LJ LD V V|* LOUGH LOW
-^ Q KW|^ KN N|$ GN N|* GHN N|$ GNE N|* GHNE NE|$ GNES NS|^ GN N|m GN N . C|^ PS S|^ PT T|^ CZ C|m WZ Z V .|m CZ CH|* LZ LSH|* RZ RSH|m Z S . V|* ZZ TS|m Z TS C .|* HROUG REW|* OUGH OF|m Q KW V V|m J Y V V|^ YJ Y . V
-^ GH G|$ E GH V .|^ CY S|* NX NKS|^ PF F|$ DT T|$ TL TIL|$ DL DIL|* YTH ITH|^ TJ CH . V|^ TSJ CH . V|^ TS T . V|* TCH CH|m WSK VSKIE V .|$ WSK VSKIE V .|^ MN N . V|^ PN N . V|m STL SL V .|$ STL SL V .|$ TNT ENT
-$ EAUX OH|* EXCI ECS|* X ECS|$ NED ND|* JR DR|$ EE EA|* ZS S|m R AH V C|$ R AH V .|m HR AH V C|$ HR AH V .|$ RE AR|* LLE LE|$ LE ILE C .|$ LES ILES C .|$ E -|$ ES S|$ SS AS V .|$ MB M V .|* MPTS MPS|* MPS MS|* MPT MT"""
+#: (place in the word, letters, their replacement, kind of letter before, kind of letter after)
+_GADD = (
+    ("any", "DG", "G", "", ""), ("any", "CO", "KO", "", ""), ("any", "CA", "KA", "", ""), ("any", "CU", "KU", "", ""),
+    ("any", "CY", "SI", "", ""), ("any", "CI", "SI", "", ""), ("any", "CE", "SE", "", ""), ("start", "CL", "KL", "", "vowel"),
+    ("any", "CK", "K", "", ""), ("end", "GC", "K", "", ""), ("end", "JC", "K", "", ""), ("start", "CHR", "KR", "", "vowel"),
+    ("start", "CR", "KR", "", "vowel"), ("start", "WR", "R", "", ""), ("any", "NC", "NK", "", ""), ("any", "CT", "KT", "", ""),
+    ("any", "PH", "F", "", ""), ("any", "AA", "AR", "", ""), ("any", "SCH", "SH", "", ""), ("any", "BTL", "TL", "", ""),
+    ("any", "GHT", "T", "", ""), ("any", "AUGH", "ARF", "", ""), ("middle", "LJ", "LD", "vowel", "vowel"), ("any", "LOUGH", "LOW", "", ""),
+    ("start", "Q", "KW", "", ""), ("start", "KN", "N", "", ""), ("end", "GN", "N", "", ""), ("any", "GHN", "N", "", ""),
+    ("end", "GNE", "N", "", ""), ("any", "GHNE", "NE", "", ""), ("end", "GNES", "NS", "", ""), ("start", "GN", "N", "", ""),
+    ("middle", "GN", "N", "", "consonant"), ("start", "PS", "S", "", ""), ("start", "PT", "T", "", ""), ("start", "CZ", "C", "", ""),
+    ("middle", "WZ", "Z", "vowel", ""), ("middle", "CZ", "CH", "", ""), ("any", "LZ", "LSH", "", ""), ("any", "RZ", "RSH", "", ""),
+    ("middle", "Z", "S", "", "vowel"), ("any", "ZZ", "TS", "", ""), ("middle", "Z", "TS", "consonant", ""), ("any", "HROUG", "REW", "", ""),
+    ("any", "OUGH", "OF", "", ""), ("middle", "Q", "KW", "vowel", "vowel"), ("middle", "J", "Y", "vowel", "vowel"),
+    ("start", "YJ", "Y", "", "vowel"), ("start", "GH", "G", "", ""), ("end", "E", "GH", "vowel", ""), ("start", "CY", "S", "", ""),
+    ("any", "NX", "NKS", "", ""), ("start", "PF", "F", "", ""), ("end", "DT", "T", "", ""), ("end", "TL", "TIL", "", ""),
+    ("end", "DL", "DIL", "", ""), ("any", "YTH", "ITH", "", ""), ("start", "TJ", "CH", "", "vowel"), ("start", "TSJ", "CH", "", "vowel"),
+    ("start", "TS", "T", "", "vowel"), ("any", "TCH", "CH", "", ""), ("middle", "WSK", "VSKIE", "vowel", ""),
+    ("end", "WSK", "VSKIE", "vowel", ""), ("start", "MN", "N", "", "vowel"), ("start", "PN", "N", "", "vowel"),
+    ("middle", "STL", "SL", "vowel", ""), ("end", "STL", "SL", "vowel", ""), ("end", "TNT", "ENT", "", ""), ("end", "EAUX", "OH", "", ""),
+    ("any", "EXCI", "ECS", "", ""), ("any", "X", "ECS", "", ""), ("end", "NED", "ND", "", ""), ("any", "JR", "DR", "", ""),
+    ("end", "EE", "EA", "", ""), ("any", "ZS", "S", "", ""), ("middle", "R", "AH", "vowel", "consonant"), ("end", "R", "AH", "vowel", ""),
+    ("middle", "HR", "AH", "vowel", "consonant"), ("end", "HR", "AH", "vowel", ""), ("end", "RE", "AR", "", ""), ("any", "LLE", "LE", "", ""),
+    ("end", "LE", "ILE", "consonant", ""), ("end", "LES", "ILES", "consonant", ""), ("end", "E", "", "", ""), ("end", "ES", "S", "", ""),
+    ("end", "SS", "AS", "vowel", ""), ("end", "MB", "M", "vowel", ""), ("any", "MPTS", "MPS", "", ""), ("any", "MPS", "MS", "", ""),
+    ("any", "MPT", "MT", "", ""),
+)
 
 
 def _compile() -> list[tuple[re.Pattern[str], str]]:
     out = []
-    for rule in re.split(r"[|\n]", _GADD):
-        scope, old, new, *around = rule.split()
-        before, after = (around + [".", "."])[:2] if around else (".", ".")
-        left = {"V": f"(?<={_V})", "C": f"(?<={_C})", ".": "(?<=.)" if scope == "m" else ""}[before]
-        right = {"V": f"(?={_V})", "C": f"(?={_C})", ".": "(?=.)" if scope == "m" else ""}[after]
-        out.append((re.compile(("^" if scope == "^" else "") + left + old + right + ("$" if scope == "$" else "")), "" if new == "-" else new))
+    kinds = {"vowel": _V, "consonant": _C}
+    for place, old, new, before, after in _GADD:
+        inside = "." if place == "middle" else None
+        left, right = kinds.get(before, inside), kinds.get(after, inside)
+        pattern = ("^" if place == "start" else "") + (f"(?<={left})" if left else "") + old + (f"(?={right})" if right else "") + ("$" if place == "end" else "")
+        out.append((re.compile(pattern), new))
     return out
 
 

@@ -153,13 +153,15 @@ def _cvc(w: str) -> bool:
     return len(w) > 2 and not _vowel(w, len(w) - 3) and _vowel(w, len(w) - 2) and not _vowel(w, len(w) - 1) and w[-1] not in "wxy"
 
 
-def _table(text: str) -> dict[str, str]:
-    return dict(pair.split(">") for pair in text.split())
-
-
 # Endings of the steps.
-_STEP2 = _table("ational>ate ation>ate ator>ate abli>able alism>al aliti>al alli>al anci>ance biliti>ble eli>e enci>ence entli>ent fulness>ful isation>ise iser>ise iveness>ive iviti>ive ization>ize izer>ize ousli>ous ousness>ous tional>tion")
-_STEP3 = _table("alise>al alize>al ative> ful> ical>ic icate>ic iciti>ic ness>")
+_STEP2 = {
+    "ational": "ate", "ation": "ate", "ator": "ate", "abli": "able", "alism": "al", "aliti": "al", "alli": "al", "anci": "ance", "biliti": "ble",
+    "eli": "e", "enci": "ence", "entli": "ent", "fulness": "ful", "isation": "ise", "iser": "ise", "iveness": "ive", "iviti": "ive", "ization": "ize",
+    "izer": "ize", "ousli": "ous", "ousness": "ous", "tional": "tion",
+}
+_STEP3 = {
+    "alise": "al", "alize": "al", "ative": "", "ful": "", "ical": "ic", "icate": "ic", "iciti": "ic", "ness": "",
+}
 _STEP4 = "able al ance ant ate ement ence ent er ible ic ise ism iti ive ize ment ou ous".split()
 
 
@@ -234,9 +236,14 @@ _CONDITION = {
     "AA": lambda s: s.endswith(("d", "f", "ph", "th", "l", "er", "or", "es", "t")), "BB": lambda s: len(s) > 2 and not s.endswith(("met", "ryst")), "CC": lambda s: s.endswith("l"),
 }
 _ENDINGS = {e: k for k, v in _LOVINS.items() for e in v.split()}
-#: Respellings of a stem's end: old>new, with letters before that block (-) or are asked for (+).
-_RECODE = [x.split() for x in """uad>uas - |vad>vas - |cid>cis - |lid>lis - |erid>eris - |pand>pans - |end>ens -s |ond>ons - |lud>lus - |rud>rus - |ul>l -aio |istr>ister - |metr>meter - |her>hes -pt |urs>ur - |uct>uc - |umpt>um -
-    |rpt>rb - |mit>mis - |ert>ers - |et>es -n |yt>ys - |iev>ief - |olv>olut - |bex>bic - |dex>dic - |pex>pic - |tex>tic - |ax>ac - |ex>ec - |ix>ic - |lux>luc - |yz>ys -""".split("|")]
+#: Respellings of a stem's end: (end, respelled, letters that must not stand before).
+_RECODE = (
+    ("uad", "uas", ""), ("vad", "vas", ""), ("cid", "cis", ""), ("lid", "lis", ""), ("erid", "eris", ""), ("pand", "pans", ""), ("end", "ens", "s"),
+    ("ond", "ons", ""), ("lud", "lus", ""), ("rud", "rus", ""), ("ul", "l", "aio"), ("istr", "ister", ""), ("metr", "meter", ""), ("her", "hes", "pt"),
+    ("urs", "ur", ""), ("uct", "uc", ""), ("umpt", "um", ""), ("rpt", "rb", ""), ("mit", "mis", ""), ("ert", "ers", ""), ("et", "es", "n"),
+    ("yt", "ys", ""), ("iev", "ief", ""), ("olv", "olut", ""), ("bex", "bic", ""), ("dex", "dic", ""), ("pex", "pic", ""), ("tex", "tic", ""),
+    ("ax", "ac", ""), ("ex", "ec", ""), ("ix", "ic", ""), ("lux", "luc", ""), ("yz", "ys", ""),
+)
 
 
 @lru_cache(1 << 16)
@@ -252,9 +259,8 @@ def lovins(term: str) -> str:
             break
     if len(w) > 1 and w[-1] == w[-2] and w[-1] in "bdglmnprst":
         w = w[:-1]
-    for rule, guard in _RECODE:
-        old, new = rule.split(">")
-        if w.endswith(old) and (len(guard) == 1 or w[-len(old) - 1 : -len(old)] not in guard[1:] or len(w) == len(old)):
+    for old, new, guard in _RECODE:
+        if w.endswith(old) and (not guard or len(w) == len(old) or w[-len(old) - 1] not in guard):
             w = w[: -len(old)] + new
             break
     return w.upper() if term.isupper() else w
