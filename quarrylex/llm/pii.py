@@ -163,12 +163,12 @@ def joined(rows: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in rows)
 
 
-RESULT = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_more bigint"
+RESULT = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_more bigint, n_spans bigint"
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """One row per document: counts of the base kinds, digest of the base spans, all spans."""
+    """One row per document: counts of the base kinds, digest of the base spans, all spans and their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,10 +176,10 @@ def find(docs: DataFrame) -> DataFrame:
             for doc, cell in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 base, more = spans(cell.as_py() or "")
                 kinds = [x[0] for x in base]
-                rows.append((doc, *(kinds.count(k) for k in BASE), hashlib.sha256(joined(base).encode()).hexdigest() if base else _EMPTY, joined(base + more), len(more)))
-            cols = list(zip(*rows, strict=True)) or [()] * 8
-            kinds_ = (*[pa.int64()] * 5, pa.string(), pa.string(), pa.int64())
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds_, strict=True)], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_more"])
+                rows.append((doc, *(kinds.count(k) for k in BASE), hashlib.sha256(joined(base).encode()).hexdigest() if base else _EMPTY, joined(base + more), len(more), len(base) + len(more)))
+            cols = list(zip(*rows, strict=True)) or [()] * 9
+            kinds_ = (*[pa.int64()] * 5, pa.string(), pa.string(), pa.int64(), pa.int64())
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds_, strict=True)], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_more", "n_spans"])
 
     return pick(docs, "doc_id", "text").mapInArrow(run, RESULT)
 
