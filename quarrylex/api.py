@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 from hashlib import sha256
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylex.operators import catalog, feedback, filters, results, scoring
@@ -80,14 +80,17 @@ class Engine:
         query = parse(search, self.clock, **preset)
         parts, reports = [], []
         found = self.resolve(index)
-        shared = self._global(found) if self.global_idf and len(found) > 1 else (None, None)
+        several = self.global_idf and len(found) > 1
+        narrow = {x.uid: self._narrowed(x, query, like, unlike) for x in found} if several else {}
+        shared = self._global(list(narrow.values())) if several else (None, None)
         for x in found:
             key = sha256(repr((x.config, x.uid, show(query.root), sorted(map(str, query.modifiers.items())), like, unlike, self.ranking, self.length, self.global_idf, self.proximity)).encode()).hexdigest()
             if self.cache_mode != "off" and query.modifiers.get("search_cache") == "enable" and key in self._cache:
                 parts.append(self._cache[key])
                 continue
-            plan = Plan(x, query, self.ranking, *shared, proximity=self.proximity)
-            part = self._scored(x, plan, query, like, unlike)
+            own = narrow.get(x.uid) or self._narrowed(x, query, like, unlike)
+            plan = Plan(own, query, self.ranking, *shared, proximity=self.proximity)
+            part = self._scored(own, plan, query, like, unlike, x)
             if self.cache_mode == "write" and query.modifiers.get("search_cache") == "enable":
                 part = part.cache()
                 self._cache[key] = part
@@ -124,7 +127,17 @@ class Engine:
         merged = terms.groupBy("term").agg(F.max("term_type").alias("term_type"), F.sum("term_count").alias("term_count"), F.sum("doc_count").alias("doc_count"), F.array_distinct(F.flatten(F.collect_list("field_ids"))).alias("field_ids"), F.max("in_counts").alias("in_counts"))
         return sum(x.n_docs for x in found), merged
 
-    def _scored(self, x: Index, plan: Plan, query: Query, like: str, unlike: str) -> DataFrame:
+    @staticmethod
+    def _narrowed(x: Index, query: Query, like: str = "", unlike: str = "") -> Index:
+        """The index of the terms that the query, its filters and its feedback texts name."""
+        words = [w for kind in ("inclusion_filter", "exclusion_filter") for group in query.modifiers.get(kind) or [] for w in group]
+        test = Plan.test(x, query)
+        if x.chosen is None or test is None or (query.root is None and not words and not like and not unlike):
+            return x
+        alike = feedback.words_of(x, *filter(None, (like, unlike))) if like or unlike else []
+        return x.narrowed(lambda term: reduce(Column.__or__, [filters.term_test(x, w, term) for w in words] + ([term.isin(alike)] if alike else []), test(term)))
+
+    def _scored(self, x: Index, plan: Plan, query: Query, like: str, unlike: str, whole: Index | None = None) -> DataFrame:
         mods = query.modifiers
         how = {"weight": mods.get("feedback_term_weight", 0.1), "least": mods.get("feedback_minimum_term_count", 10), "percent": mods.get("feedback_maximum_term_percentage", 25.0), "coverage": mods.get("feedback_maximum_term_coverage_threshold", 8.0)}
         words = len(leaves(query.root))
@@ -135,7 +148,7 @@ class Engine:
         else:
             docs = plan.matches()
             docs = feedback.combined(docs, extra) if extra is not None else docs
-        docs = filters.restrict(x, docs, mods, self.lists)
+        docs = filters.restrict(x, docs, mods, self.lists, whole)
         scored = scoring.normalised(docs, x.documents, self.length) if query.root is not None or extra is not None else docs
         return scored.select(F.lit(x.config.name).alias("index_name"), "doc_id", "score")
 
@@ -148,7 +161,11 @@ class Engine:
     def counters(self, index: str, search: str) -> DataFrame:
         """(index_name, matched, failed_date, failed_language, not_included, excluded, returned) of a search: why documents that match its words aren't in its results."""
         query = parse(search, self.clock)
-        parts = [filters.counters(x, Plan(x, query, self.ranking, proximity=self.proximity).matches(), query.modifiers, self.lists).select(F.lit(x.config.name).alias("index_name"), "*") for x in self.resolve(index)]
+        parts = []
+        for whole in self.resolve(index):
+            x = self._narrowed(whole, query)
+            counts = filters.counters(x, Plan(x, query, self.ranking, proximity=self.proximity).matches(), query.modifiers, self.lists, whole)
+            parts.append(counts.select(F.lit(x.config.name).alias("index_name"), "*"))
         return reduce(DataFrame.unionByName, parts)
 
     # --- information ------------------------------------------------------------------------------------------------

@@ -19,6 +19,11 @@ def _terms_of(index: Index, texts: DataFrame) -> DataFrame:
     return forms.groupBy("key", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def words_of(index: Index, *values: str) -> list[str]:
+    """The distinct terms of feedback texts: no more than these texts have."""
+    return sorted(r["term"] for r in _terms_of(index, texts(index.spark, *values)).select("term").distinct().collect())
+
+
 def weighted_terms(index: Index, texts: DataFrame, coverage: float, ranking: str = "cosine", by: str = "doc_count") -> DataFrame:
     """(key, term, tf, doc_count, term_count, weight = idf * tf) of regular terms that few enough documents hold."""
     known = index.terms.where(F.col("term_type") == REGULAR)

@@ -1,15 +1,15 @@
 """The inverted index as DataFrames: documents, postings, terms, fields and one row about the index.
 
 Everything is a projection or an aggregation over the tokenised documents: one shuffle on the term for the statistics, none
-for the postings. Filters on terms reach the exploded tokens, so that an index that isn't stored still answers a query with
-one pass; a stored one is laid out by term.
+for the postings. A search of an index that isn't stored cuts the texts once and keeps the rows of the terms that it needs
+(narrowed); a stored one is laid out by term.
 """
 
 from __future__ import annotations
 
 import contextlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -64,6 +64,7 @@ class Index:
     _n: int | None = field(default=None, repr=False)
     exploded: DataFrame | None = field(default=None, repr=False)  # what postings and terms are made from
     written: bool = field(default=False, repr=False)  # exploded is read from a scratch table, not made from texts
+    chosen: Callable[[Callable[[Column], Column]], DataFrame] | None = field(default=None, repr=False)  # exploded under a test on terms
     uid: str = field(default_factory=lambda: uuid.uuid4().hex, repr=False)
 
     @property
@@ -101,6 +102,16 @@ class Index:
         ids = [known[n] for n in names if n in known]
         return ids or ([known[n] for n in self.config.default_fields] or None)
 
+    def narrowed(self, test: Callable[[Column], Column]) -> Index:
+        """The index of the terms that pass a test, for one search: texts are cut once, and what is found is written.
+
+        Counts of these terms and of documents are those of the whole index. A stored index is as good as it is.
+        """
+        if self.chosen is None or self.written:
+            return self
+        rows = scratch(self.chosen(test), "narrowed")
+        return Index(self.config, self.documents, _postings(rows, self.config), _terms(rows, self.config), self.n_docs, rows, True, uid=self.uid)
+
     def write(self, path: str, buckets: int = 64) -> Index:
         """Store the tables in a folder of their own below path, to which path points once they are complete.
 
@@ -189,18 +200,35 @@ def _locked(spark: SparkSession, path: str) -> Iterator[None]:
         fs.delete(lock, False)
 
 
+def _cases(tokens: DataFrame, config: Config, test: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Rows with their terms before stemming: the lower-cased form always, and the original where it has upper case.
+
+    test: on terms, and put to the tokens first, so that only those of a term that passes are given both forms.
+    """
+    token = F.col("token")
+    upper = (token != F.lower(token)) & text.has_upper(token)
+    if test is not None:
+        tokens = tokens.where(test(F.lower(token)) | (upper & test(token)) if config.case_variants else test(F.lower(token)))
+    low, own = F.struct(F.lower(token).alias("term"), F.lit(True).alias("in_counts")), F.struct(token.alias("term"), F.lit(False).alias("in_counts"))
+    kept = [c for c in tokens.columns if c != "token"]
+    if not config.case_variants:
+        return tokens.select(*kept, F.lower(token).alias("term"), F.lit(True).alias("in_counts"))
+    rows = tokens.withColumn("v", F.explode(F.when(upper, F.array(low, own)).otherwise(F.array(low)))).select(*kept, "v.*")
+    return rows.where(test(F.col("term"))) if test is not None else rows
+
+
 def forms_of(tokens: DataFrame, config: Config, once: bool = False) -> DataFrame:
     """Rows (..., field_id, lang, token) with the terms they are found by: (..., term, in_counts).
 
     The lower-cased form always, and the original where it has upper case. Terms all in upper case are never stemmed, mixed
-    ones are stemmed in both forms, by the rules of the row's language. Stems are worked out for distinct terms and joined back.
+    ones are stemmed in both forms, by the rules of the row's language.
     """
-    token = F.col("token")
-    low, own = F.struct(F.lower(token).alias("term"), F.lit(True).alias("in_counts")), F.struct(token.alias("term"), F.lit(False).alias("in_counts"))
-    both = F.when(text.has_upper(token), F.array(low, own)).otherwise(F.array(low)) if config.case_variants else F.array(low)
-    rows = tokens.withColumn("v", F.explode(both)).select(*[c for c in tokens.columns if c != "token"], "v.*")
-    if once:
-        rows = scratch(rows, "forms")
+    rows = _cases(tokens, config)
+    return _stemmed(scratch(rows, "forms") if once else rows, config)
+
+
+def _stemmed(rows: DataFrame, config: Config) -> DataFrame:
+    """Terms as their stems. Stems are worked out for distinct terms and joined back."""
     stemmed = [k for k, f in enumerate(config.fields, 1) if f.stemming]
     if config.stemmer == "none" or not stemmed:
         return rows
@@ -226,19 +254,28 @@ def _tagged(field_id: int):
 
 
 def tokenised(docs: DataFrame, config: Config) -> DataFrame:
-    """(doc_id, lang, field_id, position, token): positions run through all fields of a document from 1."""
+    """(doc_id, lang, field_id, position, token): positions run through all fields of a document from 1.
+
+    One field whose tokens are all long enough is cut without functions on arrays, which are slow.
+    """
     cut = text.TOKENIZERS[config.tokenizer]
+    lang = F.col("lang") if "lang" in docs.columns else F.lit(config.lang)
+    if len(config.fields) == 1 and config.least <= 1:
+        source = F.col(config.fields[0].column).cast("string")
+        rows = docs.select("doc_id", lang.alias("lang"), F.posexplode(cut(text.normalise(source) if config.normalise else source)).alias("p", "token"))
+        return _parted(rows.select("doc_id", "lang", F.lit(1).alias("field_id"), (F.col("p") + 1).alias("position"), F.substring("token", 1, config.most).alias("token")), config)
     parts = []
     for k, f in enumerate(config.fields, 1):
         source = F.col(f.column).cast("string")
         tokens = text.bounded(cut(text.normalise(source) if config.normalise else source), config.least, config.most)
         parts.append(F.transform(tokens, _tagged(k)))
-    lang = F.col("lang") if "lang" in docs.columns else F.lit(config.lang)
     rows = docs.select("doc_id", lang.alias("lang"), F.posexplode(F.concat(*parts)).alias("p", "t"))
-    out = rows.select("doc_id", "lang", "t.field_id", (F.col("p") + 1).alias("position"), "t.token")
-    if config.tokenizer in ("punct", "auto"):  # parts of M&A share its position
-        out = out.withColumn("token", F.explode(text.components(F.col("token"))))
-    return out
+    return _parted(rows.select("doc_id", "lang", "t.field_id", (F.col("p") + 1).alias("position"), "t.token"), config)
+
+
+def _parted(tokens: DataFrame, config: Config) -> DataFrame:
+    """With the parts of M&A at its position, by the tokenizers that keep punctuation."""
+    return tokens.withColumn("token", F.explode(text.components(F.col("token")))) if config.tokenizer in ("punct", "auto") else tokens
 
 
 def build(docs: DataFrame, config: Config = Config(), once: bool = False) -> Index:
@@ -249,17 +286,21 @@ def build(docs: DataFrame, config: Config = Config(), once: bool = False) -> Ind
     """
     have = set(docs.columns)
     tokens = tokenised(docs, config)
-    exploded = forms_of(tokens, config, once).select("term", "doc_id", "position", "field_id", "in_counts")
+    named = ("term", "doc_id", "position", "field_id", "in_counts")
+    exploded = forms_of(tokens, config, once).select(*named)
+    plain = config.stemmer == "none" or not any(f.stemming for f in config.fields)
+    chosen = lambda test: _cases(tokens, config, test).select(*named) if plain else exploded.where(test(F.col("term")))
     name = F.lit(config.name)
     cut = text.TOKENIZERS[config.tokenizer]
-    size = sum((F.size(text.bounded(cut(F.col(f.column).cast("string")), config.least, config.most)) for f in config.fields), F.lit(0)).cast("bigint")
+    long_enough = lambda tokens: tokens if config.least <= 1 else text.bounded(tokens, config.least, config.most)
+    size = sum((F.size(long_enough(cut(F.col(f.column).cast("string")))) for f in config.fields), F.lit(0)).cast("bigint")
     opt = lambda c, default, kind: (F.col(c) if c in have else default).cast(kind).alias(c)
     documents = docs.select(
         name.alias("index_name"), F.col("doc_id").cast("bigint"), opt("doc_key", F.col("doc_id"), "string"), opt("title", F.lit(None), "string"), opt("lang", F.lit(config.lang), "string"), opt("rank", F.lit(0), "bigint"),
         (F.coalesce(F.col("term_count").cast("bigint"), size) if "term_count" in have else size).alias("term_count"), opt("ansi_date", F.lit(0), "bigint"),
         *[F.col(f.column).cast("string").alias(f"item_{f.name}") for f in config.fields],
     )
-    return Index(config, documents, _postings(exploded, config), _terms(exploded, config), exploded=exploded, written=once)
+    return Index(config, documents, _postings(exploded, config), _terms(exploded, config), exploded=exploded, written=once, chosen=chosen)
 
 
 def _stop(config: Config) -> Column:

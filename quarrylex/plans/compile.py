@@ -7,6 +7,7 @@ document, whose flags and sums evaluate the whole tree. Else the operators of th
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -19,6 +20,8 @@ from quarrylex.operators.algebra import STOP, Postings
 from quarrylex.operators.index import Index
 from quarrylex.plans.ast import Cluster, Node, Query, QueryError, Term, combines, leaves, positional
 
+_BY_UDF = ("typo", "phonix", "metaphone", "soundslike")
+
 
 @dataclass
 class Leaf:
@@ -96,6 +99,19 @@ class Plan:
                 x.kind, x.status = STOP, "frequent"
         return found
 
+    @classmethod
+    def test(cls, index: Index, query: Query) -> Callable[[Column], Column] | None:
+        """The test that all terms of a query pass, for Index.narrowed; None: it has UDFs, which are for vocabularies only."""
+        if any(t.function in _BY_UDF for t in leaves(query.root)):
+            return None
+        plan = cls.__new__(cls)
+        plan.index, plan.query = index, query
+        stems = plan._stems(sorted({t.text for t in leaves(query.root) if not t.function and not t.text.isupper()}))
+        exact = [t for t in leaves(query.root) if t.function in ("", "literal")]
+        words = sorted({plan._form(t, stems) for t in exact} | {t.text for t in exact})
+        expanded = {(t.function, t.text) for t in leaves(query.root)} - {(t.function, t.text) for t in exact}
+        return lambda term: reduce(Column.__or__, [expand.predicate(term, *e) for e in sorted(expanded)], term.isin(words) if words else F.lit(False))
+
     def _stored_stop(self, x: Leaf) -> bool:
         """A stop term is searched where its fields keep stop terms, never if it was demoted for its frequency."""
         ids = x.field_ids or range(1, len(self.index.config.fields) + 1)

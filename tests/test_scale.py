@@ -24,3 +24,29 @@ def test_index_list_counts_ids_that_have_words_once(spark, docs, tmp_path):
     talks.write.parquet(f"{tmp_path}/conversations.parquet")
     got = {r["index_name"]: (r["n_docs"], r["unique_terms"]) for r in QUERIES["index_list"](spark, str(tmp_path)).collect()}
     assert got["talks"] == (1, 3) and got["documents"][0] == 4
+
+
+def _cuts(df) -> int:
+    """How often texts are cut into words by a plan."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all")
+
+
+@pytest.mark.parametrize("search", ["of IOR with", '"of the and"', "th* AND with", "range[thea-thez]", "+with OR of", "{inclusion_filter:with,b*}{exclusion_filter:zz} of"])
+def test_a_search_cuts_texts_once(docs, search):
+    """What is left of the texts in the plan of a search is its words' rows, and they give what the whole index gives."""
+    x = index.build(docs, PLAIN)
+    whole = index.Index(x.config, x.documents, x.postings, x.terms)  # never narrowed
+    one, other = (Engine({"d": y}, length="none", proximity=False).search("d", search).scored for y in (x, whole))
+    assert _cuts(one) == 0 < _cuts(other)
+    assert sorted(one.collect()) == sorted(other.collect())
+
+
+def test_feedback_and_counters_cut_texts_once(docs):
+    x = index.build(docs, PLAIN)
+    whole = index.Index(x.config, x.documents, x.postings, x.terms)
+    for how in ({"like": "theory of cities"}, {"search": "{fmtct:100} of", "unlike": "boats with the"}, {"search": "with {fmtct:100}", "like": "THE boats"}):
+        one, other = (Engine({"d": y}, length="none").search("d", **how).scored for y in (x, whole))
+        assert _cuts(one) <= 1 < _cuts(other)  # the feedback text itself
+        assert sorted(one.collect()) == sorted(other.collect())
+    counted = [Engine({"d": y}).counters("d", "of {language:en}{inclusion_filter:with}{exclusion_filter:boat*}").collect() for y in (x, whole)]
+    assert counted[0] == counted[1]
