@@ -20,7 +20,7 @@ from quarrylex.functions import stemmers, stoplists, text
 from quarrylex.session import scratch
 
 REGULAR, STOP, FREQUENT = 1, 2, 3
-#: Stems that are sent to all tasks; of a larger vocabulary both sides are shuffled by term.
+#: Stems that are sent to all tasks; those of rarer words are worked out where they stand (plural rules) or joined by shuffles.
 BROADCAST_STEMS = 300_000
 
 
@@ -228,25 +228,47 @@ def forms_of(tokens: DataFrame, config: Config, once: bool = False) -> DataFrame
 
 
 def _stemmed(rows: DataFrame, config: Config) -> DataFrame:
-    """Terms as their stems. Stems are worked out for distinct terms and joined back."""
+    """Terms as their stems. Stems are worked out for distinct terms and joined back.
+
+    By plural rules the most frequent words are sent to all tasks with their stems, and those of the others are worked out
+    for each row: nothing is shuffled by word, however frequent one is. The lambda keeps these rules out of the tasks'
+    generated code, for which they are too long.
+    """
     stemmed = [k for k, f in enumerate(config.fields, 1) if f.stemming]
     if config.stemmer == "none" or not stemmed:
         return rows
     free = F.col("field_id").isin(stemmed) & ~text.all_upper(F.col("term"))
-    distinct = scratch(rows.where(free).select("term", "lang").distinct(), "vocabulary")
+    other = F.col("term")
+    counted = scratch(rows.where(free).groupBy("term", "lang").agg(F.count(F.lit(1)).alias("n")), "vocabulary")
+    distinct = counted.select("term", "lang")
     if config.stemmer == "plural":  # each language's rules by themselves: all in one expression are too much code
+        distinct = counted.where(F.col("n") >= _least(counted)).select("term", "lang")
         code = F.substring_index("lang", "-", 1)
         present = [r["c"] for r in distinct.select(code.alias("c")).where(F.col("c").isin(*stemmers.PLURAL)).distinct().collect()]  # twelve at most
         parts = [distinct.where(code == c).withColumn("stem", stemmers.plural(F.col("term"), c)) for c in sorted(present)]
         parts.append(distinct.where(F.coalesce(~code.isin(*present), F.lit(True)) if present else F.lit(True)).withColumn("stem", stemmers.plural_any(F.col("term"))))
-        stems = reduce(DataFrame.unionByName, parts)
+        stems = scratch(reduce(DataFrame.unionByName, parts), "stems")
+        other = F.element_at(F.transform(F.array("term"), lambda t: stemmers.plural(t, F.col("lang"))), 1)
+        few = True
     else:
         stems = distinct.withColumn("stem", stemmers.stem(F.col("term"), config.stemmer, F.col("lang")))
-    stems = scratch(stems.where("stem <> term"), "stems")
+        stems = scratch(stems.where("stem <> term"), "stems")
+        few = stems.count() <= BROADCAST_STEMS
     stems = stems.select(F.col("term").alias("t"), F.col("lang").alias("l"), "stem")
-    side = F.broadcast(stems) if stems.count() <= BROADCAST_STEMS else stems
-    joined = rows.join(side, (F.col("term") == F.col("t")) & F.col("lang").eqNullSafe(F.col("l")), "left")
-    return joined.withColumn("term", F.when(free, F.coalesce("stem", "term")).otherwise(F.col("term"))).drop("stem", "t", "l")
+    joined = rows.join(F.broadcast(stems) if few else stems, (F.col("term") == F.col("t")) & F.col("lang").eqNullSafe(F.col("l")), "left")
+    return joined.withColumn("term", F.when(free, F.coalesce("stem", other)).otherwise(F.col("term"))).drop("stem", "t", "l")
+
+
+def _least(counted: DataFrame) -> int:
+    """The least count n of which at most BROADCAST_STEMS words have as many, by classes of counts."""
+    size = F.floor(F.log2("n") * 4)
+    total, least = 0, 1 << 62
+    for r in counted.groupBy(size.alias("size")).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("n")).orderBy(F.desc("size")).collect():  # 250 classes at most
+        total += r["words"]
+        if total > BROADCAST_STEMS:
+            break
+        least = r["n"]
+    return least
 
 
 def _tagged(field_id: int):

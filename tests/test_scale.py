@@ -58,3 +58,16 @@ def test_verification_cuts_texts_once_and_finds_faults(docs):
     faulty = index.Index(x.config, x.documents.where("doc_id <> 1"), x.postings.where("term <> 'of' or doc_id <> 0"), x.terms)
     faults = {r["what"]: r["n"] for r in catalog.statistics(faulty).collect()}
     assert faults["terms_off"] == 1 and faults["postings_without_document"] == 5 and faults["documents"] == 5 and faults["terms"] == x.terms.count()
+
+
+def test_stems_of_rare_words_need_no_shuffle(spark, docs, monkeypatch):
+    """Whether a word's stem is among those sent to all tasks or not, it is the same, and words are never shuffled by their term."""
+    config = Config(name="d", stop_list="none")
+    rows = lambda x: sorted(tuple(r) for r in x.exploded.collect())
+    many = rows(index.build(docs, config))
+    monkeypatch.setattr(index, "BROADCAST_STEMS", 3)
+    x = index.build(docs, config)
+    assert rows(x) == many
+    assert {r[0] for r in many} >= {"city", "and", "ÉTÉ"}
+    plan = x.exploded._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
