@@ -22,6 +22,8 @@ from quarrylex.session import scratch
 REGULAR, STOP, FREQUENT = 1, 2, 3
 #: Stems that are sent to all tasks; those of rarer words are worked out where they stand (plural rules) or joined by shuffles.
 BROADCAST_STEMS = 300_000
+#: Postings of a file of a stored index; a larger index has more files than its buckets.
+FILE_ROWS = 4_000_000
 
 
 class IndexLocked(RuntimeError):
@@ -116,8 +118,9 @@ class Index:
         """Store the tables in a folder of their own below path, to which path points once they are complete.
 
         Texts are cut into terms once. Postings are dealt by ranges of (term, document), so that a term's list is in few
-        files and row groups, and the list of a very common term in several. One writer at a time holds the folder's lock;
-        a write that fails leaves the index as it was. The version before is kept for readers that have it open.
+        files and row groups, and the list of a very common term in several: at least buckets, and more where a file would
+        have more than FILE_ROWS. One writer at a time holds the folder's lock; a write that fails leaves the index as it
+        was. The version before is kept for readers that have it open.
         """
         with _locked(self.spark, path):
             version = f"v-{uuid.uuid4().hex}"
@@ -126,10 +129,11 @@ class Index:
                 if self.exploded is not None:
                     rows = self.exploded if self.written else scratch(self.exploded, "terms-in-places")
                     x = Index(self.config, self.documents, _postings(rows, self.config), _terms(rows, self.config))
+                files = max(buckets, -(-x.postings.count() // FILE_ROWS))
                 out = {
                     "documents": x.documents,
-                    "postings": x.postings.repartitionByRange(buckets, "term", "doc_id").sortWithinPartitions("term", "doc_id", "position"),
-                    "terms": x.terms.repartition(max(1, buckets // 8), "term").sortWithinPartitions("term"),
+                    "postings": x.postings.repartitionByRange(files, "term", "doc_id").sortWithinPartitions("term", "doc_id", "position"),
+                    "terms": x.terms.repartition(max(1, files // 8), "term").sortWithinPartitions("term"),
                 }
                 for name, df in out.items():
                     df.write.parquet(f"{path}/{version}/{name}")

@@ -71,3 +71,12 @@ def test_stems_of_rare_words_need_no_shuffle(spark, docs, monkeypatch):
     assert {r[0] for r in many} >= {"city", "and", "ÉTÉ"}
     plan = x.exploded._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+
+
+def test_a_stored_index_has_files_by_its_size(spark, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(index, "FILE_ROWS", 4)
+    x = index.build(docs, PLAIN, once=True)
+    path = str(tmp_path / "ix")
+    stored = x.write(path, buckets=2)
+    assert stored.postings.select(F.input_file_name().alias("f")).distinct().count() > 4
+    assert sorted(map(tuple, stored.postings.collect())) == sorted(map(tuple, x.postings.collect()))
