@@ -149,7 +149,7 @@ class Engine:
             docs = plan.matches()
             docs = feedback.combined(docs, extra) if extra is not None else docs
         docs = filters.restrict(x, docs, mods, self.lists, whole)
-        scored = scoring.normalised(docs, x.documents, self.length) if query.root is not None or extra is not None else docs
+        scored = scoring.normalised(docs, x.lengths, self.length) if query.root is not None or extra is not None else docs
         return scored.select(F.lit(x.config.name).alias("index_name"), "doc_id", "score")
 
     def forget(self) -> None:

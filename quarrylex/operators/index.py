@@ -66,7 +66,8 @@ class Index:
     _n: int | None = field(default=None, repr=False)
     exploded: DataFrame | None = field(default=None, repr=False)  # what postings and terms are made from
     written: bool = field(default=False, repr=False)  # exploded is read from a scratch table, not made from texts
-    chosen: Callable[[Callable[[Column], Column]], DataFrame] | None = field(default=None, repr=False)  # exploded under a test on terms
+    chosen: Callable[[Callable[[Column], Column]], DataFrame] | None = field(default=None, repr=False)  # exploded under a test on terms, with the documents' lengths if they are at hand
+    sizes: DataFrame | None = field(default=None, repr=False)  # lengths that were found with the terms
     uid: str = field(default_factory=lambda: uuid.uuid4().hex, repr=False)
 
     @property
@@ -79,6 +80,11 @@ class Index:
             self._n = self.documents.count()
         return self._n
 
+    @property
+    def lengths(self) -> DataFrame:
+        """(doc_id, term_count) of all documents."""
+        return self.documents.select("doc_id", "term_count") if self.sizes is None else self.sizes
+
     @property
     def fields(self) -> DataFrame:
         rows = [(self.config.name, k, f.name, "string", f.stemming, f.stop, f.positions, f.description) for k, f in enumerate(self.config.fields, 1)]
@@ -107,12 +113,16 @@ class Index:
     def narrowed(self, test: Callable[[Column], Column]) -> Index:
         """The index of the terms that pass a test, for one search: texts are cut once, and what is found is written.
 
-        Counts of these terms and of documents are those of the whole index. A stored index is as good as it is.
+        Counts of these terms and of documents, and the documents' lengths, are those of the whole index. A stored index is
+        as good as it is.
         """
         if self.chosen is None or self.written:
             return self
-        rows = scratch(self.chosen(test), "narrowed")
-        return Index(self.config, self.documents, _postings(rows, self.config), _terms(rows, self.config), self.n_docs, rows, True, uid=self.uid)
+        rows, sizes = scratch(self.chosen(test), "narrowed"), None
+        if "size" in rows.columns:
+            sizes = rows.where("size is not null").select("doc_id", F.col("size").alias("term_count"))
+            rows = rows.where("term is not null").drop("size")
+        return Index(self.config, self.documents, _postings(rows, self.config), _terms(rows, self.config), self.n_docs, rows, True, sizes=sizes, uid=self.uid)
 
     def write(self, path: str, buckets: int = 64) -> Index:
         """Store the tables in a folder of their own below path, to which path points once they are complete.
@@ -204,21 +214,37 @@ def _locked(spark: SparkSession, path: str) -> Iterator[None]:
         fs.delete(lock, False)
 
 
-def _cases(tokens: DataFrame, config: Config, test: Callable[[Column], Column] | None = None) -> DataFrame:
-    """Rows with their terms before stemming: the lower-cased form always, and the original where it has upper case.
-
-    test: on terms, and put to the tokens first, so that only those of a term that passes are given both forms.
-    """
+def _cases(tokens: DataFrame, config: Config) -> DataFrame:
+    """Rows with their terms before stemming: the lower-cased form always, and the original where it has upper case."""
     token = F.col("token")
-    upper = (token != F.lower(token)) & text.has_upper(token)
-    if test is not None:
-        tokens = tokens.where(test(F.lower(token)) | (upper & test(token)) if config.case_variants else test(F.lower(token)))
-    low, own = F.struct(F.lower(token).alias("term"), F.lit(True).alias("in_counts")), F.struct(token.alias("term"), F.lit(False).alias("in_counts"))
     kept = [c for c in tokens.columns if c != "token"]
     if not config.case_variants:
         return tokens.select(*kept, F.lower(token).alias("term"), F.lit(True).alias("in_counts"))
-    rows = tokens.withColumn("v", F.explode(F.when(upper, F.array(low, own)).otherwise(F.array(low)))).select(*kept, "v.*")
-    return rows.where(test(F.col("term"))) if test is not None else rows
+    return tokens.withColumn("v", F.explode(_both_cases(token))).select(*kept, "v.*")
+
+
+def _both_cases(token: Column) -> Column:
+    upper = (token != F.lower(token)) & text.has_upper(token)
+    low, own = F.struct(F.lower(token).alias("term"), F.lit(True).alias("in_counts")), F.struct(token.alias("term"), F.lit(False).alias("in_counts"))
+    return F.when(upper, F.array(low, own)).otherwise(F.array(low))
+
+
+def _found(tokens: DataFrame, config: Config, test: Callable[[Column], Column]) -> DataFrame:
+    """The same rows for the terms that pass a test; where tokens have a size, that of each document stands in one of its rows.
+
+    Most tokens fail, so the test comes before all else that is asked about a token. size is null but in a document's first
+    row, which is kept, without a term if that one fails.
+    """
+    token, sized = F.col("token"), "size" in tokens.columns
+    passes = test(F.lower(token))
+    if config.case_variants:
+        passes = passes | (test(token) & (token != F.lower(token)) & text.has_upper(token))
+    first = F.col("size").isNotNull() if sized else F.lit(False)
+    rows = _cases(tokens.where(passes | first if sized else passes), config)
+    if not sized:
+        return rows.where(test(F.col("term")))
+    rows = rows.withColumn("term", F.when(test(F.col("term")), F.col("term"))).withColumn("size", F.when(F.col("in_counts"), F.col("size")))
+    return rows.where("term is not null or size is not null")
 
 
 def forms_of(tokens: DataFrame, config: Config, once: bool = False) -> DataFrame:
@@ -275,33 +301,44 @@ def _least(counted: DataFrame) -> int:
     return least
 
 
+#: Tokenizers that keep punctuation, whose tokens have parts.
+_PARTING = ("punct", "auto")
+
+
 def _tagged(field_id: int):
     return lambda t: F.struct(F.lit(field_id).alias("field_id"), t.alias("token"))
 
 
-def tokenised(docs: DataFrame, config: Config) -> DataFrame:
+def tokenised(docs: DataFrame, config: Config, sized: bool = False) -> DataFrame:
     """(doc_id, lang, field_id, position, token): positions run through all fields of a document from 1.
 
-    One field whose tokens are all long enough is cut without functions on arrays, which are slow.
+    One field whose tokens are all long enough is cut without functions on arrays, which are slow. sized: with the number of
+    a document's tokens as size in its first row, which it has even if it has no token; null in the others.
     """
     cut = text.TOKENIZERS[config.tokenizer]
-    lang = F.col("lang") if "lang" in docs.columns else F.lit(config.lang)
-    if len(config.fields) == 1 and config.least <= 1:
-        source = F.col(config.fields[0].column).cast("string")
-        rows = docs.select("doc_id", lang.alias("lang"), F.posexplode(cut(text.normalise(source) if config.normalise else source)).alias("p", "token"))
-        return _parted(rows.select("doc_id", "lang", F.lit(1).alias("field_id"), (F.col("p") + 1).alias("position"), F.substring("token", 1, config.most).alias("token")), config)
-    parts = []
+    lang = (F.col("lang") if "lang" in docs.columns else F.lit(config.lang)).alias("lang")
+    given = [F.col("term_count").cast("bigint").alias("given")] if sized and "term_count" in docs.columns else []
+    tokens, field_id, token = [], F.lit(1), F.col("t")
     for k, f in enumerate(config.fields, 1):
         source = F.col(f.column).cast("string")
-        tokens = text.bounded(cut(text.normalise(source) if config.normalise else source), config.least, config.most)
-        parts.append(F.transform(tokens, _tagged(k)))
-    rows = docs.select("doc_id", lang.alias("lang"), F.posexplode(F.concat(*parts)).alias("p", "t"))
-    return _parted(rows.select("doc_id", "lang", "t.field_id", (F.col("p") + 1).alias("position"), "t.token"), config)
+        tokens.append(cut(text.normalise(source) if config.normalise else source))
+    if len(config.fields) == 1 and config.least <= 1:
+        every, token = tokens[0], F.when(F.octet_length(token) > config.most, F.substring(token, 1, config.most)).otherwise(token)
+    else:
+        every = F.concat(*[F.transform(text.bounded(t, config.least, config.most), _tagged(k)) for k, t in enumerate(tokens, 1)])
+        field_id, token = F.col("t.field_id"), F.col("t.token")
+    named = ["doc_id", "lang", field_id.alias("field_id"), (F.col("p") + 1).alias("position"), token.alias("token")]
+    if not sized:
+        return _parted(docs.select("doc_id", lang, F.posexplode(every).alias("p", "t")).select(*named), config)
+    rows = docs.select("doc_id", lang, *given, every.alias("tokens"))
+    rows = rows.select("*", F.posexplode_outer("tokens").alias("p", "t"))
+    size = F.size("tokens").cast("bigint")
+    return rows.select(*named, F.when(F.coalesce("p", F.lit(0)) == 0, F.coalesce("given", size) if given else size).alias("size"))
 
 
 def _parted(tokens: DataFrame, config: Config) -> DataFrame:
     """With the parts of M&A at its position, by the tokenizers that keep punctuation."""
-    return tokens.withColumn("token", F.explode(text.components(F.col("token")))) if config.tokenizer in ("punct", "auto") else tokens
+    return tokens.withColumn("token", F.explode(text.components(F.col("token")))) if config.tokenizer in _PARTING else tokens
 
 
 def build(docs: DataFrame, config: Config = Config(), once: bool = False) -> Index:
@@ -312,10 +349,11 @@ def build(docs: DataFrame, config: Config = Config(), once: bool = False) -> Ind
     """
     have = set(docs.columns)
     tokens = tokenised(docs, config)
-    named = ("term", "doc_id", "position", "field_id", "in_counts")
+    named = ["term", "doc_id", "position", "field_id", "in_counts"]
     exploded = forms_of(tokens, config, once).select(*named)
     plain = config.stemmer == "none" or not any(f.stemming for f in config.fields)
-    chosen = lambda test: _cases(tokens, config, test).select(*named) if plain else exploded.where(test(F.col("term")))
+    sized = not config.normalise and config.tokenizer not in _PARTING  # else tokens are not what documents' lengths count
+    chosen = lambda test: _found(tokenised(docs, config, sized), config, test).select(*named, *["size"] * sized) if plain else exploded.where(test(F.col("term")))
     name = F.lit(config.name)
     cut = text.TOKENIZERS[config.tokenizer]
     long_enough = lambda tokens: tokens if config.least <= 1 else text.bounded(tokens, config.least, config.most)

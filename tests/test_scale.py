@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quarrylex.api import Engine
 from quarrylex.operators import catalog, index
-from quarrylex.operators.index import Config
+from quarrylex.operators.index import Config, Field
 from quarrylex.queries import QUERIES
 
 PLAIN = Config(name="documents", stemmer="none", stop_list="none")
@@ -41,6 +41,27 @@ def test_a_search_cuts_texts_once(docs, search):
     assert sorted(one.collect()) == sorted(other.collect())
 
 
+@pytest.mark.parametrize(("search", "how"), [("the OR with", "log"), ('"of the"', "average"), ("{inclusion_filter:with} th? AND of", "raw")])
+def test_lengths_are_found_with_the_words(spark, docs, search, how):
+    """Scores by length need no second cut of the texts; ids that occur twice, null texts and lengths that are given keep their results."""
+    rows = docs.unionByName(spark.createDataFrame([(0, "the of and with theme", "en", "s"), (90, None, "en", "s")], docs.schema))
+    given = rows.withColumn("term_count", F.when(F.col("doc_id") < 2, F.col("doc_id") + 3))
+    two = Config(name="d", fields=(Field("text", "text"), Field("source", "source")), stemmer="none", stop_list="none", least=2)
+    for x in (index.build(rows, PLAIN), index.build(given, PLAIN), index.build(rows, two)):
+        whole = index.Index(x.config, x.documents, x.postings, x.terms)
+        one, other = (Engine({"d": y}, length=how).search("d", search).scored for y in (x, whole))
+        assert _cuts(one) == 0 < _cuts(other)
+        assert [(r["doc_id"], round(r["score"], 12)) for r in one.sort("doc_id", "score").collect()] == [(r["doc_id"], round(r["score"], 12)) for r in other.sort("doc_id", "score").collect()]
+
+
+def test_lengths_where_tokens_have_parts(docs):
+    """These lengths count tokens, not their parts, and come from the documents."""
+    x = index.build(docs, Config(name="d", tokenizer="punct", stemmer="none", stop_list="none"))
+    whole = index.Index(x.config, x.documents, x.postings, x.terms)
+    one, other = (sorted(Engine({"d": y}).search("d", "the OR with").scored.collect()) for y in (x, whole))
+    assert one == other != []
+
+
 def test_feedback_and_counters_cut_texts_once(docs):
     x = index.build(docs, PLAIN)
     whole = index.Index(x.config, x.documents, x.postings, x.terms)
