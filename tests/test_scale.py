@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrylex.api import Engine
-from quarrylex.operators import catalog, index
+from quarrylex.functions import text
+from quarrylex.operators import catalog, expand, index
 from quarrylex.operators.index import Config, Field
 from quarrylex.queries import QUERIES
 
@@ -62,6 +63,20 @@ def test_lengths_where_tokens_have_parts(docs):
     assert one == other != []
 
 
+def test_term_tests_compare_before_they_match(spark):
+    """Plain comparisons, which refuse most words of a text, stand before regular expressions, and select the same terms."""
+    t = F.col("term")
+    for function, value in (("range", "thea-theb"), ("range", "1-50"), ("wildcard", "th?"), ("wildcard", "1%")):
+        said = str(expand.predicate(t, function, value)).lower()
+        assert min(said.find(x) for x in (">=", "startswith") if x in said) < said.find("rlike"), said
+    terms = spark.createDataFrame([(w,) for w in ("", "a", "z", "{", "`", "A", "Z", "[", "@", "0", "9", ":", "/", "é", "É", "ß", "٣", "theab", "The", "THEA", "the", "thea", "theb", "thebc", "50", "51", "1", "0001", "1a", "x1", "1234567890123456789")], "term string")
+    for first in "q7Qé":
+        kind = {"q": "lower", "7": "digit", "Q": "upper"}.get(first, "high")
+        assert terms.where(expand.same_class(t, first) != (text.first_class(t) == kind)).count() == 0
+    got = lambda *how: {r["term"] for r in terms.where(expand.predicate(t, *how)).collect()}
+    assert got("range", "thea-theb") == {"theab", "thea", "theb"} and got("range", "1-50") == {"50", "1", "0001", "9"} and got("range", "THEA-THEB") == {"THEA"}
+
+
 def test_feedback_and_counters_cut_texts_once(docs):
     x = index.build(docs, PLAIN)
     whole = index.Index(x.config, x.documents, x.postings, x.terms)
