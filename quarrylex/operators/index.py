@@ -68,6 +68,7 @@ class Index:
     written: bool = field(default=False, repr=False)  # exploded is read from a scratch table, not made from texts
     chosen: Callable[[Callable[[Column], Column]], DataFrame] | None = field(default=None, repr=False)  # exploded under a test on terms, with the documents' lengths if they are at hand
     sizes: DataFrame | None = field(default=None, repr=False)  # lengths that were found with the terms
+    counted: Callable[[], DataFrame | None] | None = field(default=None, repr=False)  # terms counted document by document
     uid: str = field(default_factory=lambda: uuid.uuid4().hex, repr=False)
 
     @property
@@ -80,6 +81,12 @@ class Index:
             self._n = self.documents.count()
         return self._n
 
+    @property
+    def vocabulary(self) -> DataFrame:
+        """terms, for use as a whole: where they are made from texts, pairs of terms and documents aren't shuffled if that can be."""
+        found = self.counted() if self.counted is not None and not self.written else None
+        return self.terms if found is None else found
+
     @property
     def lengths(self) -> DataFrame:
         """(doc_id, term_count) of all documents."""
@@ -94,7 +101,7 @@ class Index:
     def info(self) -> DataFrame:
         """One row: names of the analysers, bounds, counts of documents and of regular and stop terms."""
         c = self.config
-        kinds = self.terms.where("in_counts").agg(
+        kinds = self.vocabulary.where("in_counts").agg(
             F.count_if(F.col("term_type") == REGULAR).alias("unique_terms"), F.coalesce(F.sum(F.when(F.col("term_type") == REGULAR, F.col("term_count"))), F.lit(0)).alias("total_terms"),
             F.count_if(F.col("term_type") == STOP).alias("unique_stop_terms"), F.coalesce(F.sum(F.when(F.col("term_type") == STOP, F.col("term_count"))), F.lit(0)).alias("total_stop_terms"),
         )
@@ -223,10 +230,13 @@ def _cases(tokens: DataFrame, config: Config) -> DataFrame:
     return tokens.withColumn("v", F.explode(_both_cases(token))).select(*kept, "v.*")
 
 
+def _own_case(token: Column) -> Column:
+    return (token != F.lower(token)) & text.has_upper(token)
+
+
 def _both_cases(token: Column) -> Column:
-    upper = (token != F.lower(token)) & text.has_upper(token)
     low, own = F.struct(F.lower(token).alias("term"), F.lit(True).alias("in_counts")), F.struct(token.alias("term"), F.lit(False).alias("in_counts"))
-    return F.when(upper, F.array(low, own)).otherwise(F.array(low))
+    return F.when(_own_case(token), F.array(low, own)).otherwise(F.array(low))
 
 
 def _found(tokens: DataFrame, config: Config, test: Callable[[Column], Column]) -> DataFrame:
@@ -238,7 +248,7 @@ def _found(tokens: DataFrame, config: Config, test: Callable[[Column], Column])
     token, sized = F.col("token"), "size" in tokens.columns
     passes = test(F.lower(token))
     if config.case_variants:
-        passes = passes | (test(token) & (token != F.lower(token)) & text.has_upper(token))
+        passes = passes | (test(token) & _own_case(token))
     first = F.col("size").isNotNull() if sized else F.lit(False)
     rows = _cases(tokens.where(passes | first if sized else passes), config)
     if not sized:
@@ -309,6 +319,10 @@ def _tagged(field_id: int):
     return lambda t: F.struct(F.lit(field_id).alias("field_id"), t.alias("token"))
 
 
+def _shortened(token: Column, config: Config) -> Column:
+    return F.when(F.octet_length(token) > config.most, F.substring(token, 1, config.most)).otherwise(token)
+
+
 def tokenised(docs: DataFrame, config: Config, sized: bool = False) -> DataFrame:
     """(doc_id, lang, field_id, position, token): positions run through all fields of a document from 1.
 
@@ -323,7 +337,7 @@ def tokenised(docs: DataFrame, config: Config, sized: bool = False) -> DataFrame
         source = F.col(f.column).cast("string")
         tokens.append(cut(text.normalise(source) if config.normalise else source))
     if len(config.fields) == 1 and config.least <= 1:
-        every, token = tokens[0], F.when(F.octet_length(token) > config.most, F.substring(token, 1, config.most)).otherwise(token)
+        every, token = tokens[0], _shortened(token, config)
     else:
         every = F.concat(*[F.transform(text.bounded(t, config.least, config.most), _tagged(k)) for k, t in enumerate(tokens, 1)])
         field_id, token = F.col("t.field_id"), F.col("t.token")
@@ -354,6 +368,7 @@ def build(docs: DataFrame, config: Config = Config(), once: bool = False) -> Ind
     plain = config.stemmer == "none" or not any(f.stemming for f in config.fields)
     sized = not config.normalise and config.tokenizer not in _PARTING  # else tokens are not what documents' lengths count
     chosen = lambda test: _found(tokenised(docs, config, sized), config, test).select(*named, *["size"] * sized) if plain else exploded.where(test(F.col("term")))
+    counted = (lambda: _counted(docs, config)) if plain and len(config.fields) == 1 and config.least <= 1 and config.tokenizer not in _PARTING else None
     name = F.lit(config.name)
     cut = text.TOKENIZERS[config.tokenizer]
     long_enough = lambda tokens: tokens if config.least <= 1 else text.bounded(tokens, config.least, config.most)
@@ -364,7 +379,7 @@ def build(docs: DataFrame, config: Config = Config(), once: bool = False) -> Ind
         (F.coalesce(F.col("term_count").cast("bigint"), size) if "term_count" in have else size).alias("term_count"), opt("ansi_date", F.lit(0), "bigint"),
         *[F.col(f.column).cast("string").alias(f"item_{f.name}") for f in config.fields],
     )
-    return Index(config, documents, _postings(exploded, config), _terms(exploded, config), exploded=exploded, written=once, chosen=chosen)
+    return Index(config, documents, _postings(exploded, config), _terms(exploded, config), exploded=exploded, written=once, chosen=chosen, counted=counted)
 
 
 def _stop(config: Config) -> Column:
@@ -392,6 +407,28 @@ def _terms(exploded: DataFrame, config: Config) -> DataFrame:
     return counted.select(F.lit(config.name).alias("index_name"), "term", F.when(_stop(config), STOP).otherwise(REGULAR).alias("term_type"), "term_count", "doc_count", named.alias("field_ids"), "in_counts")
 
 
+def _counted(docs: DataFrame, config: Config) -> DataFrame | None:
+    """What _terms gives for the unstemmed words of one field, without a shuffle of the pairs of terms and documents.
+
+    A document's terms are sorted where it stands, so that the first of each is known and one aggregation by term counts
+    documents too. None where ids repeat or are missing: documents of one id are one document.
+    """
+    every, different = docs.agg(F.count(F.lit(1)), F.countDistinct("doc_id")).first()
+    if every != different:
+        return None
+    source = F.col(config.fields[0].column).cast("string")
+    cut = text.TOKENIZERS[config.tokenizer](text.normalise(source) if config.normalise else source)
+    tokens = docs.select(F.transform(cut, lambda t: _shortened(t, config)).alias("tokens"))
+    terms = F.transform("tokens", lambda t: F.lower(t))
+    if config.case_variants:
+        terms = F.concat(terms, F.filter("tokens", _own_case))
+    rows = tokens.select(F.sort_array(terms).alias("terms")).select("terms", F.posexplode("terms").alias("p", "term"))
+    first = ~F.get("terms", F.col("p") - 1).eqNullSafe(F.col("term"))
+    counts = rows.select("term", first.cast("int").alias("first")).groupBy("term").agg(F.count(F.lit(1)).alias("term_count"), F.sum("first").alias("doc_count"))
+    own = _own_case(F.col("term")) if config.case_variants else F.lit(False)
+    return counts.select(F.lit(config.name).alias("index_name"), "term", F.when(_stop(config), STOP).otherwise(REGULAR).alias("term_type"), "term_count", "doc_count", F.array(F.lit(1)).alias("field_ids"), (~own).alias("in_counts"))
+
+
 def numbered(docs: DataFrame, *order: str) -> DataFrame:
     """doc_id from 1 in the given order: counts of range partitions are added up, so that no task sees all rows."""
     ranged = docs.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).sortWithinPartitions("_part", *order)

@@ -177,12 +177,12 @@ def stop_flags(spark, sf_dir):
 
 @query
 def term_stats(spark, sf_dir):
-    return _index(spark, sf_dir).terms.where("in_counts").select("term", "term_count", "doc_count")
+    return _index(spark, sf_dir).vocabulary.where("in_counts").select("term", "term_count", "doc_count")
 
 
 @query
 def case_variants(spark, sf_dir):
-    return _index(spark, sf_dir).terms.where("not in_counts").select("term", "term_count", "doc_count")
+    return _index(spark, sf_dir).vocabulary.where("not in_counts").select("term", "term_count", "doc_count")
 
 
 @query
@@ -684,7 +684,7 @@ def terms_regular(spark, sf_dir):
 
 @query
 def term_comparison(spark, sf_dir):
-    t = _index(spark, sf_dir).terms
+    t = _index(spark, sf_dir).vocabulary
     both = t.where(expand.comparison(F.col("term"), ">=", "1900") | expand.comparison(F.col("term"), "<", "abc"))
     return both.select("term", "term_count", "doc_count")
 

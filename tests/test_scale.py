@@ -77,6 +77,18 @@ def test_term_tests_compare_before_they_match(spark):
     assert got("range", "thea-theb") == {"theab", "thea", "theb"} and got("range", "1-50") == {"50", "1", "0001", "9"} and got("range", "THEA-THEB") == {"THEA"}
 
 
+def test_whole_vocabulary_shuffles_no_pairs_of_terms_and_documents(spark, docs):
+    """Terms are counted by one aggregation by term; documents of one id, or without one, count as before."""
+    again = docs.unionByName(spark.createDataFrame([(0, "of theme Theme THE", "en", "s"), (None, "of 𝐀 λόγος ΛΌΓΟΣ", "en", "s")], docs.schema))
+    other = Config(name="documents", stemmer="none", stop_list="short", most=4, case_variants=False)
+    for rows, config in ((docs, PLAIN), (docs.where("doc_id > 0").unionByName(again.where("doc_id is null").withColumn("doc_id", F.lit(7).cast("bigint"))), PLAIN), (docs, other), (again, PLAIN)):
+        x = index.build(rows, config)
+        assert x.vocabulary.dtypes == x.terms.dtypes
+        assert sorted(map(str, x.vocabulary.collect())) == sorted(map(str, x.terms.collect()))
+    regular = catalog.term_info(index.build(docs, PLAIN), "regular")
+    assert "doc_id" not in regular._jdf.queryExecution().optimizedPlan().toString().split("Aggregate", 1)[1].split("\n")[0] and "distinct" not in regular._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_feedback_and_counters_cut_texts_once(docs):
     x = index.build(docs, PLAIN)
     whole = index.Index(x.config, x.documents, x.postings, x.terms)
